@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, media, quality, simhash, token_counts, token_files
+from . import ann, bpe, lang_id, media, mixing, quality, simhash, token_counts, token_files, url_filters
 from .common import shared_dir
 
 
@@ -89,9 +89,102 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """The pages with a fetch date: 2024-01-01 and page_id mod 366 days."""
+    return pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))").alias("fetched"))
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts that occur, by fixed rules on the CRC-32 of a key.
+
+    A host, its parent or a host's first path segment is blocked from a day of 2024 on if the CRC-32 is 0 mod 3; half of
+    those are dropped 60 days later, and half of the dropped blocked again 60 days on; 1 mod 7 gives an allow entry.
+    """
+    keys = pages.select(F.explode(url_filters.keys_of(F.col("url"))).alias("key")).distinct().withColumn("h", F.crc32(F.col("key").cast("binary")))
+    day = F.expr("date_add(date'2024-01-01', cast((h div 64) % 366 as int))")
+    steps = F.filter(F.array(
+        F.when(F.col("h") % 3 == 0, F.struct(F.lit("block").alias("action"), day.alias("since"))),
+        F.when((F.col("h") % 3 == 0) & (F.col("h") % 2 == 0), F.struct(F.lit("drop").alias("action"), F.date_add(day, 60).alias("since"))),
+        F.when((F.col("h") % 3 == 0) & (F.col("h") % 4 == 0), F.struct(F.lit("block").alias("action"), F.date_add(day, 120).alias("since"))),
+        F.when(F.col("h") % 7 == 1, F.struct(F.lit("allow").alias("action"), F.date_add(day, 30).alias("since"))),
+    ), lambda x: x.isNotNull())
+    return keys.select("key", F.explode(steps).alias("e")).select("key", "e.action", "e.since")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filters.filter_captures(captures(pages), url_list(pages))
+
+
+OP1_SQL = r"""
+with split as (
+    select page_id, url, date '2024-01-01' + cast(page_id % 366 as int) as fetched,
+        nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '\.$', ''), '') as host,
+        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) as segment
+    from pages
+), parents as (
+    select *, list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')) as hosts from split where host is not null
+), keyed as (
+    select page_id, url, fetched, unnest(case when length(segment) > 0 then list_concat(list_transform(hosts, h -> h || '/' || segment), hosts) else hosts end) as key from parents
+), crc_table as (
+    select n, c8 as c from (
+        select n, case when c7 & 1 = 1 then xor(c7 >> 1, 3988292384) else c7 >> 1 end as c8 from (
+        select n, case when c6 & 1 = 1 then xor(c6 >> 1, 3988292384) else c6 >> 1 end as c7 from (
+        select n, case when c5 & 1 = 1 then xor(c5 >> 1, 3988292384) else c5 >> 1 end as c6 from (
+        select n, case when c4 & 1 = 1 then xor(c4 >> 1, 3988292384) else c4 >> 1 end as c5 from (
+        select n, case when c3 & 1 = 1 then xor(c3 >> 1, 3988292384) else c3 >> 1 end as c4 from (
+        select n, case when c2 & 1 = 1 then xor(c2 >> 1, 3988292384) else c2 >> 1 end as c3 from (
+        select n, case when c1 & 1 = 1 then xor(c1 >> 1, 3988292384) else c1 >> 1 end as c2 from (
+        select n, case when n & 1 = 1 then xor(n >> 1, 3988292384) else n >> 1 end as c1 from (select unnest(range(0, 256))::bigint as n)))))))))
+), tab as (
+    select list(c order by n) as t from crc_table
+), hashed as (
+    select key, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(key) + 1), i -> ('0x' || hex(encode(key))[2 * i - 1:2 * i])::bigint)),
+        (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) as h
+    from (select distinct key from keyed), tab
+), entries as (
+    select key, 3 as rank, date '2024-01-01' + cast((h // 64) % 366 as int) as since from hashed where h % 3 = 0
+    union all select key, 1, date '2024-01-01' + cast((h // 64) % 366 + 60 as int) from hashed where h % 3 = 0 and h % 2 = 0
+    union all select key, 3, date '2024-01-01' + cast((h // 64) % 366 + 120 as int) from hashed where h % 3 = 0 and h % 4 = 0
+    union all select key, 2, date '2024-01-01' + cast((h // 64) % 366 + 30 as int) from hashed where h % 7 = 1
+), merged as (
+    select key, since, max(rank) as rank from entries group by all
+), spans as (
+    select *, lead(since) over (partition by key order by since) as until from merged
+), hits as (
+    select k.page_id, k.url, max_by(struct_pack(entry := s.key, rank := s.rank, since := s.since), length(s.key)) as hit
+    from keyed k join spans s on k.key = s.key and k.fetched >= s.since and (s.until is null or k.fetched < s.until) and s.rank > 1 group by all
+)
+select p.page_id, p.url, p.fetched, p.host, coalesce(hit.rank = 3, false) as blocked, hit.entry as list_key,
+    case hit.rank when 3 then 'block' when 2 then 'allow' end as list_action, hit.since as list_since
+from split p left join hits h on h.page_id = p.page_id and h.url = p.url
+"""
+
+
+def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ann.build(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20)
+    return ann.search(index, index.rows.filter("vec_id % 20 = 0"), k=20)
+
+
+#: Production parameters of the mix: no source more than 4 times, entropy at 97 % of that of even weights.
+MAX_REPEATS = 4.0
+ENTROPY_SHARE = 0.97
+
+
+def estimated_tokens():
+    """Four bytes make about one token; every text has one at least."""
+    return F.expr("octet_length(coalesce(text, '')) div 4 + 1")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "source", estimated_tokens().alias("tokens"))
+    mixed = mixing.mix(rows, F.col("tokens"), max_repeats=MAX_REPEATS, target_entropy_share=ENTROPY_SHARE)
+    return mixed.select("doc_id", "source", "tokens", F.round("mix_weight", 9).alias("weight"), F.col("mix_pass").alias("pass"), F.col("mix_block_rank").alias("block_rank"), F.col("mix_order").alias("position"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_token_counts, op5_quality, op6_language, op7_mpeg, op8_token_files, op10_simhash)}
+    return {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_token_counts, op4_additive_quantisation, op5_quality, op6_language, op7_mpeg, op8_token_files, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL}

@@ -298,11 +298,30 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
-    """(key, fingerprint long, component_id): component_id is the smallest key that links reach from the row's fingerprint."""
+    """(key, fingerprint long, component_id, is_first): component_id is the smallest key that links reach from the row's
+    fingerprint; is_first marks the rows of that key and its smallest fingerprint (of a component without keys, of its smallest fingerprint)."""
     rows = written(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), keep=["key"], shingle=shingle), "fingerprints")
     distinct = written(rows.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct")
     roots = components(links(distinct.select("fingerprint"), distance, partitions))
     rooted = written(distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fingerprint").alias("f"), "component_id")
-    return rows.join(named, rows.fingerprint == F.col("f")).select(F.col("key").alias(key), "fingerprint", "component_id")
+    names = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fingerprint")).alias("name"))
+    named = rooted.join(names, "root").select(F.col("fingerprint").alias("f"), F.col("name.least").alias("component_id"), F.col("name.fingerprint").alias("first"))
+    joined = rows.join(named, rows.fingerprint == F.col("f"))
+    return joined.select(F.col("key").alias(key), "fingerprint", "component_id", (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("fingerprint") == F.col("first"))).alias("is_first"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the row of smallest key (of rows that share it, one)."""
+    marked = written(near_duplicates(df, key, text, shingle, distance, partitions), "marked")
+    again = marked.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col(key).alias("k"))
+    again = written(again, "repeated")
+    # keys of one row: a semi-join on the key decides; rows that share a key (or have none) are told apart by fingerprint
+    single = marked.filter("is_first").select(F.col(key).alias("k"))
+    if not again.limit(1).count():
+        return df.join(single, df[key].eqNullSafe(F.col("k")), "left_semi")
+    single = single.join(again.withColumnRenamed("k", "r"), F.col("k").eqNullSafe(F.col("r")), "left_anti")
+    alone = df.join(single, df[key].eqNullSafe(F.col("k")), "left_semi")
+    rest = fingerprints(df.join(again, df[key].eqNullSafe(F.col("k")), "left_semi"), text, shingle, out="simhash_fingerprint")
+    firsts = marked.filter("is_first").select(F.col(key).alias("k"), F.col("fingerprint").alias("f")).distinct()
+    rest = rest.join(firsts, rest[key].eqNullSafe(F.col("k")) & (F.col("simhash_fingerprint") == F.col("f")), "left_semi")
+    return alone.unionByName(rest.dropDuplicates([key, "simhash_fingerprint"]).select(df.columns))
