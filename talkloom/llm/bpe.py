@@ -29,58 +29,55 @@ from .common import add_column, list_array, slices
 MEMO_ENTRIES = 250_000
 #: Longer pre-tokens are encoded each time they are met, so that the memory of a worker is bounded.
 MEMO_CHARS = 64
-WORD = 256
 
 
 class RankQueue:
     """Priority queue of list positions keyed by merge rank: buckets, and a bitmap hierarchy over the ranks.
 
-    ``levels[0]`` has a bit per rank, ``levels[k]`` a bit per word of ``levels[k - 1]``; the last level is one word.
+    ``leaves`` has a bit for each rank, in words of ``width`` bits; ``top`` a bit for each word that isn't zero.
+    A bucket is one position, or a heap of several. ``ByteBPE.encode_piece`` has both methods written out.
     """
 
     def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        n = max(1, ranks)
-        while True:
-            n = -(-n // WORD)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-        self.bit = [1 << k for k in range(WORD)]
+        self.shift = max(4, (max(1, ranks).bit_length() + 1) // 2)
+        self.mask = (1 << self.shift) - 1
+        self.leaves = [0] * ((ranks >> self.shift) + 1)
+        self.top = 0
+        self.buckets: dict[int, int | list[int]] = {}
+        self.bit = [1 << k for k in range(max(self.mask + 1, len(self.leaves)))]
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket is not None:
+        if bucket is None:
+            self.buckets[rank] = position
+            at = rank >> self.shift
+            if not self.leaves[at]:
+                self.top |= self.bit[at]
+            self.leaves[at] |= self.bit[rank & self.mask]
+        elif type(bucket) is int:
+            self.buckets[rank] = [position, bucket] if position < bucket else [bucket, position]
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            at, low = rank >> 8, rank & 255
-            word = level[at]
-            level[at] = word | self.bit[low]
-            if word:
-                return
-            rank = at
 
     def pop(self) -> tuple[int, int] | None:
         """The leftmost position of the lowest rank queued, as (rank, position)."""
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            if not word:
-                return None
-            rank = rank << 8 | (word & -word).bit_length() - 1
+        if not self.top:
+            return None
+        at = (self.top & -self.top).bit_length() - 1
+        word = self.leaves[at]
+        low = word & -word
+        rank = at << self.shift | low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                at, low = at >> 8, at & 255
-                level[at] ^= self.bit[low]
-                if level[at]:
-                    break
+        if type(bucket) is not int:
+            position = heappop(bucket)
+            if bucket:
+                return rank, position
+        else:
+            position = bucket
+        del self.buckets[rank]
+        self.leaves[at] = word ^ low
+        if word == low:
+            self.top ^= self.bit[at]
         return rank, position
 
 
@@ -113,32 +110,64 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         n = len(piece)
-        ids = [self.byte[b] for b in piece]
+        byte, pair = self.byte, self.pair.get
+        ids = [byte[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair, push, pop = self.pair.get, self.queue.push, self.queue.pop
-        rank_at = [pair(a << 32 | b, -1) for a, b in zip(ids, ids[1:])] + [-1]
-        for i, r in enumerate(rank_at):
-            if r >= 0:
-                push(r, i)
-        while (found := pop()) is not None:
-            r, i = found
+        rank_at = [pair(a << 32 | b) for a, b in zip(ids, ids[1:])]
+        rank_at.append(None)
+        queue = self.queue
+        buckets, leaves, bit, shift, mask, top = queue.buckets, queue.leaves, queue.bit, queue.shift, queue.mask, 0
+        fresh = [(r, i) for i, r in enumerate(rank_at) if r is not None]
+        while True:
+            for r, i in fresh:  # push
+                bucket = buckets.get(r)
+                if bucket is None:
+                    buckets[r] = i
+                    at = r >> shift
+                    word = leaves[at]
+                    if not word:
+                        top |= bit[at]
+                    leaves[at] = word | bit[r & mask]
+                elif type(bucket) is int:
+                    buckets[r] = [i, bucket] if i < bucket else [bucket, i]
+                else:
+                    heappush(bucket, i)
+            if not top:
+                break
+            at = (top & -top).bit_length() - 1  # pop
+            word = leaves[at]
+            low = word & -word
+            r = at << shift | low.bit_length() - 1
+            i = buckets[r]
+            if type(i) is not int:
+                bucket = i
+                i = heappop(bucket)
+            else:
+                bucket = None
+            if not bucket:
+                del buckets[r]
+                leaves[at] = word ^ low
+                if word == low:
+                    top ^= bit[at]
             if rank_at[i] != r:
+                fresh = ()
                 continue  # stale
             j = after[i]
             k = after[j]
-            ids[i], after[i], rank_at[j] = r, k, -1
+            ids[i], after[i], rank_at[j] = r, k, None
+            fresh = []
             if k < n:
                 before[k] = i
-                rank_at[i] = new = pair(r << 32 | ids[k], -1)
-                if new >= 0:
-                    push(new, i)
+                rank_at[i] = new = pair(r << 32 | ids[k])
+                if new is not None:
+                    fresh.append((new, i))
             else:
-                rank_at[i] = -1
+                rank_at[i] = None
             h = before[i]
             if h >= 0:
-                rank_at[h] = new = pair(ids[h] << 32 | r, -1)
-                if new >= 0:
-                    push(new, h)
+                rank_at[h] = new = pair(ids[h] << 32 | r)
+                if new is not None:
+                    fresh.append((new, h))
         out, i = [], 0
         while i < n:
             out.append(ids[i])
