@@ -23,22 +23,40 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
 
 
-def mark_duplicates(rows: DataFrame, keys: list[str], order: list[Column], out: str = "is_dup") -> DataFrame:
-    """[AG17]"""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
+def mark_duplicates(rows: DataFrame, keys: list[str], order: list[str], out: str = "is_dup") -> DataFrame:
+    """Adds whether a row isn't the first of its key; ``order`` tells rows of a key apart. [AG17]
 
+    The first is found by a minimum, which partial aggregation keeps small for a key that many rows share.
+    """
+    place = F.struct(*order)
+    first = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min(place).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    joined = rows.join(first, same, "left")
+    return joined.withColumn(out, place != F.col("_first")).drop("_first", *[f"_k_{k}" for k in keys])
 
-def stratified(rows: DataFrame, stratum: str, quotas: dict[str, int], target: int, key: str, seed: str = DEFAULT.seed) -> DataFrame:
-    """Up to its quota from every stratum, then refilled from the rest to ``target``. [SMP1, JN9]
 
-    The refill is a global order by hash with a limit, which Spark takes as a top-k.
+def lowest(rows: DataFrame, n: Column, draw: str, key: str) -> DataFrame:
+    """The n rows of lowest ``draw`` (hex digits, evenly spread), exactly and without a global sort.
+
+    Rows are counted by their first four digits; whole prefixes are in or out, and only rows of the same
+    prefix are ranked among each other. ``n`` may be a scalar subquery.
     """
-    order = drawn(F.col(key), seed)
+    cut = rows.withColumn("_b", F.substring(draw, 1, 4))
+    sizes = cut.groupBy("_b").agg(F.count("*").alias("_c"))  # 65,536 rows at most
+    room = sizes.withColumn("_room", n - (F.sum("_c").over(Window.orderBy("_b")) - F.col("_c"))).filter("_room > 0")
+    ranked = cut.join(room, "_b").withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(draw, key)))
+    return ranked.filter(F.col("_n") <= F.col("_room")).select(rows.columns)
+
+
+def stratified(rows: DataFrame, stratum: str, quotas: dict[str, int], target: int, key: str, seed: str = DEFAULT.seed) -> DataFrame:
+    """Up to its quota from every stratum, then refilled from the rest to ``target``. [SMP1, JN9]"""
+    drawn_rows = rows.withColumn("_h", drawn(F.col(key), seed))
     quota = F.coalesce(*[F.when(F.col(stratum) == k, q) for k, q in quotas.items()], F.lit(0))
-    ranked = rows.withColumn("_h", order).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))).withColumn("_in", F.col("_n") <= quota)
-    picked = ranked.filter("_in").limit(target)
-    # the rest fill up what quotas left; a picked row sorts before any other
-    return ranked.withColumn("_late", ~F.col("_in")).orderBy("_late", "_h", key).limit(target).drop("_h", "_n", "_in", "_late") if target else picked.drop("_h", "_n", "_in")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
+    picked = drawn_rows.withColumn("_n", place).filter(F.col("_n") <= max(quotas.values(), default=0)).filter(F.col("_n") <= quota).drop("_n")
+    rest = drawn_rows.join(picked.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").orderBy("_h", key).limit(target)
+    both = picked.withColumn("_late", F.lit(False)).unionByName(rest.withColumn("_late", F.lit(True)))
+    return both.orderBy("_late", "_h", key).limit(target).drop("_h", "_late")
 
 
 def quota_top(rows: DataFrame, group: str, score: str, key: str, target: int) -> DataFrame:
@@ -46,29 +64,36 @@ def quota_top(rows: DataFrame, group: str, score: str, key: str, target: int) ->
 
     A group's quota is max(1, int(target * share * 1.2)); groups fill in the order of their first key.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size"), F.min(key).alias("_first"))
-    total = sizes.agg(F.sum("_size").alias("_all"))
-    quota = F.greatest(F.lit(1), F.floor(F.lit(target) * (F.col("_size") / F.col("_all")) * 1.2))
-    plan = sizes.join(total).withColumn("_quota", quota)
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))).join(plan, group)
-    return ranked.filter("_n <= _quota").orderBy("_first", "_n").limit(target).select(rows.columns)
+    total = rows.agg(F.count("*")).scalar()
+    plan = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_size"), F.min(key).alias("_first"))
+    plan = plan.withColumn("_quota", F.greatest(F.lit(1), F.floor(F.lit(target) * (F.col("_size") / total) * 1.2)))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key))).filter(F.col("_n") <= max(1, int(target * 1.2)))
+    return ranked.join(plan, F.col(group).eqNullSafe(F.col("_g"))).filter("_n <= _quota").orderBy("_first", "_n").limit(target).select(rows.columns)
 
 
 def priority_then_longest(rows: DataFrame, priority: Column, length: Column, target: int, key: str, seed: str = DEFAULT.seed) -> DataFrame:
-    """Priority rows first, then random ones of the longer half of the others. [SMP2]"""
-    marked = rows.withColumn("_p", priority).withColumn("_l", length)
-    half = marked.filter("not _p").agg(F.floor(F.count("*") / 2).alias("_half"))
-    rest = marked.filter("not _p").withColumn("_n", F.row_number().over(Window.orderBy(F.desc("_l"), key)))
-    top = rest.join(half).filter("_n <= _half")
-    every = marked.filter("_p").withColumn("_rank", F.lit(0)).unionByName(top.drop("_n", "_half").withColumn("_rank", F.lit(1)))
-    return every.withColumn("_h", drawn(F.col(key), seed)).orderBy("_rank", F.when(F.col("_rank") == 0, F.lit("")).otherwise(F.col("_h")), key).limit(target).select(rows.columns)
+    """Priority rows first, then random ones of the longer half of the others. [SMP2]
+
+    The half is cut by a running count over distinct lengths; only rows of the length it is cut in are ranked.
+    """
+    marked = rows.withColumn("_p", priority).withColumn("_l", length).withColumn("_h", drawn(F.col(key), seed))
+    others = marked.filter("not _p")
+    half = others.agg(F.floor(F.count("*") / 2)).scalar()
+    sizes = others.groupBy(F.col("_l").alias("_at")).agg(F.count("*").alias("_c"))
+    room = sizes.withColumn("_room", half - (F.sum("_c").over(Window.orderBy(F.desc("_at"))) - F.col("_c"))).filter("_room > 0")
+    long = others.join(room, F.col("_l") == F.col("_at"))
+    edge = long.filter("_room < _c").withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy(key))).filter("_n <= _room")
+    top = long.filter("_room >= _c").select(marked.columns).unionByName(edge.select(marked.columns))
+    first = marked.filter("_p").withColumn("_h", F.lit("")).unionByName(top)
+    return first.orderBy(F.desc("_p"), "_h", key).limit(target).select(rows.columns)
 
 
 def split_shuffled(rows: DataFrame, key: str, share: float = 0.1, seed: str = DEFAULT.seed) -> DataFrame:
     """Adds split: max(1, int(n * share)) rows of lowest hash are 'val'. [SMP5]"""
-    n = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_take"))
-    val = rows.select(F.col(key).alias("_k"), drawn(F.col(key), seed).alias("_h")).withColumn("_n", F.row_number().over(Window.orderBy("_h", "_k")))
-    return rows.join(val.join(n).select("_k", (F.col("_n") <= F.col("_take")).alias("_v")), F.col(key) == F.col("_k")).withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_k", "_v")
+    take = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share))).scalar()
+    val = lowest(rows.select(F.col(key).alias("_k"), drawn(F.col(key), seed).alias("_h")), take, "_h", "_k")
+    marked = rows.join(val.select("_k", F.lit("val").alias("_v")), F.col(key) == F.col("_k"), "left")
+    return marked.withColumn("split", F.coalesce("_v", F.lit("train"))).drop("_k", "_v")
 
 
 def template_of(key: Column, templates: list[str]) -> Column:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def fractions(rows: DataFrame, label: Column, digits: int = 3) -> DataFrame:
     """(label, n, share): the rows of each label over all rows. [AG3]"""
-    total = rows.agg(F.count("*").alias("_all"))
-    return rows.withColumn("label", label).groupBy("label").agg(F.count("*").alias("n")).join(total).select("label", "n", F.round(F.col("n") / F.col("_all"), digits).alias("share"))
+    total = rows.agg(F.count("*")).scalar()
+    return rows.withColumn("label", label).groupBy("label").agg(F.count("*").alias("n")).select("label", "n", F.round(F.col("n") / total, digits).alias("share"))
 
 
 def tag_fractions(rows: DataFrame, tags: Column, digits: int = 3) -> DataFrame:
     """As fractions, each distinct tag of a row counted once. [AG2, AG3]"""
-    total = rows.agg(F.count("*").alias("_all"))
-    return rows.select(F.explode(F.array_distinct(tags)).alias("label")).groupBy("label").agg(F.count("*").alias("n")).join(total).select("label", "n", F.round(F.col("n") / F.col("_all"), digits).alias("share"))
+    total = rows.agg(F.count("*")).scalar()
+    return rows.select(F.explode(F.array_distinct(tags)).alias("label")).groupBy("label").agg(F.count("*").alias("n")).select("label", "n", F.round(F.col("n") / total, digits).alias("share"))
 
 
 def bucket(value: Column, cuts: list[tuple[float, str]], low: str) -> Column:

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalars
+from . import relational, scalars
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scalars.queries()
+    return relational.queries() | scalars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalars.oracle_sql()
+    return relational.oracle_sql() | scalars.oracle_sql()
