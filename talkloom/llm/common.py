@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4 << 20
 
 
+_state: dict = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks. A worker serves many operators in turn, so it
+    keeps only the last one's, and gives the memory of the others back."""
+    if key not in _state:
+        _state.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        _state[key] = make()
+    return _state[key]
+
+
 def text_array(batch: pa.RecordBatch, column: str) -> pa.Array:
     """The text column with nulls as empty strings, 64-bit offsets."""
     return batch.column(column).cast(pa.large_string()).fill_null("")

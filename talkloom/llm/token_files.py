@@ -1,7 +1,8 @@
-"""Token ids as flat files of unsigned 32-bit integers with 64-bit document offsets, memory-mapped on reading.
+"""Token ids as flat files of unsigned integers with 64-bit document offsets, memory-mapped on reading.
 
 Layout of a folder, one set of files for each partition of the key order:
-    part-00000.bin   token ids of the partition's documents, one after the other, little-endian uint32
+    part-00000.bin   token ids of the partition's documents, one after the other, little-endian uint16
+                        if the vocabulary has at most 65,536 ids, else uint32
     part-00000.idx   n + 1 little-endian uint64: where each document starts in the .bin file, in ids
     part-00000.key   n little-endian int64: the documents' keys
     bases.json       ids before each partition (prefix sums of the partitions' sizes), and documents
@@ -18,23 +19,20 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, slices
+from .common import slices, worker_state
+from .pretokens import finder, is_latin
 
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 64
 MARK = "\ue000"
-#: The installed libraries agree on the classes of these characters; other texts go through the tokenizer whole.
-ELSEWHERE = regex.compile("[^\x00-\u024f]")
 
 
 def open_folder(uri: str):
@@ -50,16 +48,19 @@ class Encoder:
 
     For a byte-level BPE without normaliser a text's ids are those of its pre-tokens in turn; each distinct
     pre-token is encoded by the library once and remembered (two generations of bounded size).
-    Any other tokenizer, texts with an added token inside, and rare characters are encoded whole.
+    Any other tokenizer, texts with an added token inside, and texts beyond U+024F (where the installed
+    libraries know different versions of Unicode) are encoded whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most_id: int = 0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        #: Two bytes an id if all ids fit, else four.
+        self.dtype = "<u2" if max(most_id + 1, self.whole.get_vocab_size(with_added_tokens=True)) <= 1 << 16 else "<u4"
         form = json.loads(self.whole.to_str())
         pre = form["pre_tokenizer"] or {}
         self.by_piece = form["model"]["type"] == "BPE" and not form["normalizer"] and not form["post_processor"] and not form["model"]["dropout"] and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
@@ -69,46 +70,46 @@ class Encoder:
         self.pieces.no_padding()
         self.pieces.encode_special_tokens = True
         self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(MARK, "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.find = regex.compile(pattern).findall
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Packed ids of each of these pre-tokens."""
-        if len(self.new) > MEMO_ENTRIES:
-            self.old, self.new = self.new, {}
-        known = {w: p for w in words if (p := self.new.get(w)) is not None}
-        missing = []
-        for w in words - known.keys():
-            if (p := self.old.get(w)) is not None:
-                known[w] = self.new[w] = p
+        self.find = finder(pattern)
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def learn(self, wanted: set[str]) -> list[str]:
+        """Makes all wanted pre-tokens known; returns those too long to be kept."""
+        if len(self.known) > MEMO_ENTRIES:
+            self.before, self.known = self.known, {}
+        known, before, missing = self.known, self.before, []
+        for w in wanted.difference(known):
+            if (p := before.get(w)) is not None:
+                known[w] = p
             else:
                 missing.append(w)
-        for k in range(0, len(missing), 4096):
-            part = missing[k:k + 4096]
+        known.update(zip(missing, self.of_pieces(missing)))
+        return [w for w in missing if len(w) > MEMO_CHARS]
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k:k + 4096]
             found = self.pieces.encode(MARK.join(part), add_special_tokens=False)
-            ids, starts = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cuts = np.flatnonzero(np.diff(starts)) + 1
-            packed = [x.tobytes() for x in np.split(ids, cuts)]
-            if len(packed) != len(part):
+            ids, words = np.array(found.ids, self.dtype), np.array(found.word_ids)
+            cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(ids)]
+            if len(cuts) != len(part) + 1:
                 raise ValueError("the tokenizer joined or lost a pre-token")
-            for w, p in zip(part, packed):
-                known[w] = p
-                if len(w) <= MEMO_CHARS:
-                    self.new[w] = p
-        return known
+            raw, size = ids.tobytes(), ids.itemsize
+            out += [raw[size * a:size * b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        plain = [self.by_piece and not (not t.isascii() and ELSEWHERE.search(t)) and not any(a in t for a in self.added) for t in texts]
+        """Little-endian ids of each text."""
+        plain = [self.by_piece and is_latin(t) and not any(a in t for a in self.added) for t in texts]
         words = [self.find(t) if p else () for t, p in zip(texts, plain)]
-        get = self.learn(set().union(*words)).__getitem__
-        return [b"".join(map(get, w)) if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p, w in zip(texts, plain, words)]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+        long = self.learn(set().union(*words))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, w)) if p else np.array(self.whole.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, p, w in zip(texts, plain, words)]
+        for w in long:
+            del self.known[w]
+        return out
 
 
 def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> list[dict]:
@@ -126,13 +127,13 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key:
         from pyspark import TaskContext
 
         part, fs = TaskContext.get().partitionId(), open_folder(folder)[0]
-        own, enc = f"{top}/.{part}-{uuid.uuid4().hex}", encoder(path, pattern)
-        end, keys, sizes = np.array([end_id], "<u4").tobytes(), [], []
+        own, enc = f"{top}/.{part}-{uuid.uuid4().hex}", worker_state(("token files", path, pattern, end_id), lambda: Encoder(path, pattern, end_id))
+        end, keys, sizes = np.array([end_id], enc.dtype).tobytes(), [], []
         with fs.open_output_stream(f"{own}.bin") as out:
             for batch, texts in slices(batches, "text"):
                 packed = enc.encode(texts.to_pylist())
                 out.write(b"".join(p + end for p in packed))
-                sizes += [len(p) // 4 + 1 for p in packed]
+                sizes += [len(p) // len(end) + 1 for p in packed]
                 keys.append(batch.column("key").to_numpy())
         if sizes:
             offsets = np.zeros(len(sizes) + 1, "<u8")
@@ -142,15 +143,15 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key:
                     out.write(data.tobytes())
             for kind in ("bin", "idx", "key"):
                 fs.move(f"{own}.{kind}", f"{top}/part-{part:05d}.{kind}")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": [len(sizes)], "ids": [int(offsets[-1])]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": [len(sizes)], "ids": [int(offsets[-1])], "width": pa.array([len(end)], pa.int32())})
         else:
             fs.delete_file(f"{own}.bin")
 
     dealt = rows.repartitionById(parts, at).sortWithinPartitions("key", "text")
-    totals = sorted(dealt.mapInArrow(run, "part int, documents long, ids long").collect())
+    totals = sorted(dealt.mapInArrow(run, "part int, documents long, ids long, width int").collect())
     bases, ids, documents = [], 0, 0
     for r in totals:
-        bases.append({"part": r.part, "base": ids, "first": documents, "documents": r.documents, "ids": r.ids})
+        bases.append({"part": r.part, "base": ids, "first": documents, "documents": r.documents, "ids": r.ids, "width": r.width})
         ids, documents = ids + r.ids, documents + r.documents
     with fs.open_output_stream(f"{top}/bases.json") as out:
         out.write(json.dumps(bases).encode())
@@ -166,7 +167,7 @@ def bucket_of(key, bounds: list[float]):
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(key long, start long, n_tokens long, ids binary) of each document: ``ids`` are its bytes in the file."""
+    """(key long, start long, n_tokens long, ids binary) of each document: ``ids`` are little-endian uint32."""
     fs, top = open_folder(folder)
     with fs.open_input_stream(f"{top}/bases.json") as f:
         bases = json.loads(f.read())
@@ -176,23 +177,23 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist()):
-                ids, offsets, keys = open_part(folder, part)
+            for part, base, width in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "width"))):
+                ids, offsets, keys = open_part(folder, part, width)
                 for k in range(0, len(keys), 512):
                     n = min(512, len(keys) - k)
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[k:k + n]), "start": pa.array(offsets[k:k + n].astype(np.int64) + base), "n_tokens": pa.array(np.diff(offsets[k:k + n + 1]).astype(np.int64)), "ids": pa.array([ids[offsets[i]:offsets[i + 1]].tobytes() for i in range(k, k + n)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[k:k + n]), "start": pa.array(offsets[k:k + n].astype(np.int64) + base), "n_tokens": pa.array(np.diff(offsets[k:k + n + 1]).astype(np.int64)), "ids": pa.array([ids[offsets[i]:offsets[i + 1]].astype("<u4").tobytes() for i in range(k, k + n)], pa.binary())})
 
     parts = spark.range(0, len(bases), 1, len(bases))
-    table = spark.createDataFrame([(k, b["part"], b["base"]) for k, b in enumerate(bases)], "id long, part int, base long")
-    parts = parts.join(F.broadcast(table), "id").select("part", "base")
+    table = spark.createDataFrame([(k, b["part"], b["base"], b["width"]) for k, b in enumerate(bases)], "id long, part int, base long, width int")
+    parts = parts.join(F.broadcast(table), "id").select("part", "base", "width")
     return parts.mapInArrow(run, schema)
 
 
-def open_part(folder: str, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_part(folder: str, part: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, keys) of one part; memory-mapped where the folder is a local path."""
     fs, top = open_folder(folder)
     found = []
-    for kind, dtype in (("bin", "<u4"), ("idx", "<u8"), ("key", "<i8")):
+    for kind, dtype in (("bin", f"<u{width}"), ("idx", "<u8"), ("key", "<i8")):
         name = f"{top}/part-{part:05d}.{kind}"
         if type(fs).__name__ == "LocalFileSystem":
             found.append(np.memmap(name, dtype, "r"))
