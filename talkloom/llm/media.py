@@ -21,11 +21,13 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from math import gcd
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_column
+from .common import SLICE_BYTES, add_column
 
 # Fixed values of the format (ISO 11172-3, 13818-3).
 KBPS = {
@@ -245,37 +247,65 @@ def feature(a: Audio) -> str:
     return f"mpeg{version}-layer{a.layer} {a.rate}Hz {a.channels}ch frames={a.frames} seconds={num}/{den} kbps={a.kbps_min}-{a.kbps_max} crc={a.crc_good}/{a.crc_good + a.crc_bad} table={a.table or '-'}:{a.table_frames} resyncs={a.resyncs} last={a.seek[-1] if a.seek else -1}"
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut to runs of about 4 MB of a binary column (one row at least)."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def store(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """Replaces the binary column ``payload`` by ``media``, the stream that carries it."""
     keep = [c for c in df.columns if c not in (payload, media)]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(media, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                streams = [write_mpeg(p or b"") for p in batch.column(payload).to_pylist()]
-                yield add_column(batch.select(keep), media, pa.array(streams, pa.binary()))
+        for batch in runs(batches, payload):
+            yield add_column(batch.select(keep), media, streams(batch, payload))
 
     return df.mapInArrow(run, schema)
 
 
-def read(df: DataFrame, media: str = "media", with_payload: bool = True) -> DataFrame:
+def streams(batch: pa.RecordBatch, payload: str) -> pa.Array:
+    return pa.array([write_mpeg(p or b"") for p in batch.column(payload).to_pylist()], pa.binary())
+
+
+FOUND = [("frames", T.LongType()), ("duration_num", T.LongType()), ("duration_den", T.LongType()), ("seek", T.ArrayType(T.LongType(), False)), ("crc_good", T.LongType()), ("crc_bad", T.LongType()), ("resyncs", T.LongType()), ("feature", T.StringType()), ("payload", T.BinaryType())]
+ARROW = {"seek": pa.list_(pa.int64()), "feature": pa.string(), "payload": pa.binary()}
+
+
+def with_found(batch: pa.RecordBatch, media: str, out: pa.RecordBatch) -> pa.RecordBatch:
+    found = [read_mpeg(m or b"") for m in batch.column(media).to_pylist()]
+    rows = [(a.frames, *a.seconds(), a.seek, a.crc_good, a.crc_bad, a.resyncs, feature(a), a.payload) for a in found]
+    for (name, _), values in zip(FOUND, zip(*rows)):
+        out = add_column(out, name, pa.array(values, ARROW.get(name, pa.int64())))
+    return out
+
+
+def read(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds what the reader finds: frames, duration (exact fraction), seek offsets, CRC counts, feature and the payload."""
-    kinds = [("frames", T.LongType()), ("duration_num", T.LongType()), ("duration_den", T.LongType()), ("seek", T.ArrayType(T.LongType(), False)), ("crc_good", T.LongType()), ("crc_bad", T.LongType()), ("resyncs", T.LongType()), ("feature", T.StringType())] + ([("payload", T.BinaryType())] if with_payload else [])
-    keep = [c for c in df.columns if c not in {k for k, _ in kinds}]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(k, t, False) for k, t in kinds])
-    arrow = {"seek": pa.list_(pa.int64()), "feature": pa.string(), "payload": pa.binary()}
+    keep = [c for c in df.columns if c not in dict(FOUND)]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(k, t, False) for k, t in FOUND])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, media):
+            yield with_found(batch, media, batch.select(keep))
+
+    return df.mapInArrow(run, schema)
+
+
+def store_and_read(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
+    """``read(store(df))`` in one pass: the streams as stored, and what the reader finds in them."""
+    keep = [c for c in df.columns if c not in {payload, media, *dict(FOUND)}]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(media, T.BinaryType(), False)] + [T.StructField(k, t, False) for k, t in FOUND])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                found = [read_mpeg(m or b"") for m in batch.column(media).to_pylist()]
-                rows = [(a.frames, *a.seconds(), a.seek, a.crc_good, a.crc_bad, a.resyncs, feature(a), a.payload) for a in found]
-                out = batch.select(keep)
-                for (name, _), values in zip(kinds, zip(*rows)):
-                    out = add_column(out, name, pa.array(values, arrow.get(name, pa.int64())))
-                yield out
+        for batch in runs(batches, payload):
+            stored = add_column(batch.select(keep), media, streams(batch, payload))
+            yield with_found(stored, media, stored)
 
     return df.mapInArrow(run, schema)

@@ -72,7 +72,7 @@ def op7_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("raw").cast("long")
     padded = F.expr("concat(raw, unhex(repeat('00', cast(case when octet_length(raw) = 0 then 64 else pmod(-octet_length(raw), 64) end as int))))")
     payloads = documents(spark, sf_dir).select("doc_id", raw.alias("raw")).select("doc_id", size.alias("n_bytes"), padded.alias("payload"))
-    found = media.read(media.store(payloads))
+    found = media.store_and_read(payloads)
     sizes = [F.octet_length(c).cast("long").alias(f"{c}_bytes") for c in ("payload", "media")]
     return found.select("doc_id", "n_bytes", sizes[0], F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), sizes[1], F.sha2("media", 256).alias("media_sha256"), "feature", "frames", "duration_num", "duration_den", F.crc32(F.concat_ws(",", F.col("seek").cast("array<string>")).cast("binary")).alias("seek_crc32"))
 
