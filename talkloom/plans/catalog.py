@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, scalars
+from . import relational, scalars, streams
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return relational.queries() | scalars.queries()
+    return relational.queries() | scalars.queries() | streams.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql() | scalars.oracle_sql()
+    return relational.oracle_sql() | scalars.oracle_sql() | streams.oracle_sql()
