@@ -80,7 +80,7 @@ def lang_profile(text: Column, s: Settings = DEFAULT) -> Column:
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    script, ascii_ = F.regexp_count(t, F.lit(s.script_range)), F.regexp_count(t, F.lit("[A-Za-z]"))
+    script, ascii_ = F.regexp_count(t, F.lit(r"(?=\p{L})" + s.script_range)), F.regexp_count(t, F.lit("[A-Za-z]"))
     roman = sum((F.regexp_count(low, F.lit(p)) for p in ROMANIZED), F.lit(0))
     toks = F.filter(F.split(low, r"(?U)[^\w]+"), lambda w: w != "")
     stops = F.size(F.filter(toks, lambda w: w.isin(*STOP_WORDS)))

@@ -36,75 +36,75 @@ def body_sql(text: str) -> str:
     return f"(case when starts_with({text}, 'Boss, ') then substr({text}, 7) else {text} end)"
 
 
-t = F.col("text")
+
 CLAR, TAG = "contains(text, '?')", sql_any("lower(text)", LATIN.script_keywords)
 SCORE_SQL = f"""greatest(0, least(100, 50 + case when {TAG} then 25 else 0 end + case when {CLAR} then 20 else 0 end
     + case when length({body_sql('text')}) > 100 then 15 when length({body_sql('text')}) > 50 then 10 when length({body_sql('text')}) > 25 then 5 when length({body_sql('text')}) <= 12 then -20 else 0 end
     + case when regexp_matches({body_sql('text')}, '{S}') then 10 else 0 end + case when lower(trim({body_sql('text')})) in ({sql_list(LATIN.low_value)}) then -40 else 0 end
     + case when {sql_any('lower(text)', [p.lower() for p in LATIN.filter_patterns])} then -50 else 0 end + case when {sql_any('text', LATIN.emoji)} then 5 else 0 end + case when {CLAR} then 5 else 0 end))"""
 
-SCALARS: dict[str, tuple[Column | Callable[[], Column], str | None]] = {
-    "fn1_has_script": (lambda: fx.has_script(t, LATIN), HAS),
-    "fn2_lang_two_way": (lambda: fx.lang_two_way(t, LATIN), f"case when {HAS} then 'te' else 'en' end"),
-    "fn3_lang_three_way": (lambda: fx.lang_three_way(t, LATIN), f"case when {HAS} and regexp_matches(text, '[A-Za-z]') then 'mixed' when {HAS} then 'te' else 'en' end"),
-    "fn4_lang_switched": (lambda: fx.lang_switched(t, LATIN), f"case when {HAS} and regexp_matches(text, '[a-zA-Z]{{3,}}') then 'te-en' when {HAS} then 'te' else 'en' end"),
-    "fn5_lang_markers": (lambda: fx.lang_markers(t, LATIN), f"case when {SCRIPT_CHARS} > 5 or len(list_filter({WORDS}, lambda w: regexp_matches(w, '{S}'))) > 2 then 'te' when {sql_any('lower(text)', [m.lower() for m in LATIN.romanized_markers])} then 'te-en' else 'en' end"),
-    "fn6_lang_ratio": (lambda: fx.lang_ratio(t, LATIN), f"case when {SCRIPT_CHARS} > 0.5 * length(replace(text, ' ', '')) and length(replace(text, ' ', '')) > 0 then 'te' when {SCRIPT_CHARS}::double / nullif(length(replace(text, ' ', '')), 0) > 0.1 then 'te-en' else 'en' end"),
-    "fn7_lang_category": (lambda: fx.lang_category(t, LATIN), f"case when not {HAS} then 'english_only' when len(list_filter({WORDS}, lambda w: regexp_matches(w, '^[A-Za-z]+$')))::double / greatest(len({WORDS}), 1) > 0.7 then 'english_dominant' when len(list_filter({WORDS}, lambda w: regexp_matches(w, '^[A-Za-z]+$')))::double / greatest(len({WORDS}), 1) > 0.3 then 'code_switched' else 'script_dominant' end"),
-    "fn11_normalize_lang": (lambda: fx.normalize_lang(F.col("lang"), fx.has_script(t, LATIN), LATIN), f"case when lower(trim(lang)) in ('te', 'telugu') then 'te' when lower(trim(lang)) in ('en', 'english') then 'en' when lower(trim(lang)) in ('te-en', 'mixed', 'code-switched') then 'te-en' when {HAS} then 'te' else 'en' end"),
-    "fn13_normalize_romanized": (lambda: F.md5(fx.normalize_romanized(t).cast("binary")), "md5(replace(replace(replace(replace(text, '.h', ''), '.m', 'm'), '~n', 'n'), '~N', 'n'))"),
-    "fn18_redact_pii": (lambda: F.md5(fx.redact_pii(t).cast("binary")), r"md5(regexp_replace(regexp_replace(regexp_replace(text, '\+?\d[\d\s\-()]{5,}\d', '{PHONE}', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '{EMAIL}', 'g'), '\b[^\s@]+@[^\s@]+\b', '{EMAIL}', 'g'))"),
-    "fn19_ensure_prefix": (lambda: F.substring(fx.ensure_prefix(t), 1, 40), "substr(case when starts_with(lower(ltrim(text)), 'boss,') then ltrim(text) else 'Boss, ' || ltrim(text) end, 1, 40)"),
-    "fn20_strip_prefix": (lambda: F.substring(fx.strip_prefix(F.concat(F.when(F.col("doc_id") % 2 == 0, "Boss, ").otherwise(""), t)), 1, 40), "substr(text, 1, 40)"),
-    "fn21_strip_placeholders": (lambda: F.md5(fx.strip_placeholders(F.concat(F.lit("{NAME_B}: "), t)).cast("binary")), "md5(text)"),
-    "fn22_script_related": (lambda: fx.is_script_related(t), TAG),
-    "fn23_tokens": (lambda: F.md5(F.concat_ws("|", fx.tokens(t)).cast("binary")), f"md5(array_to_string({TOKENS}, '|'))"),
-    "fn24_tokens_by_words": (lambda: fx.tokens_by_words(t, LATIN), f"cast(floor(len({WORDS}) * case when {HAS} then 1.5::double else 1.3::double end) as int)"),
-    "fn25_tokens_by_chars": (lambda: fx.tokens_by_chars(t), "cast(length(text) // 4 as bigint)"),
-    "fn26_word_count": (lambda: fx.word_count(t), f"cast(len({WORDS}) as int)"),
-    "fn27_content_hash": (lambda: fx.content_hash(t), "substr(sha256(text), 1, 16)"),
-    "fn28_full_hash": (lambda: F.sha2(t, 256), "sha256(text)"),
-    "fn35_preview": (lambda: fx.preview(t), "case when length(text) > 200 then substr(text, 1, 200) || '...' else text end"),
-    "fn36_title": (lambda: fx.title(t), r"substr(trim(string_split(trim(text), chr(10))[1]), 1, 80)"),
-    "fn37_html_escape": (lambda: F.md5(fx.html_escape(t).cast("binary")), "md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br/>'))"),
-    "fn38_profanity": (lambda: fx.has_profanity(t), r"regexp_matches(text, '(?i)\b(damn|hell|idiot|stupid)\b')"),
-    "fn39_repeats_word": (lambda: fx.repeats_word(t), REPEATS),
-    "fn40_char_spam": (lambda: fx.is_char_spam(t), "len(list_distinct(string_split(replace(text, ' ', ''), ''))) < 4 and length(text) > 20"),
-    "fn46_domain": (lambda: fx.domain(F.array(F.col("lang")), t, F.when(F.col("doc_id") % 5 == 0, "tools").when(F.col("doc_id") % 5 == 1, "whatsapp").otherwise("x")), f"case when doc_id % 5 = 0 then 'tools' when {sql_any('lower(lang || chr(44) || text)', LATIN.film_words)} then 'film' when {sql_any('lower(lang || chr(44) || text)', LATIN.persona_words)} then 'persona' when doc_id % 5 = 1 then 'conversation' else 'general' end"),
-    "fn42_decision_question": (lambda: fx.decision_question(F.when(F.col("doc_id") % 3 == 0, "work").when(F.col("doc_id") % 3 == 1, "family").otherwise("other"), fx.title(t), F.col("lang")), r"'When ' || lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80)) || ',' || case doc_id % 3 when 0 then ' What would you do?' when 1 then ' How do you handle it?' else ' What is your call?' end"),
-    "fn47_real_time_factor": (lambda: F.round(fx.real_time_factor(F.length(t), F.col("n_chars") - 500), 6), "case when n_chars > 500 then round(length(text)::double / (n_chars - 500), 6) else 0.0 end"),
-    "fn48_seconds": (lambda: F.round(fx.seconds(F.col("n_chars"), 16000), 9), "round(n_chars / 16000.0::double, 9)"),
-    "fn54_session_key": (lambda: fx.session_key(F.col("source"), F.col("doc_id").cast("string")), "substr(sha256(source || '_' || doc_id), 1, 12)"),
-    "par12_slug": (lambda: fx.slug(fx.title(t)), r"regexp_replace(regexp_replace(trim(lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80))), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g')"),
-    "par12_slug_ascii": (lambda: fx.slug(fx.title(t), True), r"coalesce(nullif(regexp_replace(regexp_replace(trim(lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80))), '[^\w\s-]', '', 'g'), '[\s_]+', '-', 'g'), ''), 'screenplay')"),
-    "par13_bullets": (lambda: F.md5(fx.bullets(t).cast("binary")), r"md5(array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*\d+\.', ''))), lambda x: x <> ''), lambda x: '- ' || x), chr(10)))"),
-    "src12_newlines": (lambda: F.md5(fx.newlines(F.replace(t, F.lit("\n"), F.lit("\r\n"))).cast("binary")), "md5(text)"),
-    "flt1_skip_incoming": (lambda: ql.skip_incoming(F.when(F.col("doc_id") % 7 == 0, "image omitted").otherwise(t)), "case when doc_id % 7 = 0 then true else trim(text) = '' or lower(trim(text)) in ('media omitted', '<media omitted>', 'sticker omitted') or (ends_with(lower(trim(text)), ' omitted') and not contains(lower(trim(text)), chr(10) || 'omitted')) or starts_with(lower(trim(text)), 'messages and calls are end-to-end encrypted') end"),
-    "flt2_skip_reply": (lambda: ql.skip_reply(F.when(F.col("doc_id") % 5 == 0, "Boss, ?!").otherwise(t)), r"case when doc_id % 5 = 0 then true else lower(trim(" + body_sql("text") + r")) in ('media omitted', 'sticker omitted', 'image omitted') or not regexp_matches(text, '[\p{L}\p{Nd}]') end"),
-    "flt3_quality_reason": (lambda: ql.quality_reason(t), f"case when length(text) < 15 then 'too_short' when {sql_any('lower(text)', LATIN.omitted)} then 'omitted_content' when trim(text) in ({sql_list(LATIN.placeholders)}) then 'placeholder_only' when trim(text) in ({sql_list(LATIN.generic)}) and length(text) < 12 then 'too_generic' else 'passed' end"),
-    "flt4_high_quality": (lambda: ql.is_high_quality(t, fx.is_script_related(t)), f"not (trim(lower(text)) in ({sql_list(LATIN.low_value_prefixed)}) or {sql_any('lower(text)', [p.lower() for p in LATIN.filter_patterns])} or (length({body_sql('text')}) <= 8 and not {TAG}) or (len(list_distinct(string_split(replace({body_sql('text')}, ' ', ''), ''))) < 4 and length({body_sql('text')}) > 20))"),
-    "flt5_quality_score": (lambda: ql.quality_score(t, fx.is_script_related(t), t.contains("?"), LATIN), f"cast({SCORE_SQL} as int)"),
-    "flt6_interview_ok": (lambda: ql.interview_ok(t), f"length(trim(text)) >= 10 and len({WORDS}) >= 3"),
-    "flt7_for_memory": (lambda: ql.for_memory(t), f"length(text) between 40 and 480 and len(regexp_extract_all(text, '\\?')) <= 1 and {sql_any('lower(text)', LATIN.memory_terms)}"),
-    "flt8_for_snippet": (lambda: ql.for_snippet(t), f"length(text) >= 60 and contains(text, chr(10)) and {sql_any('text', LATIN.list_markers)}"),
-    "flt9_issues": (lambda: F.concat_ws(",", ql.issues(t)), r"array_to_string(list_filter([case when regexp_matches(text, '(?i)\bye\?\s*$') then 'ends_with_ye' end, case when len(" + WORDS + r") <= 5 then 'very_short' end, case when " + REPEATS + r" then 'word_repetition' end, case when " + sql_any("lower(text)", LATIN.meta_patterns) + r" then 'meta_content' end], lambda x: x is not null), ',')"),
-    "flt12_has_tags": (lambda: ql.has_tags(fx.tokens(t), ["The", "and"]), f"list_has_all({TOKENS}, ['the', 'and'])"),
-    "fn29_hashed_bag": (lambda: F.concat_ws(",", F.transform(vectors.hashed_bag(F.slice(fx.tokens(t), 1, 40)), lambda x: F.round(x * 1000).cast("int").cast("string"))), None),
-    "cls2_explicit_switch": (lambda: conv.explicit_switch(F.concat(F.lit("let's go to "), F.element_at(F.array(F.lit("kitchen"), F.lit("script"), F.lit("moon")), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" "), t)), "case doc_id % 3 when 0 then 'kitchen' when 1 then 'writers_room' end"),
-    "cls3_from_location": (lambda: conv.from_location(F.concat(F.lit("The "), F.element_at(F.array(F.lit("Kitchen"), F.lit("office"), F.lit("garden")), (F.col("doc_id") % 3 + 1).cast("int")))), "case doc_id % 3 when 0 then 'kitchen' when 1 then 'writers_room' end"),
-    "cls4_best_keyword": (lambda: conv.best_keyword(t)["context"], None),
-    "cls5_intent": (lambda: conv.intent(t)["needs_clarifying"], r"(regexp_matches(lower(text), '\b\d+\b')::int + regexp_matches(lower(text), '\b(tone|mood|style)\b')::int + regexp_matches(lower(text), '\b(scene|script|story)\b')::int + regexp_matches(lower(text), '\b(character|role)\b')::int + regexp_matches(lower(text), '\b(length|pages|lines)\b')::int) < 4"),
-    "llm4_padded": (lambda: conv.padded(F.col("n_chars")), "cast((n_chars + 7) // 8 * 8 as bigint)"),
-    "llm5_clamp_tokens": (lambda: conv.clamp_new_tokens(F.lit(512), F.floor(F.col("n_chars") / 4), 2048), "case when n_chars // 4 < 2048 then least(512, 2048 - n_chars // 4) end"),
-    "llm6_cut_at_stop": (lambda: F.md5(fx.cut_at_stop(t, ["###", "\n\n", " the "]).cast("binary")), "md5(case when contains(text, '###') then substr(text, 1, instr(text, '###') - 1) when contains(text, chr(10) || chr(10)) then substr(text, 1, instr(text, chr(10) || chr(10)) - 1) when contains(text, ' the ') then substr(text, 1, instr(text, ' the ') - 1) else text end)"),
-    "par14_tool_calls": (lambda: F.size(parse.tool_calls(F.concat(F.lit('<tool_call name="a">{"x": 1}</tool_call>'), t, F.lit('<tool_call name="b"></tool_call><tool_call name="c">{bad</tool_call>')))), "2"),
-    "val5_rule_metrics": (lambda: ql.rule_metrics(t, fx.is_script_related(t), F.lit(6), "The")["pass"], rf"starts_with(text, 'The') and case when {TAG} then len(regexp_extract_all(text, '\?')) = 1 else len(regexp_extract_all(text, '\?')) = 0 end and len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) <= 6"),
-    "llm9_theme_coverage": (lambda: conv.theme_coverage(t, F.array(F.lit("The"), F.lit("und"), F.lit("que"))), "cast(contains(lower(text), 'the') as int) + cast(contains(lower(text), 'und') as int) + cast(contains(lower(text), 'que') as int)"),
+SCALARS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
+    "fn1_has_script": (lambda t: fx.has_script(t, LATIN), HAS),
+    "fn2_lang_two_way": (lambda t: fx.lang_two_way(t, LATIN), f"case when {HAS} then 'te' else 'en' end"),
+    "fn3_lang_three_way": (lambda t: fx.lang_three_way(t, LATIN), f"case when {HAS} and regexp_matches(text, '[A-Za-z]') then 'mixed' when {HAS} then 'te' else 'en' end"),
+    "fn4_lang_switched": (lambda t: fx.lang_switched(t, LATIN), f"case when {HAS} and regexp_matches(text, '[a-zA-Z]{{3,}}') then 'te-en' when {HAS} then 'te' else 'en' end"),
+    "fn5_lang_markers": (lambda t: fx.lang_markers(t, LATIN), f"case when {SCRIPT_CHARS} > 5 or len(list_filter({WORDS}, lambda w: regexp_matches(w, '{S}'))) > 2 then 'te' when {sql_any('lower(text)', [m.lower() for m in LATIN.romanized_markers])} then 'te-en' else 'en' end"),
+    "fn6_lang_ratio": (lambda t: fx.lang_ratio(t, LATIN), f"case when {SCRIPT_CHARS} > 0.5 * length(replace(text, ' ', '')) and length(replace(text, ' ', '')) > 0 then 'te' when {SCRIPT_CHARS}::double / nullif(length(replace(text, ' ', '')), 0) > 0.1 then 'te-en' else 'en' end"),
+    "fn7_lang_category": (lambda t: fx.lang_category(t, LATIN), f"case when not {HAS} then 'english_only' when len(list_filter({WORDS}, lambda w: regexp_matches(w, '^[A-Za-z]+$')))::double / greatest(len({WORDS}), 1) > 0.7 then 'english_dominant' when len(list_filter({WORDS}, lambda w: regexp_matches(w, '^[A-Za-z]+$')))::double / greatest(len({WORDS}), 1) > 0.3 then 'code_switched' else 'script_dominant' end"),
+    "fn11_normalize_lang": (lambda t: fx.normalize_lang(F.col("lang"), fx.has_script(t, LATIN), LATIN), f"case when lower(trim(lang)) in ('te', 'telugu') then 'te' when lower(trim(lang)) in ('en', 'english') then 'en' when lower(trim(lang)) in ('te-en', 'mixed', 'code-switched') then 'te-en' when {HAS} then 'te' else 'en' end"),
+    "fn13_normalize_romanized": (lambda t: F.md5(fx.normalize_romanized(t).cast("binary")), "md5(replace(replace(replace(replace(text, '.h', ''), '.m', 'm'), '~n', 'n'), '~N', 'n'))"),
+    "fn18_redact_pii": (lambda t: F.md5(fx.redact_pii(t).cast("binary")), r"md5(regexp_replace(regexp_replace(regexp_replace(text, '\+?\d[\d\s\-()]{5,}\d', '{PHONE}', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '{EMAIL}', 'g'), '\b[^\s@]+@[^\s@]+\b', '{EMAIL}', 'g'))"),
+    "fn19_ensure_prefix": (lambda t: F.substring(fx.ensure_prefix(t), 1, 40), "substr(case when starts_with(lower(ltrim(text)), 'boss,') then ltrim(text) else 'Boss, ' || ltrim(text) end, 1, 40)"),
+    "fn20_strip_prefix": (lambda t: F.substring(fx.strip_prefix(F.concat(F.when(F.col("doc_id") % 2 == 0, "Boss, ").otherwise(""), t)), 1, 40), "substr(text, 1, 40)"),
+    "fn21_strip_placeholders": (lambda t: F.md5(fx.strip_placeholders(F.concat(F.lit("{NAME_B}: "), t)).cast("binary")), "md5(text)"),
+    "fn22_script_related": (lambda t: fx.is_script_related(t), TAG),
+    "fn23_tokens": (lambda t: F.md5(F.concat_ws("|", fx.tokens(t)).cast("binary")), f"md5(array_to_string({TOKENS}, '|'))"),
+    "fn24_tokens_by_words": (lambda t: fx.tokens_by_words(t, LATIN), f"cast(floor(len({WORDS}) * case when {HAS} then 1.5::double else 1.3::double end) as int)"),
+    "fn25_tokens_by_chars": (lambda t: fx.tokens_by_chars(t), "cast(length(text) // 4 as bigint)"),
+    "fn26_word_count": (lambda t: fx.word_count(t), f"cast(len({WORDS}) as int)"),
+    "fn27_content_hash": (lambda t: fx.content_hash(t), "substr(sha256(text), 1, 16)"),
+    "fn28_full_hash": (lambda t: F.sha2(t, 256), "sha256(text)"),
+    "fn35_preview": (lambda t: fx.preview(t), "case when length(text) > 200 then substr(text, 1, 200) || '...' else text end"),
+    "fn36_title": (lambda t: fx.title(t), r"substr(trim(string_split(trim(text), chr(10))[1]), 1, 80)"),
+    "fn37_html_escape": (lambda t: F.md5(fx.html_escape(t).cast("binary")), "md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br/>'))"),
+    "fn38_profanity": (lambda t: fx.has_profanity(t), r"regexp_matches(text, '(?i)\b(damn|hell|idiot|stupid)\b')"),
+    "fn39_repeats_word": (lambda t: fx.repeats_word(t), REPEATS),
+    "fn40_char_spam": (lambda t: fx.is_char_spam(t), "len(list_distinct(string_split(replace(text, ' ', ''), ''))) < 4 and length(text) > 20"),
+    "fn46_domain": (lambda t: fx.domain(F.array(F.col("lang")), t, F.when(F.col("doc_id") % 5 == 0, "tools").when(F.col("doc_id") % 5 == 1, "whatsapp").otherwise("x")), f"case when doc_id % 5 = 0 then 'tools' when {sql_any('lower(lang || chr(44) || text)', LATIN.film_words)} then 'film' when {sql_any('lower(lang || chr(44) || text)', LATIN.persona_words)} then 'persona' when doc_id % 5 = 1 then 'conversation' else 'general' end"),
+    "fn42_decision_question": (lambda t: fx.decision_question(F.when(F.col("doc_id") % 3 == 0, "work").when(F.col("doc_id") % 3 == 1, "family").otherwise("other"), fx.title(t), F.col("lang")), r"'When ' || lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80)) || ',' || case doc_id % 3 when 0 then ' What would you do?' when 1 then ' How do you handle it?' else ' What is your call?' end"),
+    "fn47_real_time_factor": (lambda t: F.round(fx.real_time_factor(F.length(t), F.col("n_chars") - 500), 6), "case when n_chars > 500 then round(length(text)::double / (n_chars - 500), 6) else 0.0 end"),
+    "fn48_seconds": (lambda t: F.round(fx.seconds(F.col("n_chars"), 16000), 9), "round(n_chars / 16000.0::double, 9)"),
+    "fn54_session_key": (lambda t: fx.session_key(F.col("source"), F.col("doc_id").cast("string")), "substr(sha256(source || '_' || doc_id), 1, 12)"),
+    "par12_slug": (lambda t: fx.slug(fx.title(t)), r"regexp_replace(regexp_replace(trim(lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80))), '[^\p{L}\p{M}\p{N}_\s-]', '', 'g'), '[\s_]+', '-', 'g')"),
+    "par12_slug_ascii": (lambda t: fx.slug(fx.title(t), True), r"coalesce(nullif(regexp_replace(regexp_replace(trim(lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80))), '[^\w\s-]', '', 'g'), '[\s_]+', '-', 'g'), ''), 'screenplay')"),
+    "par13_bullets": (lambda t: F.md5(fx.bullets(t).cast("binary")), r"md5(array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*\d+\.', ''))), lambda x: x <> ''), lambda x: '- ' || x), chr(10)))"),
+    "src12_newlines": (lambda t: F.md5(fx.newlines(F.replace(t, F.lit("\n"), F.lit("\r\n"))).cast("binary")), "md5(text)"),
+    "flt1_skip_incoming": (lambda t: ql.skip_incoming(F.when(F.col("doc_id") % 7 == 0, "image omitted").otherwise(t)), "case when doc_id % 7 = 0 then true else trim(text) = '' or lower(trim(text)) in ('media omitted', '<media omitted>', 'sticker omitted') or (ends_with(lower(trim(text)), ' omitted') and not contains(lower(trim(text)), chr(10) || 'omitted')) or starts_with(lower(trim(text)), 'messages and calls are end-to-end encrypted') end"),
+    "flt2_skip_reply": (lambda t: ql.skip_reply(F.when(F.col("doc_id") % 5 == 0, "Boss, ?!").otherwise(t)), r"case when doc_id % 5 = 0 then true else lower(trim(" + body_sql("text") + r")) in ('media omitted', 'sticker omitted', 'image omitted') or not regexp_matches(text, '[\p{L}\p{Nd}]') end"),
+    "flt3_quality_reason": (lambda t: ql.quality_reason(t), f"case when length(text) < 15 then 'too_short' when {sql_any('lower(text)', LATIN.omitted)} then 'omitted_content' when trim(text) in ({sql_list(LATIN.placeholders)}) then 'placeholder_only' when trim(text) in ({sql_list(LATIN.generic)}) and length(text) < 12 then 'too_generic' else 'passed' end"),
+    "flt4_high_quality": (lambda t: ql.is_high_quality(t, fx.is_script_related(t)), f"not (trim(lower(text)) in ({sql_list(LATIN.low_value_prefixed)}) or {sql_any('lower(text)', [p.lower() for p in LATIN.filter_patterns])} or (length({body_sql('text')}) <= 8 and not {TAG}) or (len(list_distinct(string_split(replace({body_sql('text')}, ' ', ''), ''))) < 4 and length({body_sql('text')}) > 20))"),
+    "flt5_quality_score": (lambda t: ql.quality_score(t, fx.is_script_related(t), t.contains("?"), LATIN), f"cast({SCORE_SQL} as int)"),
+    "flt6_interview_ok": (lambda t: ql.interview_ok(t), f"length(trim(text)) >= 10 and len({WORDS}) >= 3"),
+    "flt7_for_memory": (lambda t: ql.for_memory(t), f"length(text) between 40 and 480 and len(regexp_extract_all(text, '\\?')) <= 1 and {sql_any('lower(text)', LATIN.memory_terms)}"),
+    "flt8_for_snippet": (lambda t: ql.for_snippet(t), f"length(text) >= 60 and contains(text, chr(10)) and {sql_any('text', LATIN.list_markers)}"),
+    "flt9_issues": (lambda t: F.concat_ws(",", ql.issues(t)), r"array_to_string(list_filter([case when regexp_matches(text, '(?i)\bye\?\s*$') then 'ends_with_ye' end, case when len(" + WORDS + r") <= 5 then 'very_short' end, case when " + REPEATS + r" then 'word_repetition' end, case when " + sql_any("lower(text)", LATIN.meta_patterns) + r" then 'meta_content' end], lambda x: x is not null), ',')"),
+    "flt12_has_tags": (lambda t: ql.has_tags(fx.tokens(t), ["The", "and"]), f"list_has_all({TOKENS}, ['the', 'and'])"),
+    "fn29_hashed_bag": (lambda t: F.concat_ws(",", F.transform(vectors.hashed_bag(F.slice(fx.tokens(t), 1, 40)), lambda x: F.round(x * 1000).cast("int").cast("string"))), None),
+    "cls2_explicit_switch": (lambda t: conv.explicit_switch(F.concat(F.lit("let's go to "), F.element_at(F.array(F.lit("kitchen"), F.lit("script"), F.lit("moon")), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" "), t)), "case doc_id % 3 when 0 then 'kitchen' when 1 then 'writers_room' end"),
+    "cls3_from_location": (lambda t: conv.from_location(F.concat(F.lit("The "), F.element_at(F.array(F.lit("Kitchen"), F.lit("office"), F.lit("garden")), (F.col("doc_id") % 3 + 1).cast("int")))), "case doc_id % 3 when 0 then 'kitchen' when 1 then 'writers_room' end"),
+    "cls4_best_keyword": (lambda t: conv.best_keyword(t)["context"], None),
+    "cls5_intent": (lambda t: conv.intent(t)["needs_clarifying"], r"(regexp_matches(lower(text), '\b\d+\b')::int + regexp_matches(lower(text), '\b(tone|mood|style)\b')::int + regexp_matches(lower(text), '\b(scene|script|story)\b')::int + regexp_matches(lower(text), '\b(character|role)\b')::int + regexp_matches(lower(text), '\b(length|pages|lines)\b')::int) < 4"),
+    "llm4_padded": (lambda t: conv.padded(F.col("n_chars")), "cast((n_chars + 7) // 8 * 8 as bigint)"),
+    "llm5_clamp_tokens": (lambda t: conv.clamp_new_tokens(F.lit(512), F.floor(F.col("n_chars") / 4), 2048), "case when n_chars // 4 < 2048 then least(512, 2048 - n_chars // 4) end"),
+    "llm6_cut_at_stop": (lambda t: F.md5(fx.cut_at_stop(t, ["###", "\n\n", " the "]).cast("binary")), "md5(case when contains(text, '###') then substr(text, 1, instr(text, '###') - 1) when contains(text, chr(10) || chr(10)) then substr(text, 1, instr(text, chr(10) || chr(10)) - 1) when contains(text, ' the ') then substr(text, 1, instr(text, ' the ') - 1) else text end)"),
+    "par14_tool_calls": (lambda t: F.size(parse.tool_calls(F.concat(F.lit('<tool_call name="a">{"x": 1}</tool_call>'), t, F.lit('<tool_call name="b"></tool_call><tool_call name="c">{bad</tool_call>')))), "2"),
+    "val5_rule_metrics": (lambda t: ql.rule_metrics(t, fx.is_script_related(t), F.lit(6), "The")["pass"], rf"starts_with(text, 'The') and case when {TAG} then len(regexp_extract_all(text, '\?')) = 1 else len(regexp_extract_all(text, '\?')) = 0 end and len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) <= 6"),
+    "llm9_theme_coverage": (lambda t: conv.theme_coverage(t, F.array(F.lit("The"), F.lit("und"), F.lit("que"))), "cast(contains(lower(text), 'the') as int) + cast(contains(lower(text), 'und') as int) + cast(contains(lower(text), 'que') as int)"),
 }
 
 
-def scalar_query(expression: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", expression().alias("value"))
+def scalar_query(expression: Callable[[Column], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", expression(F.col("text")).alias("value"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
