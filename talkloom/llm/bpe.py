@@ -19,11 +19,11 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_column, list_array, slices
+from .common import add_column, list_array, slices, small_batches, worker_state
+from .pretokens import finder
 
 #: Distinct pre-tokens a worker remembers in each of two generations.
 MEMO_ENTRIES = 250_000
@@ -86,7 +86,7 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pattern = regex.compile(pattern)
+        self.find = finder(pattern)
         self.size = max(ranks.values()) + 1
         self.token = {r: t for t, r in ranks.items()}
         self.byte = [ranks[bytes([b])] for b in range(256)]
@@ -175,7 +175,7 @@ class ByteBPE:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
+        return [i for piece in self.find(text) for i in self.encode_piece(piece.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -201,12 +201,6 @@ class Memo(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
-def memo(path: str, pattern: str) -> Memo:
-    """One per Python worker and vocabulary."""
-    return Memo(ByteBPE.load(path, pattern))
-
-
 @lru_cache(maxsize=2)
 def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all tokens in id order, and each token's start and length; an id that the file lacks has length -1."""
@@ -240,15 +234,39 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = memo(path, pattern)
-        find, get = known.bpe.pattern.findall, known.__getitem__
+        known = worker_state(("bpe", path, pattern), lambda: Memo(ByteBPE.load(path, pattern)))
+        find, get = known.bpe.find, known.__getitem__
         for batch, texts in slices(batches, text):
             packed = [b"".join(map(get, find(t))) for t in texts.to_pylist()]
             lengths = np.fromiter((len(p) >> 2 for p in packed), np.int64, len(packed))
             column = list_array(b"".join(packed), lengths, pa.int32()).cast(pa.list_(pa.int32()))
             yield add_column(batch.select(keep), ids, column)
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return small_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``decode(encode(df))`` in one pass: adds ``ids`` and ``out``, the bytes that those ids stand for."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (ids, out) and (keep is not None or c != text)]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(out, T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = worker_state(("bpe", path, pattern), lambda: Memo(ByteBPE.load(path, pattern)))
+        find, get = known.bpe.find, known.__getitem__
+        for batch, texts in slices(batches, text):
+            packed = [b"".join(map(get, find(t))) for t in texts.to_pylist()]
+            lengths = np.fromiter((len(p) >> 2 for p in packed), np.int64, len(packed))
+            flat = b"".join(packed)
+            column = list_array(flat, lengths, pa.int32()).cast(pa.list_(pa.int32()))
+            yield add_column(add_column(batch.select(keep), ids, column), out, decoded(np.frombuffer(flat, "<i4"), lengths, path))
+
+    return small_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
+
+
+def decoded(ids: np.ndarray, lengths: np.ndarray, path: str) -> pa.Array:
+    """The bytes of each run of ids, as a binary array."""
+    ends = np.cumsum(lengths)
+    return pa.array([decode_ids(ids[e - k:e], path).tobytes() for e, k in zip(ends, lengths)], pa.binary())
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -263,9 +281,6 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 batch = whole.slice(k, step)
                 lists = batch.column(ids).cast(pa.large_list(pa.int32()))
                 n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                values = lists.flatten().to_numpy(zero_copy_only=False)
-                ends = np.cumsum(n)
-                rows = [decode_ids(values[e - k:e], path).tobytes() for e, k in zip(ends, n)]
-                yield add_column(batch, out, pa.array(rows, pa.binary()))
+                yield add_column(batch, out, decoded(lists.flatten().to_numpy(zero_copy_only=False), n, path))
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df.select(*columns)).mapInArrow(run, schema)

@@ -64,6 +64,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = end
 
 
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after seeing to it that its session hands Arrow functions at most 8 MB of rows at once (or one row)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(df.sparkSession.conf.get(name, "67108864b")).rstrip("b")) > ARROW_BYTES:
+        df.sparkSession.conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary one."""
     top = spark.conf.get("spark.checkpoint.dir", None)

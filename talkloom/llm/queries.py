@@ -33,8 +33,7 @@ def held_out(key: str = "doc_id"):
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern())
-    back = bpe.decode(ids, path)
+    back = bpe.encode_and_decode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern())
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -123,9 +122,9 @@ with split as (
         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1) as segment
     from pages
 ), parents as (
-    select *, list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), i -> array_to_string(string_split(host, '.')[i:], '.')) as hosts from split where host is not null
+    select *, list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')) as hosts from split where host is not null
 ), keyed as (
-    select page_id, url, fetched, unnest(case when length(segment) > 0 then list_concat(list_transform(hosts, h -> h || '/' || segment), hosts) else hosts end) as key from parents
+    select page_id, url, fetched, unnest(case when length(segment) > 0 then list_concat(list_transform(hosts, lambda h: h || '/' || segment), hosts) else hosts end) as key from parents
 ), crc_table as (
     select n, c8 as c from (
         select n, case when c7 & 1 = 1 then xor(c7 >> 1, 3988292384) else c7 >> 1 end as c8 from (
@@ -139,8 +138,8 @@ with split as (
 ), tab as (
     select list(c order by n) as t from crc_table
 ), hashed as (
-    select key, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(key) + 1), i -> ('0x' || hex(encode(key))[2 * i - 1:2 * i])::bigint)),
-        (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) as h
+    select key, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(key) + 1), lambda i: ('0x' || hex(encode(key))[2 * i - 1:2 * i])::bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::bigint) as h
     from (select distinct key from keyed), tab
 ), entries as (
     select key, 3 as rank, date '2024-01-01' + cast((h // 64) % 366 as int) as since from hashed where h % 3 = 0
@@ -152,7 +151,7 @@ with split as (
 ), spans as (
     select *, lead(since) over (partition by key order by since) as until from merged
 ), hits as (
-    select k.page_id, k.url, max_by(struct_pack(entry := s.key, rank := s.rank, since := s.since), length(s.key)) as hit
+    select k.page_id, k.url, max(struct_pack(size := length(s.key), entry := s.key, rank := s.rank, since := s.since)) as hit
     from keyed k join spans s on k.key = s.key and k.fetched >= s.since and (s.until is null or k.fetched < s.until) and s.rank > 1 group by all
 )
 select p.page_id, p.url, p.fetched, p.host, coalesce(hit.rank = 3, false) as blocked, hit.entry as list_key,
