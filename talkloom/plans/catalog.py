@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, scalars, streams
+from . import more, relational, scalars, streams  # noqa: F401 (more registers queries with relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
