@@ -181,9 +181,47 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "tokens", F.round("mix_weight", 9).alias("weight"), F.col("mix_pass").alias("pass"), F.col("mix_block_rank").alias("block_rank"), F.col("mix_order").alias("position"))
 
 
+OP9_SQL = """
+with recursive tok as (
+    select doc_id, source, coalesce(source, '') as s, strlen(coalesce(text, '')) // 4 + 1 as n, ('0x' || substr(md5('7:' || doc_id), 1, 8))::bigint % 1024 as b from documents
+), tot as (
+    select s, sum(n)::bigint as n from tok group by s having sum(n) > 0
+), sh as (
+    select list(n::double / (select sum(n)::double from tot) order by s) as p, max(n)::double / sum(n)::double as top, ln(count(*)) * 0.97 as target, sum(n)::double as whole from tot
+), repeats as (
+    select 0 as k, 0.0::double as lo, 1.0::double as hi, 0.0::double as x union all
+    select k + 1, case when ok then lo else x end, case when ok then x else hi end, ((case when ok then lo else x end) + (case when ok then x else hi end)) / 2
+    from (select *, list_max(list_transform(p, lambda q: pow(q / top, x) / list_sum(list_transform(p, lambda r: pow(r / top, x))) / q)) <= 4 as ok from repeats, sh where k <= 60)
+), entropies as (
+    select 0 as k, 0.0::double as lo, 64.0::double as hi, 0.0::double as x union all
+    select k + 1, case when ok then lo else x end, case when ok then x else hi end, ((case when ok then lo else x end) + (case when ok then x else hi end)) / 2
+    from (select *, -list_sum(list_transform(list_transform(p, lambda q: pow(q / top, x) / list_sum(list_transform(p, lambda r: pow(r / top, x)))), lambda w: w * ln(w))) <= target as ok from entropies, sh where k <= 60)
+), a as (
+    select greatest((select hi from repeats where k = 61), (select hi from entropies where k = 61)) as a
+), plan as (
+    select s, n as total, w, cast(floor(w * whole) as bigint) // n as full_passes, cast(floor(w * whole) as bigint) % n as rest
+    from (select t.s, t.n, pow(t.n / whole / top, a) / list_sum(list_transform(p, lambda r: pow(r / top, a))) as w, whole from tot t, sh, a)
+), blocks as (
+    select s, b, sum(n)::bigint as n from tok group by all
+), passes as (
+    select s, b, n, w, full_passes, rest, unnest(range(0, full_passes + 1)) as pass from blocks join plan using (s)
+), placed as (
+    select *, row_number() over (partition by s, pass order by d, b) as block_rank, (sum(n) over (partition by s, pass order by d, b rows unbounded preceding) - n)::bigint as before
+    from (select *, md5('7:' || pass || ':' || s || ':' || b) as d from passes)
+), taken as (
+    select *, pass = full_passes and before + n > rest as cut from placed where pass < full_passes or before < rest
+), dealt as (
+    select tok.doc_id, tok.source, tok.n as tokens, t.w, t.s, t.b, t.pass, t.block_rank, t.cut, t.rest - t.before as room, md5('7:' || t.pass || ':' || tok.doc_id) as position from tok join taken t using (s, b)
+), fits as (
+    select *, sum(tokens) over (partition by s, b, pass order by position range unbounded preceding) as upto from dealt
+)
+select doc_id, source, tokens, round(w, 9) as weight, cast(pass as int) as pass, cast(block_rank as int) as block_rank, position from fits where not cut or upto <= room
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_bpe, op3_token_counts, op4_additive_quantisation, op5_quality, op6_language, op7_mpeg, op8_token_files, op9_mixing, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op9_mixing": OP9_SQL}
