@@ -8,8 +8,9 @@ Two fingerprints link at ``distance`` or fewer differing bits. The 64 bits are d
 that bits which are correlated over the corpus stand together. If thresholds t_1 .. t_m sum to
 distance - m + 1, a linked pair differs in at most t_i bits in some partition i. For every fingerprint
 dynamic programming picks the thresholds (-1: don't look there) of least estimated cost: its probes, and
-the candidates that the corpus holds in the balls around its parts. Each probe is an exact equi-join on
-(partition, value); the join's condition verifies the distance. No bucket is capped.
+the candidates that the corpus holds in the balls around its parts. Probes and fingerprints meet by
+(partition, value); every pair that meets is verified. No bucket is capped: the probes of a large one are
+dealt to several groups, each of which gets the bucket's fingerprints.
 
 Work is on distinct fingerprints, so exact copies cost nothing. What reaches the driver and is broadcast
 has a fixed size: a 64 x 64 table of bit counts and a histogram of 2**16 values for each partition.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, slices, written
+from .common import add_column, slices, small_batches, worker_state, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -81,10 +82,11 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = SHINGLE, keep
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, lambda: None)
         for batch, texts in slices(batches, text):
             yield add_column(batch.select(keep), out, pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64()))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return small_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
 
 
 # --- partitions, histogram and thresholds
@@ -227,37 +229,125 @@ def allocate(parts: np.ndarray, costs: list[np.ndarray], units: int) -> np.ndarr
     return out
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
-    """(a long, b long): all pairs a < b of distinct fingerprints at 1 to ``distance`` differing bits."""
+#: Places in a bucket above which the probes of it are dealt to several groups.
+BUCKET = 4096
+#: Pairs compared at once.
+PAIRS = 1 << 21
+
+
+def verified(k: np.ndarray, s: np.ndarray, f: np.ndarray, probe: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a probe and a place of the same (k, s) within the distance; rows are sorted by (k, s, probe)."""
+    group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (s[1:] != s[:-1]))])
+    begins = np.searchsorted(group, np.arange(group[-1] + 1))
+    places = np.bincount(group, ~probe)[group].astype(np.int64)
+    rows = np.flatnonzero(probe & (places > 0))
+    upto = np.cumsum(places[rows])
+    lo = 0
+    while lo < len(rows):
+        before = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+        n = places[rows[lo:hi]]
+        ends = np.cumsum(n)
+        q = f[np.arange(int(ends[-1])) + np.repeat(begins[group[rows[lo:hi]]] - (ends - n), n)]
+        p = np.repeat(f[rows[lo:hi]], n)
+        x = p ^ q
+        near = np.flatnonzero((np.bitwise_count(x.view(np.uint64)) <= distance) & (x != 0))
+        yield p[near], q[near]
+        lo = hi
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (root, node) with the components of the edges a-b: one for each node that isn't the smallest of its own."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[:len(a)], place[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            break
+        low = np.minimum(ra, rb)
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while not (root[root] == root).all():
+            root = root[root]
+    at = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[at]], nodes[at]
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS, every: bool = True) -> DataFrame:
+    """(a long, b long), a < b: all pairs of distinct fingerprints at 1 to ``distance`` differing bits.
+
+    Without ``every``: edges with the same components, at most one for each linked fingerprint and task, so that a
+    group of many alike fingerprints doesn't give a number of rows that is the square of its size.
+    """
     spark, units = fps.sparkSession, distance + 1
     fps = fps.select(F.col(fps.columns[0]).alias("f"))
     n = fps.count()
     groups = group_bits(bit_table(fps), n, partitions)
-    costs = spark.sparkContext.broadcast(ball_costs(histogram(fps, groups), groups, units))
+    hist = histogram(fps, groups)
+    shared = spark.sparkContext.broadcast((ball_costs(hist, groups, units), [-(-h // BUCKET) for h in hist]))
+
+    def spread(i: int, values: np.ndarray) -> np.ndarray:
+        """Groups that a bucket's probes are dealt to; its places go to each."""
+        return np.maximum(1, shared.value[1][i][values & len(shared.value[1][i]) - 1])
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(k: np.ndarray, s: np.ndarray, f: np.ndarray, probe: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"k": k, "s": s.astype(np.int32), "f": f, "probe": np.full(len(k), probe)})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 8192):
-                f = whole.column(0).slice(k, 8192).to_numpy()
+            for lo in range(0, whole.num_rows, 8192):
+                f = whole.column(0).slice(lo, 8192).to_numpy()
                 parts = parts_of(f, groups)
-                taken = allocate(parts, costs.value, units)
+                taken = allocate(parts, shared.value[0], units)
+                salt = (f.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
                 for i, g in enumerate(groups):
+                    copies = spread(i, parts[:, i])
+                    ends = np.cumsum(copies)
+                    yield batch_of(np.repeat(parts[:, i] << 4 | i, copies), np.arange(ends[-1]) - np.repeat(ends - copies, copies), np.repeat(f, copies), False)
                     for u in range(1, units + 1):
-                        rows = np.flatnonzero(taken[:, i] == u)
-                        if len(rows):
-                            values = parts[rows, i][:, None] ^ ball(len(g), u - 1)[None, :]
-                            yield pa.RecordBatch.from_pydict({"k": values.ravel() << 4 | i, "p": np.repeat(f[rows], values.shape[1])})
+                        at = np.flatnonzero(taken[:, i] == u)
+                        if len(at):
+                            values = (parts[at, i][:, None] ^ ball(len(g), u - 1)[None, :]).ravel()
+                            each = len(values) // len(at)
+                            yield batch_of(values << 4 | i, np.repeat(salt[at], each) % spread(i, values), np.repeat(f[at], each), True)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        names = ("k", "s", "f", "probe")
+
+        def done(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for p, q in verified(*part, distance):
+                if every:
+                    for lo in range(0, len(p), 1 << 16):
+                        x, y = p[lo:lo + (1 << 16)], q[lo:lo + (1 << 16)]
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+                elif len(p):
+                    found.append(forest(p, q))
+                    if sum(len(x) for x, _ in found) > 1 << 20:
+                        found[:] = [forest(*(np.concatenate(x) for x in zip(*found)))]
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = batch.column(0).to_numpy()
-            parts = parts_of(f, groups)
-            yield pa.RecordBatch.from_pydict({"k": (parts << 4 | np.arange(len(groups))).ravel(), "q": np.repeat(f, len(groups))})
-
-    probe, place = fps.mapInArrow(probes, "k long, p long"), fps.mapInArrow(places, "k long, q long")
-    near = F.expr(f"p != q and bit_count(p ^ q) <= {distance}")
-    found = probe.withColumnRenamed("k", "kp").join(place.withColumnRenamed("k", "kq"), (F.col("kp") == F.col("kq")) & near)
-    return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            if sum(len(h[0]) for h in held) < 1 << 18:
+                continue
+            now = [np.concatenate(x) for x in zip(*held)]
+            cut = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
+            if len(cut):  # the last group may go on
+                yield from done([x[:cut[-1] + 1] for x in now])
+                now = [x[cut[-1] + 1:] for x in now]
+            held = [now]
+        if held:
+            now = [np.concatenate(x) for x in zip(*held)]
+            if len(now[0]):
+                yield from done(now)
+        if found:
+            a, b = forest(*(np.concatenate(x) for x in zip(*found)))
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    dealt = small_batches(fps).mapInArrow(rows, "k long, s int, f long, probe boolean").repartition("k", "s").sortWithinPartitions("k", "s", "probe")
+    return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
 # --- components
@@ -302,7 +392,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     fingerprint; is_first marks the rows of that key and its smallest fingerprint (of a component without keys, of its smallest fingerprint)."""
     rows = written(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), keep=["key"], shingle=shingle), "fingerprints")
     distinct = written(rows.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct")
-    roots = components(links(distinct.select("fingerprint"), distance, partitions))
+    roots = components(links(distinct.select("fingerprint"), distance, partitions, every=False))
     rooted = written(distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fingerprint")).alias("name"))
     named = rooted.join(names, "root").select(F.col("fingerprint").alias("f"), F.col("name.least").alias("component_id"), F.col("name.fingerprint").alias("first"))
