@@ -43,9 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, path, pattern(), keep=["doc_id", "text", "lang", "source"])
-    back = bpe.decode(ids, path)
+    back = bpe.encode_and_decode(docs, tokenizer("byte_bpe_50k.tiktoken"), pattern(), keep=["doc_id", "text", "lang", "source"])
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 

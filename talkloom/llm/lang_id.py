@@ -18,6 +18,7 @@ clashing columns of the input are replaced.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, byte_view, text_array
+from .common import add_column, byte_view, slices, small_batches, worker_state
 
 ORDER = 4
 PER_LANGUAGE = 400
@@ -34,7 +35,7 @@ SAMPLE_CHARS = 20_000
 MAX_LANGUAGES = 512
 SEED = 11
 FIXED = 1 << 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -162,13 +163,12 @@ def predict(df: DataFrame, trees: ContextTrees, text: str = "text", keep: list[s
     new = ["lang_pred", "score", "bits_per_byte"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in new]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("bits_per_byte", T.DoubleType())])
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    shared, name = df.sparkSession.sparkContext.broadcast(trees), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = worker_state(("language ID", name), lambda: Scorer(shared.value))
         langs = np.array([*scorer.trees.langs, "und"], object)
-        for batch in batches:
-            texts = text_array(batch, text)
+        for batch, texts in slices(batches, text):
             raw, offsets = byte_view(texts)
             lettered = np.array([LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             n = batch.num_rows
@@ -183,4 +183,4 @@ def predict(df: DataFrame, trees: ContextTrees, text: str = "text", keep: list[s
             out = add_column(batch.select(keep), "lang_pred", pa.array(langs[best].tolist(), pa.string()))
             yield add_column(add_column(out, "score", pa.array(score)), "bits_per_byte", pa.array(rate, mask=~np.isfinite(rate)))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return small_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, byte_view, slices
+from .common import add_column, byte_view, slices, small_batches, worker_state
 
 BITS = 18
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
 SAMPLE_CHARS = 60_000
 SEED = 5
 
@@ -113,11 +113,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     if not len(rows) or len(set(grades.tolist())) < 2:
         return Ordinal(weights, thresholds)
     sizes = np.array([len(r) for r in rows])
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     often = np.bincount(flat, minlength=1 << BITS)
-    use = often[flat] >= 2
+    ids = np.flatnonzero(often >= 2)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[ids] = np.arange(len(ids))
+    flat = place[flat]
+    use = flat >= 0
     flat, doc = flat[use], doc[use]
-    ids, flat = np.unique(flat, return_inverse=True)
     n, k = len(rows), n_grades - 1
     p = np.concatenate([np.zeros(len(ids)), [thresholds[0]], np.log(np.maximum(np.diff(thresholds), 1e-3))])
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -126,7 +129,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
     for step in range(1, steps + 1):
         w, gaps = p[:len(ids)], np.exp(p[len(ids) + 1:])
         t = p[len(ids)] + np.concatenate([[0], np.cumsum(gaps)])
-        s = np.bincount(doc, w[flat], minlength=n)
+        s = np.bincount(doc, w.astype(np.float32)[flat], minlength=n)
         c = np.concatenate([np.ones((n, 1)), sig(s[:, None] - t[None, :]), np.zeros((n, 1))], axis=1)
         like = np.maximum(c[at, grades] - c[at, grades + 1], 1e-12)
         slope = c * (1 - c)
@@ -136,7 +139,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
         np.add.at(dt, (grades - 1)[grades > 0], up[grades > 0] / n)
         np.add.at(dt, grades[grades < k], -down[grades < k] / n)
         back = np.cumsum(dt[::-1])[::-1]
-        g = np.concatenate([np.bincount(flat, ds[doc], minlength=len(ids)) + decay * w, [back[0]], back[1:] * gaps])
+        g = np.concatenate([np.bincount(flat, ds.astype(np.float32)[doc], minlength=len(ids)) + decay * w, [back[0]], back[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (1 - (step - 1) / steps) * m / (1 - 0.9**step) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights[ids] = p[:len(ids)]
@@ -161,10 +164,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, text: str = "text"
             index = index[order].astype("<i4")
             yield pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("g"), pa.array([index[e - s:e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], names=["k", "g", "f"])
 
-    rows = sorted((r.k, r.g, bytes(r.f)) for r in picked.mapInArrow(run, "k string, g int, f binary").collect())
+    rows = sorted((r.k, r.g, bytes(r.f)) for r in small_batches(picked).mapInArrow(run, "k string, g int, f binary").collect())
     if not rows:
         return Ordinal(np.zeros(1 << BITS, np.float32), np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1)))
-    return fit([np.frombuffer(f, "<i4").astype(np.int64) for _, _, f in rows], np.array([g for _, g, _ in rows]), n_grades)
+    return fit([np.frombuffer(f, "<i4") for _, _, f in rows], np.array([g for _, g, _ in rows]), n_grades)
 
 
 def predict(df: DataFrame, model: Ordinal, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -175,6 +178,7 @@ def predict(df: DataFrame, model: Ordinal, text: str = "text", keep: list[str] |
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, lambda: None)
         model = shared.value
         weights = np.rint(model.weights.astype(np.float64) * 2**20)  # whole multiples: sums don't depend on order
         for batch, own in slices(batches, text):
@@ -185,4 +189,4 @@ def predict(df: DataFrame, model: Ordinal, text: str = "text", keep: list[str] |
             out = add_column(out, "tails", pa.array(list(tails), pa.list_(pa.float64())))
             yield add_column(out, "grade", pa.array(grade.astype(np.int32)))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return small_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)
