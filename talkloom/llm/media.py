@@ -5,7 +5,7 @@ Xing table (frames, bytes, 100 seek points), then silent frames, each with a CRC
 zero, whose ancillary bytes are the payload; an ID3v1 tag ends it.
 
 The reader skips tags, resynchronises on frame headers (a header counts if the next one, the end or a tag
-follows where its length says), reads Xing/Info and VBRI tables, verifies the CRC of Layer III frames that
+follows where its length says, or if it directly follows a frame of its kind), reads Xing/Info and VBRI tables, verifies the CRC of Layer III frames that
 have one, and returns exact durations (samples over rate) and the byte offset of every frame for seeking.
 
 Defined results: a null payload is stored as an empty one; junk without any frame has 0 frames and duration
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, add_column
+from .common import SLICE_BYTES, add_column, small_batches
 
 # Fixed values of the format (ISO 11172-3, 13818-3).
 KBPS = {
@@ -92,7 +92,7 @@ def crc16(data: bytes) -> int:
 
 
 def head(bitrate: int, pad: int, protected: bool) -> bytes:
-    return bytes([0xFF, 0xFB & ~protected, bitrate << 4 | pad << 1, 0x00])
+    return bytes([0xFF, 0xFA if protected else 0xFB, bitrate << 4 | pad << 1, 0x00])
 
 
 @lru_cache(maxsize=64)
@@ -187,7 +187,7 @@ def read_table(data: bytes, at: int, h: Header) -> tuple[str, int]:
 def read_mpeg(data: bytes) -> Audio:
     """Parses a stream; never fails on damaged ones."""
     a, at, n, first, parts = Audio(), 0, len(data), True, []
-    lost = False
+    lost, after = False, -1
     while at < n:
         if data[at:at + 3] == b"ID3":
             end, tags = read_tag(data, at)
@@ -201,6 +201,8 @@ def read_mpeg(data: bytes) -> Audio:
         if h and at + h.size <= n:
             end = at + h.size
             sure = end == n or data[end:end + 3] in (b"ID3", b"TAG") or parse_header(data[end:end + 4]) is not None
+            # in step, a header of the same kind needs no second one after it
+            sure = sure or at == after and (h.version, h.layer, h.rate) == (a.version, a.layer, a.rate)
         else:
             sure = False
         if not sure:
@@ -222,7 +224,7 @@ def read_mpeg(data: bytes) -> Audio:
             a.version, a.layer, a.rate, a.channels = h.version, h.layer, h.rate, h.channels
             a.table, a.table_frames = read_table(data, at, h)
             if a.table:
-                at = end
+                at = after = end
                 continue
         if h.protected and h.layer == 3:
             good = crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + h.side]) == data[at + 4] << 8 | data[at + 5]
@@ -233,7 +235,7 @@ def read_mpeg(data: bytes) -> Audio:
         a.kbps_max = max(a.kbps_max, h.kbps)
         a.seek.append(at)
         parts.append(data[at + 4 + 2 * h.protected + h.side:end])
-        at = end
+        at = after = end
     length = a.tags.get("PRIV", b"")
     a.payload = b"".join(parts)
     if length.startswith(LENGTH_TAG):
@@ -267,7 +269,7 @@ def store(df: DataFrame, payload: str = "payload", media: str = "media") -> Data
         for batch in runs(batches, payload):
             yield add_column(batch.select(keep), media, streams(batch, payload))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def streams(batch: pa.RecordBatch, payload: str) -> pa.Array:
@@ -295,7 +297,7 @@ def read(df: DataFrame, media: str = "media") -> DataFrame:
         for batch in runs(batches, media):
             yield with_found(batch, media, batch.select(keep))
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def store_and_read(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
@@ -308,4 +310,4 @@ def store_and_read(df: DataFrame, payload: str = "payload", media: str = "media"
             stored = add_column(batch.select(keep), media, streams(batch, payload))
             yield with_found(stored, media, stored)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

@@ -16,14 +16,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_column, byte_view, slices
+from .common import add_column, byte_view, slices, small_batches, worker_state
 
 MEMO_ENTRIES = 250_000
 MEMO_CHARS = 64
@@ -92,21 +91,16 @@ class Counter:
         return [sum(map(get, chunks)) for chunks in cuts]
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
-
-
 def token_counts(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, n_bytes: str = "n_bytes", n_tokens: str = "n_tokens") -> DataFrame:
     """Adds ``n_bytes`` (UTF-8 length) and ``n_tokens`` of each whole text; drops the text."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, n_bytes, n_tokens)]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.LongType(), False) for c in (n_bytes, n_tokens)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = worker_state(("token counts", path), lambda: Counter(path))
         for batch, texts in slices(batches, text):
             _, offsets = byte_view(texts)
             out = add_column(batch.select(keep), n_bytes, pa.array(np.diff(offsets)))
             yield add_column(out, n_tokens, pa.array(c.count(texts.to_pylist()), pa.int64()))
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return small_batches(df.select(*dict.fromkeys([*keep, text]))).mapInArrow(run, schema)

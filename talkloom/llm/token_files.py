@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, worker_state
+from .common import slices, small_batches, worker_state
 from .pretokens import finder, is_latin
 
 MEMO_ENTRIES = 400_000
@@ -148,7 +148,7 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key:
             fs.delete_file(f"{own}.bin")
 
     dealt = rows.repartitionById(parts, at).sortWithinPartitions("key", "text")
-    totals = sorted(dealt.mapInArrow(run, "part int, documents long, ids long, width int").collect())
+    totals = sorted(small_batches(dealt).mapInArrow(run, "part int, documents long, ids long, width int").collect())
     bases, ids, documents = [], 0, 0
     for r in totals:
         bases.append({"part": r.part, "base": ids, "first": documents, "documents": r.documents, "ids": r.ids, "width": r.width})

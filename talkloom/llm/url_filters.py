@@ -7,7 +7,7 @@ the entries in force when it was fetched.
 
 Keys are a host ('a.b.org'), which covers the hosts below it, or a host and first path segment
 ('a.b.org/x'). A capture is looked up under its host, every parent of two labels or more, and each of them
-with its first path segment; the entry of the longest key in force decides.
+with its first path segment; the entry of the longest key in force decides (of equally long ones the greater in byte order).
 
 Defined results: a capture without a URL, a host or a fetch time is not blocked; entries with a null field or an unknown action
 don't count; of entries of one key and time the strictest holds (block, allow, drop); repeated captures come
