@@ -510,11 +510,11 @@ def ret3_fn30_jn18_cosine(embeddings: DataFrame) -> DataFrame:
     return retrieval.top_k(scored, "score", "vec_id", 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("select vec_id, case when vec_id % 3 = 0 then -1.0 else 0.0 end::double as strict from embeddings where vec_id % 3 <> 2")
+@query("select vec_id, -1.0::double as strict, 0.0::double as loose, -1.0::double as shorter from embeddings")
 def fn30_fn31_sentinels(embeddings: DataFrame) -> DataFrame:
-    zero = F.transform("embedding", lambda x: F.lit(0.0))
-    strict = F.when(F.col("vec_id") % 3 == 0, vectors.cosine(F.col("embedding"), zero)).otherwise(vectors.cosine(F.col("embedding"), zero, 0.0, False))
-    return embeddings.filter("vec_id % 3 <> 2").select("vec_id", strict.alias("strict"))
+    e = F.col("embedding")
+    zero = F.transform(e, lambda x: F.lit(0.0))
+    return embeddings.select("vec_id", vectors.cosine(e, zero).alias("strict"), vectors.cosine(e, zero, 0.0, False).alias("loose"), vectors.cosine(e, F.slice(e, 1, 3)).alias("shorter"))
 
 
 @query()
