@@ -46,5 +46,30 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+
+def load_settings(path: str, env: dict[str, str] | None = None, prefix: str = "TALKLOOM_") -> Settings:
+    """Settings from a YAML (where a YAML reader is installed) or JSON file; environment values win. [SRC17]"""
+    import json
+    from dataclasses import fields
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        given = yaml.safe_load(text) or {}
+    except ImportError:
+        given = json.loads(text)
+    for x in fields(Settings):
+        if (v := (env or {}).get(prefix + x.name.upper())) is not None:
+            given[x.name] = v
+    kinds = {x.name: type(getattr(DEFAULT, x.name)) for x in fields(Settings)}
+    unknown = set(given) - set(kinds)
+    if unknown:
+        raise ValueError(f"unknown setting {sorted(unknown)[0]}")
+    return Settings(**{k: kinds[k](v) for k, v in given.items()})
+
+
 #: The tables of the query catalogue hold accented Latin text: the second script there is U+00C0 to U+017F.
 LATIN = Settings(script_range=r"[\x{00C0}-\x{017F}]")

@@ -146,3 +146,20 @@ def table_columns(spark: SparkSession) -> DataFrame:
     """(table, column, type) of the session's views and tables."""
     rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
     return spark.createDataFrame(rows, "table string, column string, type string")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small table of measures as one JSON file beside the data. [SNK19]"""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def create_table(spark: SparkSession, name: str, schema: str, seed: dict | None = None) -> None:
+    """Creates a table if it is absent, and gives it its first row. [SNK21]"""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+    if seed and not spark.table(name).limit(1).count():
+        spark.createDataFrame([seed], schema).write.insertInto(name)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    """[SNK21]"""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
