@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
+from .vectors import let
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
@@ -79,24 +80,30 @@ def lang_profile(text: Column, s: Settings = DEFAULT) -> Column:
     """Struct of language, ratios, script and romanisation flags and confidence. [FN8]"""
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    script, ascii_ = F.regexp_count(t, F.lit(r"(?=\p{L})" + s.script_range)), F.regexp_count(t, F.lit("[A-Za-z]"))
-    roman = sum((F.regexp_count(low, F.lit(p)) for p in ROMANIZED), F.lit(0))
     toks = F.filter(F.split(low, r"(?U)[^\w]+"), lambda w: w != "")
-    stops = F.size(F.filter(toks, lambda w: w.isin(*STOP_WORDS)))
-    stop_share = F.coalesce(stops / F.nullif(F.size(toks), F.lit(0)), F.lit(0.0))
-    sr, er = F.coalesce(script / F.nullif(letters, F.lit(0)), F.lit(0.0)), F.coalesce(ascii_ / F.nullif(letters, F.lit(0)), F.lit(0.0))
-    romanized, scripted = roman >= 2, script > 0
-    shift = F.when(romanized & ~scripted, F.least(F.lit(0.5), roman * 0.1)).otherwise(0.0)
-    sr1, er1 = sr + shift, F.when(shift > 0, F.greatest(F.lit(0.0), er - shift)).otherwise(er)
-    as_script = ~scripted & romanized & (stop_share <= 0.4)
-    lang = F.when(scripted, F.when(sr1 > 0.7, s.script_lang).when(er1 > 0.7, s.other_lang).otherwise(s.mixed_lang)).when(romanized, F.when(stop_share > 0.4, s.mixed_lang).otherwise(s.script_lang)).otherwise(s.other_lang)
-    sr2, er2 = F.when(as_script, 1.0 - stop_share).otherwise(sr1), F.when(as_script, stop_share).otherwise(er1)
-    mixed = F.when(scripted, F.when(sr1 > 0.7, er1).when(er1 > 0.7, sr1).otherwise(1.0 - F.abs(sr1 - er1))).when(romanized, F.when(stop_share > 0.4, 0.5).otherwise(stop_share)).otherwise(0.0)
-    sure = F.when(lang == s.script_lang, sr2).when(lang == s.other_lang, F.when(romanized, 1.0 - roman * 0.1).otherwise(er2)).otherwise(mixed)
-    blank = F.trim(t) == ""
-    r = lambda c: F.when(blank, 0.0).otherwise(F.round(c, 3))
-    return F.struct(F.when(blank, s.other_lang).otherwise(lang).alias("lang"), r(sr2).alias("script_ratio"), r(er2).alias("english_ratio"), r(mixed).alias("mixed_ratio"), (scripted & ~blank).alias("has_script"), (romanized & ~blank).alias("has_romanized"), r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"))
+    counts = F.struct(
+        F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"), F.regexp_count(t, F.lit(r"(?=\p{L})" + s.script_range)).alias("script"), F.regexp_count(t, F.lit("[A-Za-z]")).alias("ascii"),
+        sum((F.regexp_count(low, F.lit(p)) for p in ROMANIZED), F.lit(0)).alias("roman"), F.size(toks).alias("words"), F.size(F.filter(toks, lambda w: w.isin(*STOP_WORDS))).alias("stops"), (F.trim(t) == "").alias("blank"),
+    )
+    # bound to a lambda variable, each count is taken once however often the rules below name it
+    return let(counts, lambda c: let(_shares(c), lambda x: _verdict(x, s)))
+
+
+def _shares(c: Column) -> Column:
+    part = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0)), F.lit(0.0))
+    return F.struct(part(c["script"], c["letters"]).alias("sr"), part(c["ascii"], c["letters"]).alias("er"), part(c["stops"], c["words"]).alias("stops"), (c["roman"] >= 2).alias("rom"), (c["script"] > 0).alias("scr"), c["roman"].alias("roman"), c["blank"].alias("blank"))
+
+
+def _verdict(c: Column, s: Settings) -> Column:
+    shift = F.when(c["rom"] & ~c["scr"], F.least(F.lit(0.5), c["roman"] * 0.1)).otherwise(0.0)
+    sr, er = c["sr"] + shift, F.when(shift > 0, F.greatest(F.lit(0.0), c["er"] - shift)).otherwise(c["er"])
+    as_script = ~c["scr"] & c["rom"] & (c["stops"] <= 0.4)
+    lang = F.when(c["scr"], F.when(sr > 0.7, s.script_lang).when(er > 0.7, s.other_lang).otherwise(s.mixed_lang)).when(c["rom"], F.when(c["stops"] > 0.4, s.mixed_lang).otherwise(s.script_lang)).otherwise(s.other_lang)
+    sr2, er2 = F.when(as_script, 1.0 - c["stops"]).otherwise(sr), F.when(as_script, c["stops"]).otherwise(er)
+    mixed = F.when(c["scr"], F.when(sr > 0.7, er).when(er > 0.7, sr).otherwise(1.0 - F.abs(sr - er))).when(c["rom"], F.when(c["stops"] > 0.4, 0.5).otherwise(c["stops"])).otherwise(0.0)
+    sure = F.when(lang == s.script_lang, sr2).when(lang == s.other_lang, F.when(c["rom"], 1.0 - c["roman"] * 0.1).otherwise(er2)).otherwise(mixed)
+    r = lambda x: F.when(c["blank"], 0.0).otherwise(F.round(x, 3))
+    return F.struct(F.when(c["blank"], s.other_lang).otherwise(lang).alias("lang"), r(sr2).alias("script_ratio"), r(er2).alias("english_ratio"), r(mixed).alias("mixed_ratio"), (c["scr"] & ~c["blank"]).alias("has_script"), (c["rom"] & ~c["blank"]).alias("has_romanized"), r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).alias("confidence"))
 
 
 def is_code_switched(profile: Column, s: Settings = DEFAULT) -> Column:

@@ -13,6 +13,21 @@ from .relational import query
 from .scalars import TOKENS, WORDS, S
 
 
+LETTERS = r"[\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{017F}]"
+PROFILE_SQL = rf"""
+with c as (select doc_id, text, len(regexp_extract_all(text, '\p{{L}}'))::double as letters, len(regexp_extract_all(text, '{LETTERS}')) as script, len(regexp_extract_all(text, '[A-Za-z]')) as ascii,
+    {' + '.join(f"len(regexp_extract_all(lower(text), '{p}'))" for p in fx.ROMANIZED)} as roman, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: x <> '') as toks from documents),
+d as (select *, coalesce(len(list_filter(toks, lambda w: w in ({', '.join(f"'{w}'" for w in fx.STOP_WORDS)})))::double / nullif(len(toks), 0), 0) as stops, coalesce(script / nullif(letters, 0), 0) as sr, coalesce(ascii / nullif(letters, 0), 0) as er, roman >= 2 as rom, script > 0 as scr from c),
+e as (select *, case when rom and not scr then least(0.5::double, roman * 0.1::double) else 0.0::double end as shift from d),
+f as (select *, sr + shift as sr1, case when shift > 0 then greatest(0.0::double, er - shift) else er end as er1, not scr and rom and stops <= 0.4 as as_script from e),
+g as (select *, case when scr then case when sr1 > 0.7 then 'te' when er1 > 0.7 then 'en' else 'mixed' end when rom then case when stops > 0.4 then 'mixed' else 'te' end else 'en' end as lang,
+    case when as_script then 1.0 - stops else sr1 end as sr2, case when as_script then stops else er1 end as er2,
+    case when scr then case when sr1 > 0.7 then er1 when er1 > 0.7 then sr1 else 1.0 - abs(sr1 - er1) end when rom then case when stops > 0.4 then 0.5::double else stops end else 0.0::double end as mixed from f),
+h as (select doc_id, lang, round(sr2, 3) as script_ratio, round(er2, 3) as english_ratio, round(mixed, 3) as mixed_ratio, scr as has_script, rom as has_romanized,
+    round(greatest(0.0::double, least(1.0::double, case lang when 'te' then sr2 when 'en' then case when rom then 1.0 - roman * 0.1::double else er2 end else mixed end)), 3) as confidence from g)
+select *, lang = 'mixed' or (has_script and english_ratio > 0.1) as code_switched from h"""
+
+
 @query()
 def smp6_templates(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.concat(selection.template_of(F.col("doc_id"), ["What is: ", "Explain: ", "Tell me about: "]), F.substring("text", 1, 20)).alias("prompt"))
@@ -115,7 +130,7 @@ def llm8_eval_table(conversations: DataFrame) -> DataFrame:
     return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", curation.table_line(F.substring("question", 1, 30), F.substring("actual", 1, 30)).alias("line"))
 
 
-@query()
+@query(PROFILE_SQL)
 def fn8_fn9_profile(documents: DataFrame) -> DataFrame:
     p = documents.select("doc_id", fx.lang_profile(F.col("text"), LATIN).alias("p"))
     return p.select("doc_id", "p.*", fx.is_code_switched(F.col("p"), LATIN).alias("code_switched"))

@@ -43,6 +43,21 @@ SCORE_SQL = f"""greatest(0, least(100, 50 + case when {TAG} then 25 else 0 end +
     + case when regexp_matches({body_sql('text')}, '{S}') then 10 else 0 end + case when lower(trim({body_sql('text')})) in ({sql_list(LATIN.low_value)}) then -40 else 0 end
     + case when {sql_any('lower(text)', [p.lower() for p in LATIN.filter_patterns])} then -50 else 0 end + case when {sql_any('text', LATIN.emoji)} then 5 else 0 end + case when {CLAR} then 5 else 0 end))"""
 
+HASHED_SQL = f"""with p as (select doc_id, list_transform({TOKENS}[1:40], lambda t: struct_pack(place := ('0x' || substr(sha256(t), 1, 8))::bigint % 48, sign := case when ('0x' || substr(sha256(t), 9, 1))::int % 2 = 1 then 1 else -1 end)) as p from documents),
+    r as (select doc_id, list_transform(range(0, 48), lambda i: coalesce(list_sum(list_transform(list_filter(p, lambda x: x.place = i), lambda x: x.sign)), 0)::double) as r from p),
+    n as (select *, sqrt(list_sum(list_transform(r, lambda x: x * x))) as n from r)
+    select doc_id, array_to_string(list_transform(r, lambda x: cast(round(case when n > 0 then round(x / n, 6) else 0.0 end * 1000) as int)), ',') as value from n"""
+
+
+def context_score_sql(words) -> str:
+    hits = " + ".join(f"contains(lower(text), '{w}')::int" for w in words)
+    whole = f"len(list_intersect(list_distinct(string_split_regex(lower(text), '[^\\w]+')), [{sql_list(words)}]))"
+    return f"least(({hits} + {whole}) / {len(words) * 0.3!r}::double, 1.0)"
+
+
+_scores = [(name, context_score_sql(words)) for name, words in LATIN.context_keywords]
+CONTEXT_SQL = "case " + " ".join(f"when {own} > 0 and " + " and ".join([f"{own} >= {other}" for _, other in _scores[k + 1:]] + [f"{own} > {other}" for _, other in _scores[:k]] or ["true"]) + f" then '{name}'" for k, (name, own) in enumerate(_scores)) + " end"
+
 SCALARS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "fn1_has_script": (lambda t: fx.has_script(t, LATIN), HAS),
     "fn2_lang_two_way": (lambda t: fx.lang_two_way(t, LATIN), f"case when {HAS} then 'te' else 'en' end"),
@@ -89,10 +104,10 @@ SCALARS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "flt8_for_snippet": (lambda t: ql.for_snippet(t), f"length(text) >= 60 and contains(text, chr(10)) and {sql_any('text', LATIN.list_markers)}"),
     "flt9_issues": (lambda t: F.concat_ws(",", ql.issues(t)), r"array_to_string(list_filter([case when regexp_matches(text, '(?i)\bye\?\s*$') then 'ends_with_ye' end, case when len(" + WORDS + r") <= 5 then 'very_short' end, case when " + REPEATS + r" then 'word_repetition' end, case when " + sql_any("lower(text)", LATIN.meta_patterns) + r" then 'meta_content' end], lambda x: x is not null), ',')"),
     "flt12_has_tags": (lambda t: ql.has_tags(fx.tokens(t), ["The", "and"]), f"list_has_all({TOKENS}, ['the', 'and'])"),
-    "fn29_hashed_bag": (lambda t: F.concat_ws(",", F.transform(vectors.hashed_bag(F.slice(fx.tokens(t), 1, 40)), lambda x: F.round(x * 1000).cast("int").cast("string"))), None),
+    "fn29_hashed_bag": (lambda t: F.concat_ws(",", F.transform(vectors.hashed_bag(F.slice(fx.tokens(t), 1, 40)), lambda x: F.round(x * 1000).cast("int").cast("string"))), HASHED_SQL),
     "cls2_explicit_switch": (lambda t: conv.explicit_switch(F.concat(F.lit("let's go to "), F.element_at(F.array(F.lit("kitchen"), F.lit("script"), F.lit("moon")), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(" "), t)), "case doc_id % 3 when 0 then 'kitchen' when 1 then 'writers_room' end"),
     "cls3_from_location": (lambda t: conv.from_location(F.concat(F.lit("The "), F.element_at(F.array(F.lit("Kitchen"), F.lit("office"), F.lit("garden")), (F.col("doc_id") % 3 + 1).cast("int")))), "case doc_id % 3 when 0 then 'kitchen' when 1 then 'writers_room' end"),
-    "cls4_best_keyword": (lambda t: conv.best_keyword(t)["context"], None),
+    "cls4_best_keyword": (lambda t: conv.best_keyword(t)["context"], CONTEXT_SQL),
     "cls5_intent": (lambda t: conv.intent(t)["needs_clarifying"], r"(regexp_matches(lower(text), '\b\d+\b')::int + regexp_matches(lower(text), '\b(tone|mood|style)\b')::int + regexp_matches(lower(text), '\b(scene|script|story)\b')::int + regexp_matches(lower(text), '\b(character|role)\b')::int + regexp_matches(lower(text), '\b(length|pages|lines)\b')::int) < 4"),
     "llm4_padded": (lambda t: conv.padded(F.col("n_chars")), "cast((n_chars + 7) // 8 * 8 as bigint)"),
     "llm5_clamp_tokens": (lambda t: conv.clamp_new_tokens(F.lit(512), F.floor(F.col("n_chars") / 4), 2048), "case when n_chars // 4 < 2048 then least(512, 2048 - n_chars // 4) end"),
@@ -112,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"select doc_id, {sql} as value from documents" for name, (_, sql) in SCALARS.items() if sql}
+    return {name: sql if sql.startswith("with") else f"select doc_id, {sql} as value from documents" for name, (_, sql) in SCALARS.items() if sql}
