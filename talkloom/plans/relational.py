@@ -177,7 +177,7 @@ def smp1_stratified(documents: DataFrame) -> DataFrame:
 
 
 @query(f"""with d as (select doc_id, length(text) as l, {TAG} as p from documents), n as (select *, row_number() over (partition by p order by l desc, doc_id) as n, count(*) over (partition by p) as c from d)
-    select doc_id, l from n where p or n <= c // 2 order by case when p then 0 else 1 end, case when p then '' else sha256('42:' || doc_id) end, doc_id limit 300""")
+    select doc_id, cast(l as int) as l from n where p or n <= c // 2 order by case when p then 0 else 1 end, case when p then '' else sha256('42:' || doc_id) end, doc_id limit 300""")
 def smp2_priority_longest(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", F.length("text").alias("l"), fx.is_script_related(F.col("text")).alias("p"))
     return selection.priority_then_longest(rows, F.col("p"), F.col("l"), 300, "doc_id").select("doc_id", "l")

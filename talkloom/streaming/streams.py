@@ -26,7 +26,7 @@ def speech_only(chunks: DataFrame, flag: str = "is_speech") -> DataFrame:
 def detections(chunks: DataFrame, thresholds: DataFrame, scores: str = "scores") -> DataFrame:
     """A row for every model whose score reaches its threshold (0.5 without one); thresholds: (model, threshold). [STR8]"""
     rows = chunks.select("*", F.explode(scores).alias("model", "score")).drop(scores)
-    return rows.join(F.broadcast(thresholds), "model", "left").filter(F.col("score") >= F.coalesce("threshold", F.lit(0.5))).drop("threshold")
+    return rows.join(thresholds, "model", "left").filter(F.col("score") >= F.coalesce("threshold", F.lit(0.5))).drop("threshold")
 
 
 def first_detections(found: DataFrame, ts: str = "ts", within: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
