@@ -364,7 +364,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         """Pairs (u, v): every u sends v's (the larger ones, or all) to its smallest neighbour."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written, so that the join deals both sides out anew and a node with very many neighbours can be split
+        least = written(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         joined = pairs.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
         if large:
             return joined.filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -395,6 +396,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     roots = components(links(distinct.select("fingerprint"), distance, partitions, every=False))
     rooted = written(distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fingerprint")).alias("name"))
+    names = written(names, "names")
     named = rooted.join(names, "root").select(F.col("fingerprint").alias("f"), F.col("name.least").alias("component_id"), F.col("name.fingerprint").alias("first"))
     joined = rows.join(named, rows.fingerprint == F.col("f"))
     return joined.select(F.col("key").alias(key), "fingerprint", "component_id", (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("fingerprint") == F.col("first"))).alias("is_first"))
