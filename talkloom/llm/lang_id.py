@@ -8,7 +8,7 @@ frozen after training, so a text's code length is a sum of fixed costs per (cont
 whole multiples of 2**-16 bit, sums are exact. The language of the shortest code is predicted.
 
 Training reads a bounded sample of rows with a language: about ``per_language`` rows of each, those of
-lowest hash, texts of at most ``sample_chars`` characters. Prediction covers whole texts.
+lowest hash, texts of at most ``sample_chars`` characters, ``MAX_ROWS`` rows in all. Prediction covers whole texts.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and where no language was
 learned; ties go to the language of smaller name; repeated rows agree; an empty table gives an empty table;
@@ -33,6 +33,8 @@ ORDER = 4
 PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
 MAX_LANGUAGES = 512
+#: Sampled rows of all languages together.
+MAX_ROWS = 20_000
 SEED = 11
 FIXED = 1 << 16
 CHUNK = 1 << 18
@@ -127,8 +129,9 @@ class Scorer:
         """Code length of each text in 2**-16 bits, a column for each language."""
         n, order = len(offsets) - 1, self.trees.order
         out = np.zeros((n, len(self.trees.langs)), np.int64)
-        for lo in range(0, len(raw), CHUNK):
-            hi = min(lo + CHUNK, len(raw))
+        chunk = max(1, 4 * CHUNK // max(4, len(self.trees.langs)))
+        for lo in range(0, len(raw), chunk):
+            hi = min(lo + chunk, len(raw))
             first, last = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, hi, side="left")
             before = max(0, lo - order)
             keys = grams(raw[before:hi], order)[lo - before:]
@@ -150,6 +153,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
+    per_language = min(per_language, MAX_ROWS // max(1, len(counts)))
     shares = {k: min(1.0, 2.0 * per_language / n) for k, n in counts.items()}
     below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int((s - 0.5) * (2**64 - 1)) if s < 1 else 2**63 - 1)) for k, s in sorted(shares.items())], F.lit(-(2**63))) if shares else F.lit(-(2**63))
     samples: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}

@@ -55,8 +55,45 @@ def bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+#: Bytes worked on at once; longer texts are cut at the first white space after each multiple of it.
+PIECE = 1 << 20
+
+
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, weight index) pairs of all texts, each once, sorted."""
+    """(text, weight index) pairs of all texts, each once."""
+    cuts, owner = [], []
+    for i in np.flatnonzero(np.diff(offsets)):
+        lo, end = int(offsets[i]), int(offsets[i + 1])
+        cuts.append(lo)
+        owner.append(i)
+        for at in range(lo + PIECE, end, PIECE):
+            window = np.flatnonzero(SPACE[raw[at:min(end, at + 4096)]])
+            at += int(window[0]) if len(window) else 0
+            if cuts[-1] < at < end:
+                cuts.append(at)
+                owner.append(i)
+    cuts, owner = np.array([*cuts, len(raw)], np.int64), np.array(owner, np.int64)
+    n, k, parts = len(offsets) - 1, 0, []
+    total, strange = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    while k < len(owner):
+        end = max(k + 1, int(np.searchsorted(cuts, cuts[k] + PIECE, side="right")) - 1)
+        piece, index, words, odd = piece_features(raw[cuts[k]:cuts[end]], cuts[k:end + 1] - cuts[k])
+        parts.append(owner[k:end][piece] << BITS | index)
+        np.add.at(total, owner[k:end], words)
+        np.add.at(strange, owner[k:end], odd)
+        k = end
+    seen = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    d, b = seen >> BITS, seen & (1 << BITS) - 1
+    distinct, has = np.bincount(d, minlength=n), np.flatnonzero(total)
+    size = np.minimum(3, np.log10(total[has]).astype(np.int64))
+    variety = 16 + 16 * size + np.minimum(15, (8 * distinct[has] / (total[has] + 4)).astype(np.int64))
+    strangeness = 96 + np.ceil(16 * strange[has] / total[has]).astype(np.int64)
+    return np.concatenate([d, has, has]), np.concatenate([b, variety, strangeness])
+
+
+def piece_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, weight index) pairs of the words, and of each piece the words and those with odd marks."""
+    n = len(offsets) - 1
     space = SPACE[raw]
     begins = ~space
     edge = np.zeros(len(raw) + 1, bool)
@@ -64,33 +101,29 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begins[1:] &= space[:-1] | edge[1:-1]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     doc = np.searchsorted(offsets, starts, side="right") - 1
     # a word's bytes end at the next word's start at the latest; white space between them adds nothing
     sizes = np.diff(np.append(starts, len(raw)))
-    place = np.arange(starts[0], len(raw)) - np.repeat(starts, sizes)
+    place = np.arange(starts[0], len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
     own, at = raw[starts[0]:], starts - starts[0]
-    word = np.add.reduceat(LETTERS[own] * POWER[place & 255], at)
+    letters = LETTERS[own]
+    letters *= POWER[place & 255]
+    word = np.add.reduceat(letters, at)
+    letters[place >= 5] = 0
+    stem = np.add.reduceat(letters, at)
     marks = np.add.reduceat(MARKS[own], at)
     upper = np.add.reduceat(UPPER[own], at)
-    letters = np.add.reduceat(IS_LETTER[own].astype(np.int32), at)
-    stem = np.add.reduceat(np.where(place < 5, LETTERS[own] * POWER[place & 255], 0), at)
+    count = np.add.reduceat(IS_LETTER[own].astype(np.int32), at)
     odd = np.flatnonzero((marks != 0) & (marks != MARKS[44]) & (marks != MARKS[46]))
     same = doc[1:] == doc[:-1]
     twice = np.flatnonzero((word[1:] == word[:-1]) & same & (word[1:] != 0)) + 1
-    loud = np.flatnonzero((upper == letters) & (upper > 2))
+    loud = np.flatnonzero((upper == count) & (upper > 2))
     marked = np.flatnonzero(marks != 0)
     d = np.concatenate([doc, doc, doc[marked], doc[twice], doc[loud]])
     b = np.concatenate([bucket(word, 1), bucket(stem, 5), bucket(marks[marked], 2), np.full(len(twice), 3), np.full(len(loud), 4)])
     seen = np.unique(d << BITS | b)
-    d, b = seen >> BITS, seen & (1 << BITS) - 1
-    n = len(offsets) - 1
-    total, distinct, strange = np.bincount(doc, minlength=n), np.bincount(d, minlength=n), np.bincount(doc[odd], minlength=n)
-    has = np.flatnonzero(total)
-    size = np.minimum(3, np.log10(total[has]).astype(np.int64))
-    variety = 16 + 16 * size + np.minimum(15, (8 * distinct[has] / (total[has] + 4)).astype(np.int64))
-    strangeness = 96 + np.ceil(16 * strange[has] / total[has]).astype(np.int64)
-    return np.concatenate([d, has, has]), np.concatenate([b, variety, strangeness])
+    return seen >> BITS, seen & (1 << BITS) - 1, np.bincount(doc, minlength=n), np.bincount(doc[odd], minlength=n)
 
 
 @dataclass
