@@ -24,7 +24,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, worker_state
@@ -158,12 +158,20 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key:
     return bases
 
 
-def bucket_of(key, bounds: list[float]):
-    """How many of the sorted bounds lie below the key, by halving."""
+def bucket_of(key: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds lie below the key, by halving; the bounds are one constant, however many there are."""
     if not bounds:
         return F.lit(0)
-    mid = len(bounds) // 2
-    return F.when(key <= int(bounds[mid]), bucket_of(key, bounds[:mid])).otherwise(bucket_of(key, bounds[mid + 1:]) + mid + 1)
+    table = F.from_json(F.lit(json.dumps([int(b) for b in bounds])), "array<bigint>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def halve(span: Column, _: Column) -> Column:
+        mid = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+        below = F.get(table, mid) < key
+        step = F.struct(F.when(below, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(below, span["hi"]).otherwise(mid).alias("hi"))
+        return F.when(span["lo"] < span["hi"], step).otherwise(span)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda span: span["lo"])
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

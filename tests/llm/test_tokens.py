@@ -143,6 +143,13 @@ def test_encoder_equals_library():
             assert np.frombuffer(y, e.dtype).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 300])
+def test_buckets(spark, n):
+    bounds = sorted(random.Random(n).sample(range(-500, 1500), n))
+    for r in spark.range(-600, 1600, 7).select("id", token_files.bucket_of(F.col("id"), [float(b) for b in bounds]).alias("b")).collect():
+        assert r.b == sum(b < r.id for b in bounds)
+
+
 def test_op8_edges(spark, edge, clash, empty, tmp_path):
     t = Tokenizer.from_file(BYTE)
     for k, df in enumerate((edge.repartition(3), clash)):
