@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-BOOKS = 8
+BOOKS = 24
 WORDS = 256
 BEAM = 4
 SAMPLE = 16_384
-CANDIDATES = 200
+CANDIDATES = 400
 QUERY_BLOCK = 1024
 CODE_BLOCK = 65_536
 SEED = 3
@@ -66,22 +66,36 @@ class Codebooks:
             found.refit(x, found.encode(x))
         return found
 
-    def refit(self, x: np.ndarray, codes: np.ndarray) -> None:
-        """Least-squares codewords for these codes, all books at once."""
-        m, w, d = self.books.shape
-        columns = codes.astype(np.int64) + np.arange(m) * w
-        both = np.zeros((m * w, m * w))
-        for i in range(m):
-            for j in range(m):
-                both[i * w:(i + 1) * w, j * w:(j + 1) * w] = np.bincount(codes[:, i].astype(np.int64) * w + codes[:, j], minlength=w * w).reshape(w, w)
-        right = np.zeros((m * w, d))
-        for i in range(m):
-            order = np.argsort(columns[:, i], kind="stable")
-            used, starts = np.unique(columns[order, i], return_index=True)
-            right[used] = np.add.reduceat(x[order].astype(np.float64), starts, axis=0)
-        ridge = 1e-2
-        old = self.books.reshape(m * w, d)
-        self.books = np.linalg.solve(both + ridge * np.eye(m * w), right + ridge * old).astype(np.float32).reshape(m, w, d)
+    def refit(self, x: np.ndarray, codes: np.ndarray, steps: int = 15, ridge: float = 1e-2) -> None:
+        """Least-squares codewords for these codes, all books at once, by conjugate gradients from the old ones."""
+        orders = []
+        for i in range(codes.shape[1]):
+            order = np.argsort(codes[:, i], kind="stable")
+            orders.append((order, *np.unique(codes[order, i], return_index=True)))
+
+        def gathered(y: np.ndarray) -> np.ndarray:
+            """For every codeword the sum of the vectors that use it."""
+            out = np.zeros(self.books.shape)
+            for i, (order, used, starts) in enumerate(orders):
+                out[i, used] = np.add.reduceat(y[order], starts, axis=0)
+            return out
+
+        def applied(c: np.ndarray) -> np.ndarray:
+            return gathered(sum(c[i][codes[:, i]] for i in range(len(c)))) + ridge * c
+
+        c = self.books.astype(np.float64)
+        rest = gathered(x.astype(np.float64)) + ridge * c - applied(c)
+        way, size = rest.copy(), (rest**2).sum(axis=(0, 1))
+        for _ in range(steps):
+            if not size.any():
+                break
+            image = applied(way)
+            step = size / np.maximum((way * image).sum(axis=(0, 1)), 1e-300)
+            c += step * way
+            rest -= step * image
+            new = (rest**2).sum(axis=(0, 1))
+            way, size = rest + new / np.maximum(size, 1e-300) * way, new
+        self.books = c.astype(np.float32)
 
     def encode(self, x: np.ndarray, beam: int = BEAM, chunk: int = 2048) -> np.ndarray:
         """Codes (n, books) uint8 by beam search."""
