@@ -120,6 +120,32 @@ def test_op4_recall_with_few_candidates(spark):
     assert recall(spark, df, 10, candidates=120) >= 0.9
 
 
+def test_op4_recall_of_unstructured_vectors():
+    x = np.random.RandomState(1).normal(size=(20_000, 64)).astype(np.float32)
+    books = ann.Codebooks.fit(x[:8192])
+    codes, q, found = books.encode(x), x[::200], []
+    exact_scores, scores = q.astype(float) @ x.T.astype(float), books.scores(q, codes)
+    for e, a in zip(exact_scores, scores):
+        best = np.argpartition(-a, ann.CANDIDATES)[:ann.CANDIDATES]
+        found.append(len(set(np.argsort(-e)[:20]) & set(best)) / 20)
+    assert np.mean(found) >= 0.9
+
+
+def test_refit_lowers_the_error():
+    x = np.random.RandomState(2).normal(size=(3000, 16)).astype(np.float32)
+    books = ann.Codebooks.fit(x, books=4, words=32, refits=0)
+    codes = books.encode(x)
+    error = lambda: ((x - books.decode(codes)) ** 2).sum()
+    before = error()
+    books.refit(x, codes)
+    assert error() < before
+    onehot = np.zeros((3000, 4 * 32))
+    for m in range(4):
+        onehot[np.arange(3000), m * 32 + codes[:, m]] = 1
+    best = onehot @ np.linalg.lstsq(onehot, x.astype(float), rcond=None)[0]
+    assert error() < ((x - best) ** 2).sum() * 1.02
+
+
 def test_op4_edges(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     rows = [(i, v) for i in range(50)] + [(100, w), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [None, 1.0]), (105, [1.0]), (106, [float("inf"), 1.0]), (None, v), (0, v)]
