@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from .vectors import let
 
 
 def any_of(text: Column, words: Iterable[str]) -> Column:
-    """True if the text contains one of the words (plain substrings)."""
-    return text.rlike("|".join(re.escape(w) for w in words))
+    """True if the text contains one of the words (plain substrings, found byte by byte rather than as a pattern)."""
+    return let(text, lambda t: reduce(or_, [t.contains(w) for w in words]))
 
 
 def words(text: Column) -> Column:

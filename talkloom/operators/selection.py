@@ -74,18 +74,18 @@ def quota_top(rows: DataFrame, group: str, score: str, key: str, target: int) ->
 def priority_then_longest(rows: DataFrame, priority: Column, length: Column, target: int, key: str, seed: str = DEFAULT.seed) -> DataFrame:
     """Priority rows first, then random ones of the longer half of the others. [SMP2]
 
-    The half is cut by a running count over distinct lengths; only rows of the length it is cut in are ranked.
+    The half is cut by a running count over distinct lengths; only rows of the length it is cut in are ranked
+    among each other. Two passes over the rows.
     """
-    marked = rows.withColumn("_p", priority).withColumn("_l", length).withColumn("_h", drawn(F.col(key), seed))
-    others = marked.filter("not _p")
-    half = others.agg(F.floor(F.count("*") / 2)).scalar()
-    sizes = others.groupBy(F.col("_l").alias("_at")).agg(F.count("*").alias("_c"))
-    room = sizes.withColumn("_room", half - (F.sum("_c").over(Window.orderBy(F.desc("_at"))) - F.col("_c"))).filter("_room > 0")
-    long = others.join(room, F.col("_l") == F.col("_at"))
-    edge = long.filter("_room < _c").withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy(key))).filter("_n <= _room")
-    top = long.filter("_room >= _c").select(marked.columns).unionByName(edge.select(marked.columns))
-    first = marked.filter("_p").withColumn("_h", F.lit("")).unionByName(top)
-    return first.orderBy(F.desc("_p"), "_h", key).limit(target).select(rows.columns)
+    marked = rows.withColumn("_p", priority).withColumn("_l", length).withColumn("_h", F.when(priority, F.lit("")).otherwise(drawn(F.col(key), seed)))
+    sizes = marked.filter("not _p").groupBy(F.col("_l").alias("_at")).agg(F.count("*").alias("_c"))
+    half, before = F.floor(F.sum("_c").over(Window.partitionBy()) / 2), F.sum("_c").over(Window.orderBy(F.desc("_at"))) - F.col("_c")
+    room = sizes.withColumn("_room", half - before).filter("_room > 0")
+    joined = marked.join(room, ~F.col("_p") & (F.col("_l") == F.col("_at")), "left").filter("_p or _room is not null")
+    edge = F.coalesce(F.col("_room") < F.col("_c"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_l", F.when(edge, F.lit("")).otherwise(F.substring("_h", 1, 3))).orderBy(key))
+    kept = joined.withColumn("_n", rank).filter(~edge | (F.col("_n") <= F.col("_room")))
+    return kept.orderBy(F.desc("_p"), "_h", key).limit(target).select(rows.columns)
 
 
 def split_shuffled(rows: DataFrame, key: str, share: float = 0.1, seed: str = DEFAULT.seed) -> DataFrame:
