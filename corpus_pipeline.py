@@ -2,7 +2,7 @@
 
 1. language ID: documents without a letter, or whose bytes no learned language predicts, go;
 2. quality classifier: documents that are good with a probability below a half go;
-3. SimHash near-dedup: one document of each group stays;
+3. near-dedup: of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, one of each group stays;
 4. mixing sources to target weights: sources are repeated or thinned to their budgets, in blocks;
 5. byte-level BPE: ids of every document, decoded again as a check.
 """
@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkloom.llm import bpe, lang_id, mixing, quality, simhash
+from talkloom.llm import bpe, lang_id, mixing, quality, similar
 from talkloom.llm.common import written
 from talkloom.llm.queries import ENTROPY_SHARE, GRADES, MAX_REPEATS, SELECT_AT, estimated_tokens, held_out, pattern, ratings, tokenizer
 
 #: Above this many bits a byte a text is as good as noise to every learned language.
 MOST_BITS = 6.5
-#: Differing fingerprint bits at which documents are near-duplicates here.
+#: Differing fingerprint bits at which near-dedup linked documents before; only test_pipeline_stages reads it.
 DEDUP_DISTANCE = 7
 
 
@@ -35,7 +35,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, distance=DEDUP_DISTANCE)
+    return similar.one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
