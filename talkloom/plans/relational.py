@@ -519,7 +519,7 @@ def fn30_fn31_sentinels(embeddings: DataFrame) -> DataFrame:
 
 @query()
 def fn32_fuzzy_ratio(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select("item_id", F.round(retrieval.ratio(F.lower(F.substring("text", 1, 200)), F.lit("that and the thing in there")), 6).alias("ratio"))
+    return benchmark.select("item_id", F.round(retrieval.ratio(F.lit("that and the thing in there"), F.lower("text")), 6).alias("ratio"))
 
 
 @query(r"""select doc_id, array_to_string(list_filter([case when contains(lower(text), 'the') then 'film' end, case when contains(lower(text), 'und') then 'work' end], lambda x: x is not null), ',') as tags from documents""")
