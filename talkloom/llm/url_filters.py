@@ -6,7 +6,7 @@ intervals, and an as-of join (equal key, fetch time inside the interval) evaluat
 the entries in force when it was fetched.
 
 Keys are a host ('a.b.org'), which covers the hosts below it, or a host and first path segment
-('a.b.org/x'). A capture is looked up under its host, every parent of two labels or more, and each of them
+('a.b.org/x', the segment in its own case). A capture is looked up under its host, every parent of two labels or more, and each of them
 with its first path segment; the entry of the longest key in force decides (of equally long ones the greater in byte order).
 
 Defined results: a capture without a URL, a host or a fetch time is not blocked; entries with a null field or an unknown action
@@ -41,7 +41,10 @@ def keys_of(url: Column) -> Column:
 def validity(entries: DataFrame) -> DataFrame:
     """(key, action, since, until): when each entry is in force; ``until`` is excluded, NULL: still in force. 'drop' rows are left out."""
     rank = F.when(F.col("action") == "block", 3).when(F.col("action") == "allow", 2).when(F.col("action") == "drop", 1)
-    known = entries.select(F.lower("key").alias("key"), rank.alias("rank"), "since").filter("key is not null and rank is not null and since is not null")
+    # hosts are compared without case, path segments with it
+    host = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(host), F.substring(F.col("key"), F.length(host) + 1, F.length("key")))
+    known = entries.select(key.alias("key"), rank.alias("rank"), "since").filter("key is not null and rank is not null and since is not null")
     one = known.groupBy("key", "since").agg(F.max("rank").alias("rank"))
     spans = one.withColumn("until", F.lead("since").over(Window.partitionBy("key").orderBy("since"))).filter("rank > 1")
     return spans.select("key", F.when(F.col("rank") == 3, "block").otherwise("allow").alias("action"), "since", "until")
