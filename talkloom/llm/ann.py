@@ -2,10 +2,12 @@
 
 A vector is coded as the sum of one codeword from each of ``books`` full-dimensional codebooks. Codebooks
 start as k-means over successive residuals and are refitted jointly by least squares; codes are found by
-beam search over the residuals. The index holds a vector's codes and the norm of its reconstruction. A
-query's inner products with all codewords form lookup tables; a coded vector's score is the sum of its
-codewords' entries. The ``candidates`` best by that score are ranked again by the exact inner product, in
-double precision on the original vectors.
+beam search over the residuals. The index holds a vector's codes and the norms of its reconstruction and of
+its residual. A query's inner products with all codewords form lookup tables; a coded vector's score is the
+sum of its codewords' entries. The exact scores of the ``candidates`` best give a bar that the k best must
+reach; every vector whose score plus the bound |query| * |residual| reaches the bar is ranked by the exact
+inner product, in double precision on the original vectors. So no neighbour is lost at any size of the
+index; ``candidates`` and the codebooks decide the cost only.
 
 Equal vectors share one code: an index entry is a distinct vector with its smallest ids (as many as a result
 can need), so a vector that a third of all rows hold costs no more than any other. Queries go against the
@@ -150,7 +152,7 @@ def inner(a: str, b: str) -> Column:
 @dataclass
 class Index:
     codebooks: Codebooks | None
-    entries: DataFrame  # rep long, members array<long>, vector array<float>, codes binary, norm float
+    entries: DataFrame  # rep long, members array<long>, vector array<float>, codes binary, norm float, rest float
     rows: DataFrame  # vec_id, vector: all that take part
     n: int
 
@@ -168,17 +170,20 @@ def build(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding")
     n = classes.count()
     sample = classes.withColumn("h", F.xxhash64(F.lit(SEED), "rep")).orderBy("h", "rep").limit(SAMPLE).select("vector").toArrow()
     if not n:
-        return Index(None, classes.withColumn("codes", F.lit(b"")).withColumn("norm", F.lit(0.0)), rows, 0)
+        return Index(None, classes.withColumn("codes", F.lit(b"")).withColumn("norm", F.lit(0.0)).withColumn("rest", F.lit(0.0)), rows, 0)
     books = Codebooks.fit(matrix(sample.column("vector").combine_chunks()))
     shared = spark.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = shared.value.encode(matrix(batch.column("vector")))
-            norms = np.linalg.norm(shared.value.decode(codes), axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["rep", "members", "vector", "codes", "norm"])
+            x = matrix(batch.column("vector"))
+            codes = shared.value.encode(x)
+            found = shared.value.decode(codes)
+            norms = np.linalg.norm(found, axis=1).astype(np.float32)
+            rest = np.linalg.norm(x.astype(np.float64) - found, axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(rest)], names=["rep", "members", "vector", "codes", "norm", "rest"])
 
-    return Index(books, written(classes.mapInArrow(run, "rep long, members array<long>, vector array<float>, codes binary, norm float"), "index"), rows, n)
+    return Index(books, written(classes.mapInArrow(run, "rep long, members array<long>, vector array<float>, codes binary, norm float, rest float"), "index"), rows, n)
 
 
 def search(index: Index, queries: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
@@ -192,7 +197,7 @@ def search(index: Index, queries: DataFrame, k: int, candidates: int = CANDIDATE
     code_blocks = -(-index.n // CODE_BLOCK)
     query_blocks = -(-max(1, distinct.count()) // QUERY_BLOCK)
     left = distinct.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
-    right = entries.select("rep", "codes").withColumn("cb", F.pmod(F.xxhash64("rep"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    right = entries.select("rep", "codes", "rest", F.col("vector").alias("own")).withColumn("cb", F.pmod(F.xxhash64("rep"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         parts = []
@@ -202,18 +207,28 @@ def search(index: Index, queries: DataFrame, k: int, candidates: int = CANDIDATE
             reps = reps[order]
             codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(reps), -1)[order]
             vectors, ids = matrix(a.column("vector").combine_chunks()), a.column("q").to_numpy()
-            keep = min(candidates, len(reps))
+            own, rest = matrix(b.column("own").combine_chunks())[order].astype(np.float64), b.column("rest").to_numpy()[order].astype(np.float64)
+            keep = min(max(candidates, k + 1), len(reps))
+            longest = np.linalg.norm(own, axis=1).max()
+            # what rounding to single precision can add up to, in scores (by the largest codewords) and residuals
+            slack = 1e-5 * (np.linalg.norm(shared.value.books.astype(np.float64), axis=2).max(axis=1).sum() + longest)
             for lo in range(0, len(ids), 64):
                 s = shared.value.scores(vectors[lo:lo + 64], codes)
                 best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                parts.append((np.repeat(ids[lo:lo + 64], keep), reps[best].ravel(), np.take_along_axis(s, best, 1).ravel()))
-        q, c, s = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        return pa.table({"q": q, "c": c, "approx": s.astype(np.float32)})
-
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, "q long, c long, approx float")
-    if code_blocks > 1:
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("approx"), "c"))).filter(F.col("r") <= candidates)
-    near = near.select("q", "c")
+                for i, v in enumerate(vectors[lo:lo + 64].astype(np.float64)):
+                    size = np.linalg.norm(v)
+                    first = own[best[i]] @ v
+                    bar = np.partition(first, max(0, keep - k - 1))[max(0, keep - k - 1)]
+                    able = np.flatnonzero(s[i] + size * (rest + slack) >= bar)
+                    scores = own[able] @ v
+                    # all that tie with the last one stay, give or take the rounding of sums in another order
+                    good = len(able) - min(k + 1, len(able))
+                    able = able[scores >= np.partition(scores, good)[good] - 1e-12 * size * longest]
+                    parts.append((np.full(len(able), ids[lo + i]), reps[able]))
+        q, c = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"q": q, "c": c})
+
+    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, "q long, c long")
     exact = near.join(entries.select(F.col("rep").alias("c"), "members", F.col("vector").alias("cv")), "c").join(entries.select(F.col("rep").alias("q"), F.col("vector").alias("qv")), "q")
     scored = exact.select("q", "members", inner("qv", "cv").alias("score"))
     few = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
