@@ -13,7 +13,9 @@ the candidates that the corpus holds in the balls around its parts. Probes and f
 dealt to several groups, each of which gets the bucket's fingerprints.
 
 Work is on distinct fingerprints, so exact copies cost nothing. What reaches the driver and is broadcast
-has a fixed size: a 64 x 64 table of bit counts and a histogram of 2**16 values for each partition.
+has a fixed size: a 64 x 64 table of bit counts and a histogram of 2**16 values for each partition. The
+number of partitions, where it isn't given, is the one of least estimated cost over the whole corpus: it
+bears on cost alone, never on the links.
 
 Defined results: null text counts as empty; a null key keeps its row; equal rows share their component; a
 component is named by its smallest non-null key; an empty table gives an empty table.
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ from .common import add_column, slices, small_batches, worker_state, written
 
 SHINGLE = 4
 DISTANCE = 4
-PARTITIONS = 4
+#: Numbers of partitions to choose from where none is given; what a number of partitions can be at all.
+CHOICES = (3, 4, 5, 6, 7, 8)
+LEAST_PARTITIONS, MOST_PARTITIONS = 2, 16
 #: Cost of one probe in candidates: a shuffled row against one comparison of two numbers.
 PROBE_COST = 40.0
 SHINGLES_AT_ONCE = 1 << 16
@@ -165,47 +170,60 @@ def ball(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(width), k)], np.int64)
 
 
-def histogram(fps: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
-    """Per partition, how many distinct fingerprints have each value (of its first 16 bits, if it is wider)."""
-    schema = "i int, v int, n long"
+def histograms(fps: DataFrame, choices: list[list[list[int]]]) -> list[list[np.ndarray]]:
+    """For each choice of partitions, how many distinct fingerprints have each value (of its first 16 bits, if it is wider) in each."""
+    every = [(m, i, g) for m, groups in enumerate(choices) for i, g in enumerate(groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = parts_of(batch.column(0).to_numpy(), groups) & 0xFFFF
-            for i in range(len(groups)):
-                v, n = np.unique(p[:, i], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(len(v), i), pa.int32()), "v": pa.array(v, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    counts = fps.mapInArrow(run, schema).groupBy("i", "v").agg(F.sum("n").alias("n")).toArrow()
-    i, v, n = (counts.column(c).to_numpy() for c in ("i", "v", "n"))
-    out = []
-    for k, g in enumerate(groups):
+            p = parts_of(batch.column(0).to_numpy(), [g for _, _, g in every]) & 0xFFFF
+            for k in range(len(every)):
+                v, n = np.unique(p[:, k], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(v), k), pa.int32()), "v": pa.array(v, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    counts = fps.mapInArrow(run, "k int, v int, n long").groupBy("k", "v").agg(F.sum("n").alias("n")).toArrow()
+    k, v, n = (counts.column(c).to_numpy() for c in ("k", "v", "n"))
+    out: list[list[np.ndarray]] = [[] for _ in choices]
+    for at, (m, _, g) in enumerate(every):
         h = np.zeros(1 << min(16, len(g)), np.int64)
-        h[v[i == k]] = n[i == k]
-        out.append(h)
+        h[v[k == at]] = n[k == at]
+        out[m].append(h)
     return out
 
 
 def ball_costs(hist: list[np.ndarray], groups: list[list[int]], units: int) -> list[np.ndarray]:
-    """costs[i][u, v]: probes and candidates for looking in partition i at radius u - 1 around v; u = 0: not at all."""
-    out = []
+    """costs[i][u, v]: probes and candidates for looking in partition i at radius u - 1 around v; u = 0: not at all.
+
+    A partition takes at most two units more than its even share: dearer balls are never worth it, and the shares always add up.
+    """
+    most, out = -(-units // len(groups)) + 2, []
     for h, g in zip(hist, groups):
         values = np.arange(len(h))
         narrow = min(16, len(g))
         costs = np.full((units + 1, len(h)), np.inf, np.float32)
         costs[0] = 0
         total, done = np.zeros(len(h)), 0
-        for u in range(1, min(units, 4, narrow + 1) + 1):
-            masks = ball(narrow, u - 1)
+        for u in range(1, min(units, most, len(g) + 1) + 1):
+            masks = ball(narrow, min(u - 1, narrow))
             for mask in masks[done:]:
                 total += h[values ^ mask]
             done = len(masks)
-            wide = len(ball(len(g), u - 1))
+            wide = sum(comb(len(g), k) for k in range(u))
             costs[u] = PROBE_COST * wide + total * wide / done / 2.0 ** (len(g) - narrow)
         out.append(costs)
     return out
 
 
+def expected_cost(hist: list[np.ndarray], costs: list[np.ndarray], units: int) -> float:
+    """Cost of an average fingerprint under the best thresholds that are the same for all."""
+    best = np.full(units + 1, np.inf)
+    best[0] = 0
+    for h, own in zip(hist, costs):
+        mean = np.array([(c[h > 0].astype(np.float64) * h[h > 0]).sum() for c in own]) / max(1, h.sum())
+        best = np.array([min(best[s - u] + mean[u] for u in range(s + 1)) for s in range(units + 1)])
+    return float(best[units])
+
+
 def allocate(parts: np.ndarray, costs: list[np.ndarray], units: int) -> np.ndarray:
     """Units (threshold + 1) of each partition for each fingerprint: dynamic programming over the partitions."""
     n, m = parts.shape
@@ -236,7 +254,7 @@ PAIRS = 1 << 21
 
 
 def verified(k: np.ndarray, s: np.ndarray, f: np.ndarray, probe: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a probe and a place of the same (k, s) within the distance; rows are sorted by (k, s, probe)."""
+    """Pairs (rows of probes, rows of places) of the same (k, s) within the distance; rows are sorted by (k, s, probe)."""
     group = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]) | (s[1:] != s[:-1]))])
     begins = np.searchsorted(group, np.arange(group[-1] + 1))
     places = np.bincount(group, ~probe)[group].astype(np.int64)
@@ -248,9 +266,9 @@ def verified(k: np.ndarray, s: np.ndarray, f: np.ndarray, probe: np.ndarray, dis
         hi = max(lo + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
         n = places[rows[lo:hi]]
         ends = np.cumsum(n)
-        q = f[np.arange(int(ends[-1])) + np.repeat(begins[group[rows[lo:hi]]] - (ends - n), n)]
-        p = np.repeat(f[rows[lo:hi]], n)
-        x = p ^ q
+        q = np.arange(int(ends[-1])) + np.repeat(begins[group[rows[lo:hi]]] - (ends - n), n)
+        p = np.repeat(rows[lo:hi], n)
+        x = f[p] ^ f[q]
         near = np.flatnonzero((np.bitwise_count(x.view(np.uint64)) <= distance) & (x != 0))
         yield p[near], q[near]
         lo = hi
@@ -274,59 +292,83 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[at]], nodes[at]
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS, every: bool = True) -> DataFrame:
+def ordered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two different values, the smaller one first."""
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+    return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+
+def partitioned(fps: DataFrame, distance: int, partitions: int | None) -> tuple[list[list[int]], list[np.ndarray], list[np.ndarray]]:
+    """(bits of each partition, histograms, costs) for the number of partitions given, or of least expected cost."""
+    if partitions is not None and not LEAST_PARTITIONS <= partitions <= MOST_PARTITIONS:
+        raise ValueError(f"the number of partitions must be from {LEAST_PARTITIONS} to {MOST_PARTITIONS}")
+    both, n = bit_table(fps), fps.count()
+    choices = [group_bits(both, n, m) for m in (CHOICES if partitions is None else [partitions])]
+    hists = histograms(fps, choices)
+    costs = [ball_costs(h, g, distance + 1) for h, g in zip(hists, choices)]
+    best = min(range(len(choices)), key=lambda m: (expected_cost(hists[m], costs[m], distance + 1), m))
+    return choices[best], hists[best], costs[best]
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, partitions: int | None = None, every: bool = True, labelled: bool = False) -> DataFrame:
     """(a long, b long), a < b: all pairs of distinct fingerprints at 1 to ``distance`` differing bits.
 
     Without ``every``: edges with the same components, at most one for each linked fingerprint and task, so that a
     group of many alike fingerprints doesn't give a number of rows that is the square of its size.
+    ``labelled``: the second column of ``fps`` labels each fingerprint; the pairs are those of different labels that
+    linked fingerprints have.
     """
     spark, units = fps.sparkSession, distance + 1
-    fps = fps.select(F.col(fps.columns[0]).alias("f"))
-    n = fps.count()
-    groups = group_bits(bit_table(fps), n, partitions)
-    hist = histogram(fps, groups)
-    shared = spark.sparkContext.broadcast((ball_costs(hist, groups, units), [-(-h // BUCKET) for h in hist]))
+    fps = fps.select(F.col(fps.columns[0]).alias("f"), F.col(fps.columns[1] if labelled else fps.columns[0]).alias("label"))
+    groups, hist, costs = partitioned(fps.select("f"), distance, partitions)
+    shared = spark.sparkContext.broadcast((costs, [-(-h // BUCKET) for h in hist]))
+    names = ["k", "s", "f", "label", "probe"]
 
     def spread(i: int, values: np.ndarray) -> np.ndarray:
         """Groups that a bucket's probes are dealt to; its places go to each."""
         return np.maximum(1, shared.value[1][i][values & len(shared.value[1][i]) - 1])
 
-    def batch_of(k: np.ndarray, s: np.ndarray, f: np.ndarray, probe: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"k": k, "s": s.astype(np.int32), "f": f, "probe": np.full(len(k), probe)})
+    def batch_of(k: np.ndarray, s: np.ndarray, f: np.ndarray, label: np.ndarray, probe: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.astype(np.int32)), pa.array(f), pa.array(label), pa.array(np.full(len(k), probe))], names=names)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 8192):
-                f = whole.column(0).slice(lo, 8192).to_numpy()
+                f, label = (whole.column(c).slice(lo, 8192).to_numpy() for c in (0, 1))
                 parts = parts_of(f, groups)
                 taken = allocate(parts, shared.value[0], units)
                 salt = (f.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64)
                 for i, g in enumerate(groups):
                     copies = spread(i, parts[:, i])
                     ends = np.cumsum(copies)
-                    yield batch_of(np.repeat(parts[:, i] << 4 | i, copies), np.arange(ends[-1]) - np.repeat(ends - copies, copies), np.repeat(f, copies), False)
+                    yield batch_of(np.repeat(parts[:, i] << 4 | i, copies), np.arange(ends[-1]) - np.repeat(ends - copies, copies), np.repeat(f, copies), np.repeat(label, copies), False)
                     for u in range(1, units + 1):
                         at = np.flatnonzero(taken[:, i] == u)
-                        if len(at):
-                            values = (parts[at, i][:, None] ^ ball(len(g), u - 1)[None, :]).ravel()
-                            each = len(values) // len(at)
-                            yield batch_of(values << 4 | i, np.repeat(salt[at], each) % spread(i, values), np.repeat(f[at], each), True)
+                        masks = ball(len(g), u - 1) if len(at) else []
+                        for m in range(0, len(masks), 256):
+                            part = masks[m:m + 256]
+                            values = (parts[at, i][:, None] ^ part[None, :]).ravel()
+                            yield batch_of(values << 4 | i, np.repeat(salt[at], len(part)) % spread(i, values), np.repeat(f[at], len(part)), np.repeat(label[at], len(part)), True)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        names = ("k", "s", "f", "probe")
+        fewer = ordered if labelled else forest
 
         def done(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for p, q in verified(*part, distance):
-                if every:
-                    for lo in range(0, len(p), 1 << 16):
-                        x, y = p[lo:lo + (1 << 16)], q[lo:lo + (1 << 16)]
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-                elif len(p):
-                    found.append(forest(p, q))
-                    if sum(len(x) for x, _ in found) > 1 << 20:
-                        found[:] = [forest(*(np.concatenate(x) for x in zip(*found)))]
+            k, s, f, label, probe = part
+            for p, q in verified(k, s, f, probe, distance):
+                x, y = label[p], label[q]
+                if every and not labelled:
+                    for lo in range(0, len(x), 1 << 16):
+                        low, high = np.minimum(x[lo:lo + (1 << 16)], y[lo:lo + (1 << 16)]), np.maximum(x[lo:lo + (1 << 16)], y[lo:lo + (1 << 16)])
+                        yield pa.RecordBatch.from_pydict({"a": low, "b": high})
+                elif len(x):
+                    found.append(fewer(x, y))
+                    if sum(len(z) for z, _ in found) > 1 << 20:
+                        found[:] = [fewer(*(np.concatenate(z) for z in zip(*found)))]
+                        if labelled and len(found[0][0]) > 1 << 19:
+                            yield pa.RecordBatch.from_arrays([pa.array(z) for z in found.pop()], names=["a", "b"])
 
         for batch in batches:
             held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
@@ -343,20 +385,20 @@ def links(fps: DataFrame, distance: int = DISTANCE, partitions: int = PARTITIONS
             if len(now[0]):
                 yield from done(now)
         if found:
-            a, b = forest(*(np.concatenate(x) for x in zip(*found)))
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in fewer(*(np.concatenate(z) for z in zip(*found)))], names=["a", "b"])
 
-    dealt = small_batches(fps).mapInArrow(rows, "k long, s int, f long, probe boolean").repartition("k", "s").sortWithinPartitions("k", "s", "probe")
+    dealt = small_batches(fps).mapInArrow(rows, "k long, s int, f long, label long, probe boolean").repartition("k", "s").sortWithinPartitions("k", "s", "probe")
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
 # --- components
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for all nodes of edges (a, b).
 
-    Alternates large-star and small-star steps, each written to the shared folder, until nothing changes.
+    Alternates large-star and small-star steps, each written to the shared folder, until nothing changes; the number
+    of rounds grows with the logarithm of the longest path.
     """
 
     def state(e: DataFrame) -> tuple:
@@ -373,9 +415,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges = written(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
     before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = written(star(both, True).distinct(), "large")
         edges = written(star(large.select(F.col("b").alias("u"), F.col("a").alias("v")), False).distinct(), "small")
@@ -383,12 +423,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, partitions: int | None = None) -> DataFrame:
     """(key, fingerprint long, component_id, is_first): component_id is the smallest key that links reach from the row's
     fingerprint; is_first marks the rows of that key and its smallest fingerprint (of a component without keys, of its smallest fingerprint)."""
     rows = written(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text")), keep=["key"], shingle=shingle), "fingerprints")
@@ -402,7 +440,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return joined.select(F.col("key").alias(key), "fingerprint", "component_id", (F.col("key").eqNullSafe(F.col("component_id")) & (F.col("fingerprint") == F.col("first"))).alias("is_first"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, partitions: int = PARTITIONS) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, partitions: int | None = None) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component the row of smallest key (of rows that share it, one)."""
     marked = written(near_duplicates(df, key, text, shingle, distance, partitions), "marked")
     again = marked.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(F.col(key).alias("k"))

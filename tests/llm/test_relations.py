@@ -12,9 +12,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from talkloom.llm import ann, media, mixing, queries, simhash, url_filters
+from talkloom.llm import ann, media, mixing, queries, similar, simhash, url_filters
 
 from ..oracle import SF, same_rows
+from .test_similar import brute_groups
 
 SF1 = SF.replace("sf0.001", "sf0.01")
 
@@ -341,10 +342,10 @@ def test_op10_rows(spark):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op10_simhash(spark, SF).collect()} == want
 
 
-@pytest.mark.parametrize(("distance", "partitions"), [(4, 4), (7, 4), (2, 3), (4, 5), (0, 4), (6, 6)])
+@pytest.mark.parametrize(("distance", "partitions"), [(4, 4), (7, 4), (2, 3), (4, 5), (0, 4), (6, 6), (8, 2), (12, 3), (10, None), (3, 16)])
 def test_op10_links_lose_nothing(spark, distance, partitions):
     r, values = random.Random(distance), set()
-    for _ in range(60):
+    for _ in range(5 if distance > 7 else 60):
         f = r.getrandbits(64)
         for _ in range(r.randrange(1, 8)):
             values.add(f)
@@ -360,6 +361,23 @@ def test_op10_links_lose_nothing(spark, distance, partitions):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", [0, 1, 17])
+def test_op10_refuses_what_it_cannot_part(spark, partitions):
+    with pytest.raises(ValueError, match="partitions"):
+        simhash.links(spark.range(5).toDF("f"), 4, partitions)
+
+
+def test_op10_labelled_links(spark):
+    r, values = random.Random(3), set()
+    for _ in range(40):
+        f = r.getrandbits(63)
+        values |= {f, f ^ 1 << r.randrange(63), f ^ 5 << r.randrange(60)}
+    rows = [(v, k % 25) for k, v in enumerate(sorted(values))]
+    got = simhash.links(spark.createDataFrame(rows, "f long, label long"), 5, labelled=True).collect()
+    want = {(min(x, y), max(x, y)) for i, (v, x) in enumerate(rows) for w, y in rows[:i] if x != y and (v ^ w).bit_count() <= 5}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_op10_large_buckets_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 4)
     monkeypatch.setattr(simhash, "PAIRS", 50)
@@ -418,9 +436,9 @@ def test_pipeline_stages(spark):
         if name in ("language ID", "quality", "near-dedup"):
             assert new.exceptAll(docs).count() == 0
         if name == "near-dedup":
-            rows = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.select("doc_id", "text").collect()]
-            keep = brute_components(rows, cp.DEDUP_DISTANCE)
-            assert sorted(r.doc_id for r in new.select("doc_id").collect()) == sorted(set(keep))
+            rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+            kept, near, alike = {r.doc_id for r in new.select("doc_id").collect()}, brute_groups(rows, similar.DISTANCE), brute_groups(rows, 64)
+            assert kept <= set(near.values()) and set(alike.values()) <= kept
         docs = new
     assert docs.filter("not round_trip").count() == 0
     assert counts[0] >= counts[1] >= counts[2] > 0 and counts[3] == counts[4]
