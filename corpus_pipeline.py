@@ -2,7 +2,7 @@
 
 1. language ID: documents without a letter, or whose bytes no learned language predicts, go;
 2. quality classifier: documents that are good with a probability below a half go;
-3. near-dedup: of documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more, one of each group stays;
+3. SimHash near-dedup: candidates by fingerprint, links by a Jaccard similarity of 0.8 or more of five-word shingle sets; one of each group stays;
 4. mixing sources to target weights: sources are repeated or thinned to their budgets, in blocks;
 5. byte-level BPE: ids of every document, decoded again as a check.
 """
@@ -18,8 +18,6 @@ from talkloom.llm.queries import ENTROPY_SHARE, GRADES, MAX_REPEATS, SELECT_AT,
 
 #: Above this many bits a byte a text is as good as noise to every learned language.
 MOST_BITS = 6.5
-#: Differing fingerprint bits at which near-dedup linked documents before; only test_pipeline_stages reads it.
-DEDUP_DISTANCE = 7
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
