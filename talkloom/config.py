@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from . import fixed
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -31,18 +33,17 @@ class Settings:
     list_markers: tuple[str, ...] = ("-", "•", "1.", "1)", "->")
     film_words: tuple[str, ...] = ("film", "screenplay", "scene", "dialogue", "story", "character", "production", "movie", "cinema")
     persona_words: tuple[str, ...] = ("persona", "belief", "value", "emotion", "relationship", "dream", "fear", "tech", "decision")
-    profanity: tuple[str, ...] = ("damn", "hell", "idiot", "stupid")
+    profanity: tuple[str, ...] = fixed.PROFANITY
+    script_name: str = "telugu"
+    script_greeting: str = "బాస్"
+    knobs: tuple[str, ...] = fixed.KNOBS
     phone: str = r"\+?\d[\d\s\-()]{5,}\d"
     email: str = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
     email_lax: str = r"\b[^\s@]+@[^\s@]+\b"
     switch_words: dict[str, str] = field(default_factory=lambda: {"kitchen": "kitchen", "cook": "kitchen", "cooking": "kitchen", "writers": "writers_room", "writing": "writers_room", "script": "writers_room", "storyboard": "storyboard", "visual": "storyboard", "general": "general"})
     switch_patterns: tuple[str, ...] = (r"switch to (\w+)", r"go to (\w+)", r"let'?s go to (\w+)", r"(\w+) mode", r"in the (\w+)")
     locations: tuple[tuple[str, str], ...] = (("kitchen", "kitchen"), ("cook", "kitchen"), ("writers", "writers_room"), ("writing", "writers_room"), ("office", "writers_room"), ("storyboard", "storyboard"), ("visual", "storyboard"), ("studio", "storyboard"))
-    context_keywords: tuple[tuple[str, tuple[str, ...]], ...] = (
-        ("writers_room", ("scene", "script", "dialogue", "character", "story")),
-        ("kitchen", ("recipe", "cook", "ingredient", "oven")),
-        ("storyboard", ("frame", "shot", "camera", "visual")),
-    )
+    context_keywords: tuple[tuple[str, tuple[str, ...]], ...] = fixed.CONTEXT_WORDS
 
 
 DEFAULT = Settings()

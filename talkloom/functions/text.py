@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 from operator import or_
@@ -9,6 +10,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..config import DEFAULT, Settings
 from .vectors import let
 
@@ -73,6 +75,7 @@ def lang_category(text: Column, s: Settings = DEFAULT) -> Column:
     return F.when(~has_script(text, s), "english_only").when(share > 0.7, "english_dominant").when(share > 0.3, "code_switched").otherwise("script_dominant")
 
 
+# Marks of the second language in Latin letters, and frequent English words.
 ROMANIZED = (r"\b(nenu|naku|meeru|miku)\b", r"\b(undi|undhi|unnadi)\b", r"\b(chesta|chestha|chesanu)\b", r"\b(kavali|vaddu)\b", r"\b(enti|emiti|ela)\b", r"\b(kosam|gurinchi)\b", r"\b(ledu|avunu)\b", r"\b(inka|antey|ante)\b")
 STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "to", "of", "in", "for", "on", "with", "at", "by", "from", "and", "but", "or", "not", "i", "you", "he", "she", "it", "we", "they", "this", "that", "what", "which", "who", "when", "where", "why", "how")
 
@@ -127,7 +130,9 @@ def normalize_romanized(text: Column) -> Column:
 
 def redact_pii(text: Column, s: Settings = DEFAULT) -> Column:
     """Phone numbers, then addresses, then anything like one. [FN18]"""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, s.phone, "{PHONE}"), s.email, "{EMAIL}"), s.email_lax, "{EMAIL}")
+    phones = F.regexp_replace(text, s.phone, "{PHONE}")
+    # an address has an @: texts without one are spared two passes
+    return F.when(text.contains("@"), F.regexp_replace(F.regexp_replace(phones, s.email, "{EMAIL}"), s.email_lax, "{EMAIL}")).otherwise(phones)
 
 
 def redact_names(text: Column, names: Column) -> Column:
@@ -201,11 +206,13 @@ def has_profanity(text: Column, s: Settings = DEFAULT) -> Column:
 
 def repeats_word(text: Column) -> Column:
     """Three equal words in a row, in a text of more than three. [FN39, WIN14]"""
-    w = words(F.lower(text))
-    n = F.size(w)
-    rest = lambda k: F.slice(w, k, F.greatest(n, F.lit(1)))
-    three = F.arrays_zip(w.alias("a"), rest(2).alias("b"), rest(3).alias("c"))
-    return (n > 3) & F.coalesce(F.exists(three, lambda x: (x["a"] == x["b"]) & (x["b"] == x["c"])), F.lit(False))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("n"))
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when(w == a["last"], a["run"] + 1).otherwise(1)
+        return F.struct(w.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"), (a["n"] + 1).alias("n"))
+
+    return F.aggregate(words(F.lower(text)), start, step, lambda a: (a["most"] >= 3) & (a["n"] > 3))
 
 
 def is_char_spam(text: Column) -> Column:
@@ -233,8 +240,42 @@ def slug(text: Column, ascii_only: bool = False) -> Column:
 
 def decision_question(domain_: Column, situation: Column, choice: Column) -> Column:
     """Question of a decision scenario; NULL without situation or choice. [FN42]"""
-    ask = F.when(domain_ == "work", " What would you do?").when(domain_ == "family", " How do you handle it?").otherwise(" What is your call?")
-    return F.when(situation.isNotNull() & choice.isNotNull(), F.concat(F.lit("When "), F.lower(situation), F.lit(","), ask))
+    (first, end_first), (second, end_second), (_, end) = fixed.DECISION_ENDS
+    ask = F.when(domain_.isin(*first), end_first).when(domain_.isin(*second), end_second).otherwise(end)
+    return F.when((F.length(situation) > 0) & (F.length(choice) > 0), F.concat(F.lit("Boss, "), F.lower(situation), ask))
+
+
+def decision_answer(situation: Column, choice: Column, rationale: Column) -> Column:
+    """Choice, and the rationale where there is one; NULL without situation or choice. [FN42]"""
+    said = F.when(F.length(rationale) > 0, F.concat(choice, F.lit(". "), rationale)).otherwise(choice)
+    return F.when((F.length(situation) > 0) & (F.length(choice) > 0), said)
+
+
+def filled(form: str, fields: dict[str, Column]) -> Column:
+    """The form with each {name} replaced by that field."""
+    parts = re.split(r"\{(\w+)\}", form)
+    return F.concat(*[fields[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+def prompts(kind: str, **fields: Column) -> Column:
+    """Array of (question, answer, domain, task) of a generator: 'scene', 'word', 'principle' or 'decision'. [FN44, JN20]
+
+    Empty where the row lacks what the generator asks for: a text, a word with its definition, a situation.
+    """
+    asked = {"scene": ("text",), "word": ("word", "definition"), "principle": ("principle",), "decision": ("situation",)}[kind]
+    own = {k: F.coalesce(v, F.lit("")) for k, v in fields.items()}
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    own |= {k: strip(own[k]) for k in ("text", "definition", "principle") if k in own}
+    if kind == "principle":
+        own["principle"] = strip(F.regexp_replace(own["principle"], r"^\s*\d+\.\s*", ""))
+    if kind == "decision":
+        own["domain"] = F.coalesce(fields["domain"], F.lit("general")) if "domain" in fields else F.lit("general")
+        own["heuristics"] = F.coalesce(F.nullif(F.array_join(fields["heuristics"], ", "), F.lit("")), F.lit("...")) if "heuristics" in fields else F.lit("...")
+    items = [F.struct(filled(q, own).alias("question"), filled(a, own).alias("answer"), filled(d, own).alias("domain"), F.lit(t).alias("task")) for q, a, d, t in fixed.PROMPTS[kind]]
+    there = None
+    for k in asked:
+        there = F.length(own[k]) > 0 if there is None else there & (F.length(own[k]) > 0)
+    return F.when(there, F.array(*items)).otherwise(F.array().cast("array<struct<question:string,answer:string,domain:string,task:string>>"))
 
 
 def real_time_factor(processing: Column, duration: Column) -> Column:

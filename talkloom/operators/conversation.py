@@ -28,7 +28,7 @@ def from_location(location: Column, s: Settings = DEFAULT) -> Column:
 def keyword_scores(message: Column, s: Settings = DEFAULT) -> Column:
     """Array of (context, score): substring hits and word hits over 0.3 of the keywords, 1 at most. [CLS4, JN19]"""
     low = F.lower(message)
-    toks = F.array_distinct(F.filter(F.split(low, r"[^\w]+"), lambda w: w != ""))
+    toks = F.array_distinct(F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
     out = []
     for name, words in s.context_keywords:
         hits = sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0)) + F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in words])))
@@ -59,11 +59,16 @@ def detect_contexts(turns: DataFrame, session: str, order: str, message: str, lo
     return rows.withColumn("confidence", sure).drop("_switch", "_place", "_word", "_first", "_strong", "_own")
 
 
-def intent(message: Column) -> Column:
-    """(needs_clarifying, should_mix) by the number of settled choices a request names. [CLS5]"""
+def intent(message: Column, s: Settings = DEFAULT) -> Column:
+    """(needs_clarifying, should_mix): the first rule that a request meets decides. [CLS5]"""
     low = F.lower(message)
-    knobs = sum((F.when(low.rlike(p), 1).otherwise(0) for p in (r"\b\d+\b", r"\b(tone|mood|style)\b", r"\b(scene|script|story)\b", r"\b(character|role)\b", r"\b(length|pages|lines)\b")), F.lit(0))
-    return F.struct((knobs < 4).alias("needs_clarifying"), (low.rlike(r"\bmix\b") | fx.has_script(message)).alias("should_mix"))
+    has = low.contains
+    own = (fx.lang_three_way(message, s) == s.script_lang) | F.regexp_replace(low, r"^\s+", "").startswith(s.script_greeting) | has(s.script_name)
+    settled = sum((F.when(has(k), 1).otherwise(0) for k in s.knobs), F.lit(0))
+    asks = F.when(own, False).when(has("first step") & has("outline"), False).when(has("need only discovery"), True).when(has("give me next beats") | has("already locked"), False)
+    asks = asks.when(has("outline") | has("beat") | has("plan"), settled < 4).when(has("need your default pitch"), False).when(has("pitch"), True).otherwise(False)
+    mixes = has("english lo") | has("mix") | (has("english") & has(s.script_name))
+    return F.struct(asks.alias("needs_clarifying"), mixes.alias("should_mix"))
 
 
 def topic_words(texts: Column, n: int = 10) -> Column:
@@ -80,16 +85,39 @@ def as_messages(*pairs: tuple[str, Column]) -> Column:
     return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in pairs])
 
 
-def chat_examples(turns: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, messages): the turns of each conversation in order. [FN41]"""
-    item = F.struct(F.col(order).alias("o"), "role", F.col("text").alias("content"))
-    lists = turns.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("m"))
-    return lists.select(key, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+def chat_examples(turns: DataFrame, key: str, order: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, messages): the turns of each conversation in order, with ``extra`` columns as further fields. [FN41]"""
+    fields = ("role", "content", *extra)
+    item = F.struct(F.col(order).alias("o"), "role", F.col("text").alias("content"), *extra)
+    lists = turns.groupBy(key).agg(F.collect_list(item).alias("m"))
+    in_order = F.array_sort("m", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+    return lists.select(key, F.transform(in_order, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("messages"))
 
 
 def flatten_tools(messages: Column) -> Column:
-    """Tool messages as user messages that name the tool. [LLM1]"""
-    return F.transform(messages, lambda m: F.when(m["role"] == "tool", F.struct(F.lit("user").alias("role"), F.concat(F.lit("[tool] "), m["content"]).alias("content"))).otherwise(F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+    """Messages (role, content, name, tool_calls of (name, arguments as JSON)) as plain (role, content). [LLM1]
+
+    An assistant's calls follow its text as markup, one a line; a tool's message becomes a user's that names the tool.
+    """
+    named = lambda x: F.coalesce(x["name"], F.lit("tool"))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    call = lambda c: F.concat(F.lit('<tool_call name="'), named(c), F.lit('">'), F.coalesce(c["arguments"], F.lit("{}")), F.lit("</tool_call>"))
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+
+    def flat(m: Column) -> Column:
+        said = F.coalesce(m["content"], F.lit(""))
+        calls = strip(F.concat(said, F.lit("\n"), F.array_join(F.transform(m["tool_calls"], call), "\n")))
+        tool = strip(F.concat(F.lit("[tool:"), named(m), F.lit("] "), said))
+        plain = F.when((m["role"] == "assistant") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0), message(m["role"], calls))
+        return plain.when(m["role"] == "tool", message(F.lit("user"), tool)).otherwise(message(m["role"], said))
+
+    return F.transform(messages, flat)
+
+
+def first_tool_calls(messages: Column) -> Column:
+    """Names of the tools that the first message with calls names ('unknown' where a call has none). [AG13]"""
+    bearing = F.filter(messages, lambda m: m["tool_calls"].isNotNull())
+    return F.coalesce(F.transform(F.get(bearing, F.lit(0))["tool_calls"], lambda c: F.coalesce(c["name"], F.lit("unknown"))), F.array().cast("array<string>"))
 
 
 def has_assistant_text(messages: Column) -> Column:

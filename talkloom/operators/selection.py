@@ -98,7 +98,7 @@ def split_shuffled(rows: DataFrame, key: str, share: float = 0.1, seed: str = DE
 
 def template_of(key: Column, templates: list[str]) -> Column:
     """One of the templates, by the key's hash. [SMP6]"""
-    return F.element_at(F.array(*[F.lit(t) for t in templates]), (F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(len(templates))) + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(t) for t in templates]), (F.conv(F.substring(drawn(key), 1, 8), 16, 10).cast("long") % len(templates) + 1).cast("int"))
 
 
 def last_n(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
+
 
 def fractions(rows: DataFrame, label: Column, digits: int = 3) -> DataFrame:
     """(label, n, share): the rows of each label over all rows. [AG3]"""
@@ -52,3 +54,13 @@ def top_counts(rows: DataFrame, by: list[str], n: int, within: list[str] | None
 def duplicate_count(rows: DataFrame, key: Column) -> DataFrame:
     """[AG10]"""
     return rows.agg((F.count("*") - F.countDistinct(key)).alias("duplicates"))
+
+
+def gaps(topics: DataFrame, langs: DataFrame, script_lang: str, least: int = fixed.TOPIC_LEAST, least_pct: float = fixed.SCRIPT_LEAST) -> DataFrame:
+    """(gap, value): topics counted, as domain and as tag together, less than ``least`` times, and the second language where its
+    percentage is below ``least_pct``; from rows (topic) and (lang). [AG16]"""
+    wanted = topics.sparkSession.createDataFrame([(t,) for t in fixed.TOPICS], "gap string")
+    counts = topics.select(F.regexp_replace("topic", "^tag:", "").alias("gap")).groupBy("gap").agg(F.count("*").alias("n"))
+    few = wanted.join(F.broadcast(counts.filter(F.col("gap").isin(*fixed.TOPICS))), "gap", "left").select("gap", F.coalesce("n", F.lit(0)).cast("double").alias("value")).filter(F.col("value") < least)
+    share = langs.agg(F.coalesce(100 * F.try_divide(F.count_if(F.col("lang") == script_lang), F.count("lang")), F.lit(0.0)).alias("value"))
+    return few.unionByName(share.filter(F.col("value") < least_pct).select(F.lit(f"lang:{script_lang}").alias("gap"), "value"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..config import LATIN
 from ..functions import text as fx
 from ..operators import conversation as conv
+from .. import fixed
 from ..operators import curation, selection, stats, tables
+from ..operators.quality import needs_generation
 from .relational import query
-from .scalars import TOKENS, WORDS, S
+from .scalars import TITLE_SQL, TOKENS, WORDS, S
 
 
 LETTERS = r"[\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{017F}]"
@@ -28,15 +30,15 @@ h as (select doc_id, lang, round(sr2, 3) as script_ratio, round(er2, 3) as engli
 select *, lang = 'mixed' or (has_script and english_ratio > 0.1) as code_switched from h"""
 
 
-@query()
+@query("select doc_id, md5(['What is: ', 'Explain: ', 'Tell me about: '][('0x' || substr(sha256('42:' || doc_id), 1, 8))::bigint % 3 + 1] || text) as prompt from documents")
 def smp6_templates(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.concat(selection.template_of(F.col("doc_id"), ["What is: ", "Explain: ", "Tell me about: "]), F.substring("text", 1, 20)).alias("prompt"))
+    return documents.select("doc_id", F.md5(F.concat(selection.template_of(F.col("doc_id"), ["What is: ", "Explain: ", "Tell me about: "]), F.col("text")).cast("binary")).alias("prompt"))
 
 
-@query("select conv_id, string_agg(substr(text, 1, 10), '|' order by turn) as firsts from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) where n <= 3 group by 1")
+@query("select conv_id, md5(string_agg(text, '|' order by turn)) as firsts from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) where n <= 3 group by 1")
 def smp7_first_three(conversations: DataFrame) -> DataFrame:
     ex = conv.chat_examples(conversations, "conv_id", "turn")
-    return ex.select("conv_id", F.array_join(F.transform(F.slice("messages", 1, 3), lambda m: F.substring(m["content"], 1, 10)), "|").alias("firsts"))
+    return ex.select("conv_id", F.md5(F.array_join(F.transform(F.slice("messages", 1, 3), lambda m: m["content"]), "|").cast("binary")).alias("firsts"))
 
 
 @query("select o_custkey, min(o_totalprice) filter (o_totalprice > 100000)::double as next, max(o_totalprice) filter (o_totalprice < 100000)::double as previous from orders group by 1")
@@ -55,10 +57,10 @@ def srt9_srt10_recent(events: DataFrame) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
 
 
-@query("select r, min(doc_id) as doc_id from (select doc_id, substr(sha256(string_split(text, chr(10))[1]), 1, 16) as r from documents) group by 1")
-def set5_dedup_response(documents: DataFrame) -> DataFrame:
-    rows = documents.select("doc_id", fx.content_hash(F.split("text", "\n")[0]).alias("r"))
-    return selection.first_of_each(rows, ["r"], [F.col("doc_id")]).select("r", "doc_id")
+@query("""select substr(sha256(text), 1, 16) as r, min(conv_id * 1000000 + turn) as first from conversations where role = 'assistant' group by 1""")
+def set5_dedup_response(conversations: DataFrame) -> DataFrame:
+    rows = conversations.filter("role = 'assistant'").select(fx.content_hash("text").alias("r"), (F.col("conv_id") * 1000000 + F.col("turn")).alias("first"))
+    return selection.first_of_each(rows, ["r"], [F.col("first")]).select("r", "first")
 
 
 @query(f"select doc_id, cast(len(list_intersect(list_distinct({TOKENS}), ['the', 'of', 'und', 'que'])) as int) as shared from documents")
@@ -87,18 +89,53 @@ def jn14_jn15_call_results(conversations: DataFrame) -> DataFrame:
     return c.join(r, ["conv_id", "turn"], "left")
 
 
-@query("select min(doc_id) as doc_id, lower(substr(text, 1, 30)) as title from documents where doc_id % 3 = 1 and lower(substr(text, 1, 30)) not in (select lower(substr(text, 1, 30)) from documents where doc_id % 3 = 0) group by 2")
+@query(r"""with t as (select doc_id, lower(substr(trim(string_split(trim(text), chr(10))[1]), 1, 80)) as title from documents) select min(doc_id) as doc_id, title from t where doc_id % 3 <> 0 and title not in (select title from t where doc_id % 3 = 0) group by 2""")
 def jn21_new_titles(documents: DataFrame) -> DataFrame:
-    rows = documents.select("doc_id", F.lower(F.substring("text", 1, 30)).alias("title"))
-    fresh = tables.insert_absent(rows.filter("doc_id % 3 = 0"), rows.filter("doc_id % 3 = 1"), ["title"])
+    rows = documents.select("doc_id", F.lower(fx.title(F.col("text"))).alias("title"))
+    fresh = tables.insert_absent(rows.filter("doc_id % 3 = 0"), rows.filter("doc_id % 3 <> 0"), ["title"])
     return selection.first_of_each(fresh, ["title"], [F.col("doc_id")]).select("doc_id", "title")
 
 
-@query("select role as tool, count(*) as n from (select *, row_number() over (partition by conv_id order by turn) as k from conversations where role <> 'user') where k = 1 group by 1")
-def ag13_first_tool(conversations: DataFrame) -> DataFrame:
-    ex = conv.chat_examples(conversations, "conv_id", "turn")
-    first = F.get(F.filter("messages", lambda m: m["role"] != "user"), F.lit(0))["role"]
-    return ex.select(first.alias("tool")).filter("tool is not null").groupBy("tool").agg(F.count("*").alias("n"))
+CALLS_SQL = "case when role = 'assistant' and conv_id % 2 = 0 then [case turn % 3 when 0 then 'search' when 1 then 'link' end, 'notes'] end"
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """The turns with tool calls of assistants in every second conversation; a turn in three is a tool's."""
+    name = F.when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "link")
+    call = lambda n: F.struct(n.alias("name"), F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}")).alias("arguments"))
+    return conversations.withColumn("tool_calls", F.when((F.col("role") == "assistant") & (F.col("conv_id") % 2 == 0), F.array(call(name), call(F.lit("notes")))))
+
+
+@query(f"""with c as (select conv_id, turn, {CALLS_SQL} as calls from conversations), f as (select *, row_number() over (partition by conv_id order by turn) as k from c where calls is not null)
+    select coalesce(tool, 'unknown') as tool, count(*) as n from (select unnest(calls) as tool from f where k = 1) group by 1""")
+def ag13_tool_operations(conversations: DataFrame) -> DataFrame:
+    ex = conv.chat_examples(with_calls(conversations), "conv_id", "turn", ("tool_calls",))
+    return ex.select(F.explode(conv.first_tool_calls(F.col("messages"))).alias("tool")).groupBy("tool").agg(F.count("*").alias("n"))
+
+
+LLM1_SQL = f"""with c as (select *, {CALLS_SQL} as calls, case when conv_id % 4 = 0 then 'film' end as name from conversations),
+    m as (select conv_id, turn, case when role <> 'assistant' and turn % 3 = 2 then 'user' else role end as role, regexp_matches(role, 'assistant') as own, case
+        when role <> 'assistant' and turn % 3 = 2 then regexp_replace('[tool:' || coalesce(name, 'tool') || '] ' || text, '^\\s+|\\s+$', '', 'g')
+        when calls is not null then regexp_replace(text || chr(10) || array_to_string(list_transform(calls, lambda x: '<tool_call name="' || coalesce(x, 'tool') || '">{{"turn": ' || turn || '}}</tool_call>'), chr(10)), '^\\s+|\\s+$', '', 'g') else text end as content, text from c)
+    select conv_id, md5(string_agg(role || ':' || content, chr(10) order by turn)) as flat, bool_or(own and length(text) > 0) as trains from m group by 1"""
+
+
+@query(LLM1_SQL)
+def llm1_llm2_flatten(conversations: DataFrame) -> DataFrame:
+    turns = with_calls(conversations).withColumn("name", F.when(F.col("conv_id") % 4 == 0, "film"))
+    turns = turns.withColumn("role", F.when((F.col("role") != "assistant") & (F.col("turn") % 3 == 2), "tool").otherwise(F.col("role")))
+    ex = conv.chat_examples(turns, "conv_id", "turn", ("name", "tool_calls"))
+    flat = F.array_join(F.transform(conv.flatten_tools(F.col("messages")), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return ex.select("conv_id", F.md5(flat.cast("binary")).alias("flat"), conv.has_assistant_text(F.col("messages")).alias("trains"))
+
+
+@query("""with m as (select conv_id, role, case (conv_id + turn) % 3 when 0 then text when 1 then 'Summary: ...' || chr(10) || text else ' ' || chr(10) end as c from conversations where role <> 'assistant' or conv_id % 2 = 0 or turn % 5 <> 0)
+    select conv_id, not bool_or(role = 'assistant' and regexp_matches(c, '\\S') and not contains(c, '...') and not contains(c, 'Examples:')) as needs from m group by 1""")
+def flt10_needs_generation(conversations: DataFrame) -> DataFrame:
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    said = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat(F.lit("Summary: ...\n"), F.col("text"))).otherwise(" \n")
+    turns = conversations.filter("role <> 'assistant' or conv_id % 2 = 0 or turn % 5 <> 0").withColumn("text", said)
+    return conv.chat_examples(turns, "conv_id", "turn").select("conv_id", needs_generation(F.col("messages")).alias("needs"))
 
 
 @query("select role, cast(sum(length(text) // 4) as bigint) as tokens, cast(sum(length(text)) as bigint) as chars from conversations group by rollup (role)")
@@ -123,11 +160,11 @@ def str12_prompt_window(conversations: DataFrame) -> DataFrame:
 
 
 @query("""with p as (select c.conv_id, c.turn, c.text as question, r.text as actual from conversations c join conversations r on r.conv_id = c.conv_id and r.turn = c.turn + 1 where c.role = 'user' and r.role = 'assistant')
-    select conv_id, turn, '| ' || substr(question, 1, 30) || ' | ' || substr(actual, 1, 30) || ' |' as line from p""")
+    select conv_id, turn, md5('| ' || question || ' | ' || actual || ' |') as line from p""")
 def llm8_eval_table(conversations: DataFrame) -> DataFrame:
     q = conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("actual"))
-    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", curation.table_line(F.substring("question", 1, 30), F.substring("actual", 1, 30)).alias("line"))
+    return q.join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.md5(curation.table_line(F.col("question"), F.col("actual")).cast("binary")).alias("line"))
 
 
 @query(PROFILE_SQL)
@@ -142,15 +179,11 @@ def fn14_field(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.md5(F.col("text_original").cast("binary")).alias("text_original"), "changed")
 
 
-@query(r"with w as (select doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) as w from documents) select doc_id, count(*) filter (regexp_matches(w, 'https?://|^www\.') or regexp_matches(w, '^[A-Z]{5,}$') or regexp_matches(w, '\d') or regexp_matches(w, '[{}_\[\]]') or lower(w) in ('the', 'of', 'and', 'a', 'to', 'in', 'is', 'it', 'that')) as kept from w group by 1")
-def fn15_kept_words(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", F.size(F.filter(fx.words(F.col("text")), curation.stays_roman)).cast("long").alias("kept"))
-
-
-@query("select lang as category, cast(unnest([1, 2]) as int) as pair, unnest([min(doc_id), max(doc_id)]) as doc_id from documents group by 1")
+@query("""with p as (select lang as category, source, doc_id, row_number() over (partition by lang, source order by doc_id) as k from documents) select category, source as pair, doc_id from p where k = 1""")
 def fn43_nested_pairs(documents: DataFrame) -> DataFrame:
-    nested = documents.groupBy("lang").agg(F.array(F.min("doc_id"), F.max("doc_id")).alias("pairs")).select(F.create_map("lang", "pairs").alias("m"))
-    return nested.select(F.explode("m").alias("category", "pairs")).select("category", F.posexplode("pairs").alias("pair", "doc_id")).withColumn("pair", F.col("pair") + 1)
+    firsts = documents.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
+    nested = firsts.groupBy("lang").agg(F.collect_list(F.struct(F.col("source").alias("pair"), "doc_id")).alias("pairs")).select(F.create_map("lang", "pairs").alias("m"))
+    return nested.select(F.explode("m").alias("category", "pairs")).select("category", F.explode("pairs").alias("x")).select("category", "x.*")
 
 
 @query("select lang, round(avg(case when n_chars > 1000 then 1.0 else 0.0 end), 3) as share from documents group by 1")
@@ -158,14 +191,42 @@ def fn53_rounded_share(documents: DataFrame) -> DataFrame:
     return documents.groupBy("lang").agg(F.round(F.avg(F.when(F.col("n_chars") > 1000, 1.0).otherwise(0.0)), 3).alias("share"))
 
 
-@query(f"select doc_id, '{{NAME_A}}: ' || substr(text, 1, 50) as input, case when len({WORDS}) >= 3 and length(trim(text)) >= 10 then 'keep' else 'drop' end as verdict from documents where length(text) between 10 and 3000")
+@query(f"select doc_id, md5('{{NAME_A}}: ' || text) as input, case when len({WORDS}) >= 3 and length(trim(text)) >= 10 then 'keep' else 'drop' end as verdict from documents where source = 'src1' or source = 'src2'")
 def flt6_flt13_lookup(documents: DataFrame) -> DataFrame:
     from ..operators.quality import interview_ok
 
-    rows = documents.filter(F.length("text").between(10, 3000))
-    return rows.select("doc_id", F.concat(F.lit("{NAME_A}: "), F.substring("text", 1, 50)).alias("input"), F.when(interview_ok(F.col("text")), "keep").otherwise("drop").alias("verdict"))
+    rows = documents.filter(F.col("source").isin("src1", "src2"))
+    return rows.select("doc_id", F.md5(F.concat(F.lit("{NAME_A}: "), F.col("text")).cast("binary")).alias("input"), F.when(interview_ok(F.col("text")), "keep").otherwise("drop").alias("verdict"))
 
 
 @query("select lang, source, n from (select lang, source, count(*) as n, row_number() over (partition by lang order by count(*) desc, source) as k from documents group by 1, 2) where k = 1")
 def par5_srt6_top_of_each(documents: DataFrame) -> DataFrame:
     return stats.top_counts(documents, ["source"], 1, ["lang"]).select("lang", "source", "n")
+
+
+def _form_sql(form: str, fields: dict[str, str]) -> str:
+    """SQL of a prompt form whose {names} are replaced by these expressions."""
+    out = "'" + form.replace("'", "''") + "'"
+    for name, sql in fields.items():
+        out = out.replace("{" + name + "}", f"' || {sql} || '")
+    return out
+
+
+PROMPT_FIELDS = {
+    "scene": {"text": r"regexp_replace(text, '^\s+|\s+$', '', 'g')"}, "word": {"word": "lang", "definition": "trim(title)"}, "principle": {"principle": "trim(title)"},
+    "decision": {"situation": "title", "choice": "source", "rationale": "lang", "heuristics": "case when doc_id % 2 = 0 then lang || ', ' || source else '...' end", "domain": "case when doc_id % 3 = 0 then 'general' else lang end"},
+}
+PROMPTS_SQL = f"with d as (select *, {TITLE_SQL} as title from documents), p as (" + " union all ".join(
+    f"select doc_id, '{task}' as task, {_form_sql(d, PROMPT_FIELDS[kind])} as domain, md5({_form_sql(q, PROMPT_FIELDS[kind])} || '|' || {_form_sql(a, PROMPT_FIELDS[kind])}) as prompt from d where {'trim(text)' if kind == 'scene' else 'title'} <> ''"
+    for kind, forms in fixed.PROMPTS.items() for q, a, d, task in forms
+) + ") select * from p"
+
+
+@query(PROMPTS_SQL)
+def jn20_fn44_two_prompts(documents: DataFrame) -> DataFrame:
+    title, odd = fx.title(F.col("text")), F.col("doc_id") % 2 == 1
+    every = F.concat(
+        fx.prompts("scene", text=F.col("text")), fx.prompts("word", word=F.col("lang"), definition=title), fx.prompts("principle", principle=F.concat(F.lit(" 12. "), title)),
+        fx.prompts("decision", situation=title, choice=F.col("source"), rationale=F.col("lang"), heuristics=F.when(odd, F.array().cast("array<string>")).otherwise(F.array("lang", "source")), domain=F.when(F.col("doc_id") % 3 != 0, F.col("lang"))),
+    )
+    return documents.select("doc_id", F.explode(every).alias("p")).select("doc_id", "p.task", "p.domain", F.md5(F.concat("p.question", F.lit("|"), "p.answer").cast("binary")).alias("prompt"))

@@ -13,7 +13,8 @@ from ..functions import vectors
 from ..operators import conversation as conv
 from ..operators import pairing, quality, retrieval, selection, stats, tables
 from ..session import table
-from .scalars import CLAR, SCORE_SQL, TAG, TOKENS, WORDS, S
+from .. import fixed
+from .scalars import BEST_SQL, CLAR, CONTEXT_SQL, HAS, SCORE_SQL, SWITCH_SQL, TAG, SCRIPT_CHARS, THREE_WAY_SQL, TOKENS, WORDS, S, sql_any, sql_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -159,9 +160,18 @@ def str2_sessions(events: DataFrame) -> DataFrame:
     return selection.sessions(events, "user_id", "ts", 1800)
 
 
-@query()
+CONTEXTS_SQL = f"""with m as (select conv_id, turn, ['', 'scene script dialogue write ', 'scene act ', 'go to kitchen now ', 'oven recipe cook bake fry ', ''][(conv_id + turn) % 6 + 1] || text as text, case when turn % 7 = 3 then 'Kitchen table' else '' end as place, row_number() over (partition by conv_id order by turn) as k from conversations),
+    s as (select *, {SWITCH_SQL} as sw, case when contains(lower(place), 'kitchen') then 'kitchen' end as pl, {CONTEXT_SQL} as word, {BEST_SQL} as score from m),
+    o as (select *, word is not null and (score > 0.7 or (score > 0.5 and k = 1)) as strong from s), c as (select *, coalesce(sw, pl, case when strong then word end, case when k = 1 then 'writers_room' end) as own from o)
+    select conv_id, turn, last_value(own ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as context, round(case when sw is not null then 1.0 when pl is not null then 0.9 when strong then score when k = 1 then 0.5 else 0.6 end, 6) as confidence from c"""
+
+
+@query(CONTEXTS_SQL)
 def cls1_contexts(conversations: DataFrame) -> DataFrame:
-    return conv.detect_contexts(conversations, "conv_id", "turn", "text").select("conv_id", "turn", "context", F.round("confidence", 6).alias("confidence"))
+    said = F.array(*[F.lit(x) for x in ("", "scene script dialogue write ", "scene act ", "go to kitchen now ", "oven recipe cook bake fry ", "")])
+    turns = conversations.withColumn("text", F.concat(F.get(said, ((F.col("conv_id") + F.col("turn")) % 6).cast("int")), "text")).withColumn("place", F.when(F.col("turn") % 7 == 3, "Kitchen table"))
+    found = conv.detect_contexts(turns, "conv_id", "turn", "text", "place")
+    return found.select("conv_id", "turn", "context", F.round("confidence", 6).alias("confidence"))
 
 
 # --- selection
@@ -196,10 +206,9 @@ def smp5_split(documents: DataFrame) -> DataFrame:
     return selection.split_shuffled(documents.select("doc_id"), "doc_id", 0.1)
 
 
-@query("select doc_id, cast(row_number() over (order by sha256('42:' || doc_id), doc_id) as int) as place from documents order by place limit 100")
-def smp4_shuffled_head(documents: DataFrame) -> DataFrame:
-    head = documents.select("doc_id", selection.drawn(F.col("doc_id")).alias("h")).orderBy("h", "doc_id").limit(100)
-    return head.select("doc_id", F.row_number().over(Window.orderBy("h", "doc_id")).alias("place"))
+@query("select doc_id, sha256('42:' || doc_id) as position from documents")
+def smp4_shuffled(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", selection.drawn(F.col("doc_id")).alias("position"))
 
 
 @query("select substr(sha256(text), 1, 16) as hash, min(doc_id) as doc_id from documents group by 1")
@@ -302,11 +311,15 @@ def ag15_topics(documents: DataFrame) -> DataFrame:
     return stats.top_counts(keys, ["topic"], 20)
 
 
-@query("""with w as (select unnest(['en', 'fr', 'it', 'es']) as topic), c as (select lang as topic, count(*) as n from documents group by 1) select w.topic, coalesce(n, 0) as n from w left join c using (topic) where coalesce(n, 0) < 150""")
+@query(f"""with k as (select case when doc_id % 40 < 7 then [{sql_list(fixed.TOPICS)}][doc_id % 40 + 1] else 'other' end as topic from documents union all select 'tag:' || case when doc_id % 20 < 3 then [{sql_list(fixed.TOPICS)}][doc_id % 20 + 1] else 'x' end from documents),
+    w as (select unnest([{sql_list(fixed.TOPICS)}]) as gap), n as (select gap, count(topic)::double as value from w left join k on topic = gap or topic = 'tag:' || gap group by 1), te as (select 100.0 * count(*) filter (doc_id % 4 = 0) / count(*) as value from documents)
+    select gap, value from n where value < 50 union all select 'lang:te', value::double from te where value < 30""")
 def ag16_gaps(documents: DataFrame) -> DataFrame:
-    wanted = documents.sparkSession.createDataFrame([(x,) for x in ("en", "fr", "it", "es")], "topic string")
-    counts = documents.groupBy(F.col("lang").alias("topic")).agg(F.count("*").alias("n"))
-    return wanted.join(counts, "topic", "left").select("topic", F.coalesce("n", F.lit(0)).alias("n")).filter("n < 150")
+    listed = F.array(*[F.lit(t) for t in fixed.TOPICS])
+    topic = lambda k: F.coalesce(F.get(listed, (F.col("doc_id") % k).cast("int")), F.lit("other"))
+    tag = F.when(F.col("doc_id") % 20 < 3, topic(20)).otherwise("x")
+    topics = documents.select(F.explode(F.array(topic(40), F.concat(F.lit("tag:"), tag))).alias("topic"))
+    return stats.gaps(topics, documents.select(F.when(F.col("doc_id") % 4 == 0, "te").otherwise("en").alias("lang")), "te")
 
 
 @query("""with b as (select 1 as batch, ['src0', 'src1'] as topics union all select 2, ['src0', 'src1', 'src2', 'src3'] union all select 3, ['src0', 'src1', 'src2', 'src3', 'src4', 'src5'])
@@ -401,14 +414,8 @@ def jn16_results(labels: DataFrame, documents: DataFrame) -> DataFrame:
     return labels.join(documents.select("doc_id", "lang", "n_chars"), "doc_id").groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("avg_chars"))
 
 
-@query("""select item_id, unnest([1, 2]) as version, unnest(['Explain: ' || substr(text, 1, 40), 'Give an example of: ' || substr(text, 1, 40)]) as prompt from benchmark""")
-def jn20_fn44_two_prompts(benchmark: DataFrame) -> DataFrame:
-    head = F.substring("text", 1, 40)
-    return benchmark.select("item_id", F.explode(F.array(F.struct(F.lit(1).alias("version"), F.concat(F.lit("Explain: "), head).alias("prompt")), F.struct(F.lit(2).alias("version"), F.concat(F.lit("Give an example of: "), head).alias("prompt")))).alias("x")).select("item_id", "x.*")
-
-
 OLD = "select doc_id, n_chars as size, 'old' as created from documents where doc_id % 3 <> 0"
-NEW = "select doc_id, n_chars + 1 as size, 'new' as created from documents where doc_id % 2 = 0"
+NEW = "select doc_id, n_chars + 1 as size, 'new' as created from documents where doc_id % 2 = 0 or doc_id % 3 = 0"
 
 
 def _old(documents: DataFrame) -> DataFrame:
@@ -416,7 +423,7 @@ def _old(documents: DataFrame) -> DataFrame:
 
 
 def _new(documents: DataFrame) -> DataFrame:
-    return documents.filter("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") + 1).alias("size"), F.lit("new").alias("created"))
+    return documents.filter("doc_id % 2 = 0 or doc_id % 3 = 0").select("doc_id", (F.col("n_chars") + 1).alias("size"), F.lit("new").alias("created"))
 
 
 @query(f"with o as ({OLD}), n as ({NEW}) select coalesce(n.doc_id, o.doc_id) as doc_id, coalesce(n.size, o.size) as size, coalesce(o.created, n.created) as created from o full join n on o.doc_id = n.doc_id")
@@ -510,11 +517,14 @@ def ret3_fn30_jn18_cosine(embeddings: DataFrame) -> DataFrame:
     return retrieval.top_k(scored, "score", "vec_id", 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("select vec_id, -1.0::double as strict, 0.0::double as loose, -1.0::double as shorter from embeddings")
+COS_SQL = "list_dot_product(embedding::double[], list_reverse(embedding)::double[]) / nullif(list_dot_product(embedding::double[], embedding::double[]), 0)"
+
+
+@query(f"select vec_id, case when vec_id % 3 = 0 then -1.0 else coalesce(round({COS_SQL}, 6), -1.0) end::double as strict, case when vec_id % 3 = 0 then 0.0 else coalesce(round({COS_SQL}, 6), 0.0) end::double as loose, -1.0::double as shorter from embeddings")
 def fn30_fn31_sentinels(embeddings: DataFrame) -> DataFrame:
     e = F.col("embedding")
-    zero = F.transform(e, lambda x: F.lit(0.0))
-    return embeddings.select("vec_id", vectors.cosine(e, zero).alias("strict"), vectors.cosine(e, zero, 0.0, False).alias("loose"), vectors.cosine(e, F.slice(e, 1, 3)).alias("shorter"))
+    other = F.when(F.col("vec_id") % 3 == 0, F.transform(e, lambda x: F.lit(0.0).cast("float"))).otherwise(F.reverse(e))
+    return embeddings.select("vec_id", F.round(vectors.cosine(e, other), 6).alias("strict"), F.round(vectors.cosine(e, other, 0.0, False), 6).alias("loose"), vectors.cosine(e, F.slice(e, 1, 3)).alias("shorter"))
 
 
 @query()
@@ -537,14 +547,6 @@ def val1_fn41_chat_errors(conversations: DataFrame) -> DataFrame:
     return conv.chat_examples(conversations, "conv_id", "turn").select("conv_id", F.concat_ws(",", quality.chat_errors(F.col("messages"))).alias("errors"))
 
 
-@query("""select conv_id, md5(string_agg(case when turn % 3 = 2 then 'user:[tool] ' || text else role || ':' || text end, chr(10) order by turn)) as flat, bool_or(role = 'assistant' and length(text) > 0) as trains from conversations group by 1""")
-def llm1_llm2_flatten(conversations: DataFrame) -> DataFrame:
-    turns = conversations.withColumn("role", F.when(F.col("turn") % 3 == 2, "tool").otherwise(F.col("role")))
-    flat = conv.chat_examples(turns, "conv_id", "turn").select("conv_id", F.md5(F.array_join(F.transform(conv.flatten_tools(F.col("messages")), lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n").cast("binary")).alias("flat"))
-    trains = conv.chat_examples(conversations, "conv_id", "turn").select("conv_id", conv.has_assistant_text(F.col("messages")).alias("trains"))
-    return flat.join(trains, "conv_id")
-
-
 @query("""with o as (select *, sum(length(text)) over (partition by conv_id order by turn) as hi from conversations)
     select conv_id, string_agg((hi - length(text)) || '-' || hi, ',' order by turn) as spans from o where role = 'assistant' group by 1""")
 def llm3_spans(conversations: DataFrame) -> DataFrame:
@@ -552,21 +554,59 @@ def llm3_spans(conversations: DataFrame) -> DataFrame:
     return ex.select("conv_id", F.array_join(F.transform(conv.assistant_spans(F.col("messages")), lambda x: F.concat(x["lo"].cast("string"), F.lit("-"), x["hi"].cast("string"))), ",").alias("spans")).filter("spans != ''")
 
 
-@query(f"""with m as (select count(*) as n, 100.0 * (count(*) - count(distinct sha256(text))) / count(*) as dup, 100.0 * count(*) filter (lang = 'en') / count(*) as en, avg(len({WORDS})) as words, 100.0 * count(*) filter (len({WORDS}) <= 5) / count(*) as short from documents)
-    select x.check as "check", round(x.value, 6) as value, x.low::double as low, x.high::double as high, case when (x.low is null or x.value >= x.low) and (x.high is null or x.value <= x.high) then 'pass' else 'fail' end as status from (
-    select unnest([struct_pack("check" := 'size', value := n::double, low := 500.0, high := null::double), struct_pack("check" := 'duplicate_pct', value := dup::double, low := null::double, high := 5.0), struct_pack("check" := 'english_pct', value := en::double, low := 30.0, high := 70.0),
-    struct_pack("check" := 'avg_words', value := words::double, low := 20.0, high := null::double), struct_pack("check" := 'very_short_pct', value := short::double, low := null::double, high := 10.0)]) as x from m)""")
-def val2_val3_gates(documents: DataFrame) -> DataFrame:
-    n, w = F.count("*"), fx.word_count(F.col("text"))
-    row = documents.agg(n.alias("n"), (100.0 * (n - F.countDistinct(F.sha2("text", 256))) / n).alias("dup"), (100.0 * F.count_if(F.col("lang") == "en") / n).alias("en"), F.avg(w).alias("words"), (100.0 * F.count_if(w <= 5) / n).alias("short"))
-    found = quality.gates(row, [("size", "n", 500, None), ("duplicate_pct", "dup", None, 5), ("english_pct", "en", 30, 70), ("avg_words", "words", 20, None), ("very_short_pct", "short", None, 10)])
-    return found.withColumn("value", F.round("value", 6))
+def gates_sql(source: str, gates, values: dict[str, str], below: tuple[str, ...] = ()) -> str:
+    """SQL of the gates over one row of measures."""
+    number = lambda x: "null::double" if x is None else f"{x}::double"
+    rows = ", ".join(f"struct_pack(c := '{c}', v := ({values[c]})::double, lo := {number(lo)}, hi := {number(hi)}, miss := '{miss}', strict := {c in below})" for c, lo, hi, miss in gates)
+    return f"""with {source}, g as (select unnest([{rows}]) as x from m)
+    select x.c as "check", round(x.v, 6) as value, x.lo as low, x.hi as high, case when (x.lo is null or x.v >= x.lo) and (x.hi is null or x.v < x.hi or (x.v = x.hi and not x.strict)) then 'pass' else x.miss end as status from g"""
+
+
+DOMAIN_SQL, META_SQL = "['film', 'persona', 'tools', 'general', 'tools'][doc_id % 5 + 1]", "n_chars > 50"
+DATASET_VALUES = {
+    "total": "n", "duplicates": "dup", **{f"domain {d}": d for d in ("film", "persona", "tools", "general")}, **{f"lang {x}": x for x in ("te", "en", "mixed")}, "invalid": "invalid", "p95 tokens": "p95",
+    "tool examples": "with_tool", "system prompts": "prompts", "metadata share": "meta",
+}
+DATASET_SQL = f"""r as (select *, {THREE_WAY_SQL} as l, {DOMAIN_SQL} as dom, cast(floor(len({WORDS}) * case when {HAS} then 1.5::double else 1.3::double end) as int) as tok from documents),
+    o as (select tok, row_number() over (order by tok) - 1 as i, count(*) over () as n from r),
+    m as (select count(*) as n, count(*) - count(distinct sha256(text)) as dup, {', '.join(f"count(*) filter ({META_SQL} and dom = '{d}') / count(*)::double as {d}" for d in ('film', 'persona', 'tools', 'general'))}, {', '.join(f"count(*) filter (l = '{x}') / count(*)::double as {x}" for x in ('te', 'en', 'mixed'))},
+        count(*) filter (trim(text) = '') as invalid, count(*) filter (doc_id % 5 = 0) as with_tool, count(distinct source) as prompts, count(*) filter ({META_SQL}) / count(*)::double as meta, (select max(tok) from o where i = least(floor(n * 0.95), n - 1)) as p95 from r)"""
+
+
+@query(gates_sql(DATASET_SQL, fixed.DATASET_GATES, DATASET_VALUES))
+def val2_dataset_gates(documents: DataFrame) -> DataFrame:
+    text, domains = F.col("text"), F.array(*[F.lit(d) for d in ("film", "persona", "tools", "general", "tools")])
+    rows = documents.select(
+        F.sha2("text", 256).alias("hash"), F.get(domains, (F.col("doc_id") % 5).cast("int")).alias("domain"), fx.lang_three_way(text, LATIN).alias("lang"), (F.trim("text") != "").alias("valid"),
+        fx.tokens_by_words(text, LATIN).alias("tokens"), (F.col("doc_id") % 5 == 0).alias("has_tool"), F.col("source").alias("prompt"), (F.col("n_chars") > 50).alias("has_metadata"),
+    )
+    return quality.dataset_gates(rows).withColumn("value", F.round("value", 6))
+
+
+MARKERS_SQL = f"({SCRIPT_CHARS}) <= 5 and len(list_filter({WORDS}, lambda w: regexp_matches(w, '{S}'))) <= 2 and {sql_any('lower(text)', [x.lower() for x in LATIN.romanized_markers])}"
+ANSWERS_SQL = f"""a as (select conv_id, max_by(text, turn) || case when conv_id % 9 = 0 then ' Ye? ' when conv_id % 4 = 0 then ' nenu' else '' end as text from conversations where role = 'assistant' group by 1), b as (select * from a where length(text) > 0),
+    m as (select avg(len({WORDS})) as words, 100.0 * count(*) filter (len({WORDS}) <= 5) / count(*) as short, count(*) filter (regexp_matches(text, '(?i)\\bye\\?\\s*$')) as ye, count(*) filter ({sql_any('lower(text)', LATIN.meta_patterns)}) as meta, 100.0 * count(*) filter ({MARKERS_SQL}) / count(*) as mixed from b)"""
+
+
+@query(gates_sql(ANSWERS_SQL, fixed.ANSWER_GATES, {"avg words": "words", "very short pct": "short", "ends with ye": "ye", "meta content": "meta", "code-switched pct": "mixed"}, ("very short pct",)))
+def val3_answer_gates(conversations: DataFrame) -> DataFrame:
+    last = conversations.filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    tail = F.when(F.col("conv_id") % 9 == 0, " Ye? ").when(F.col("conv_id") % 4 == 0, " nenu").otherwise("")
+    return quality.answer_gates(last, F.concat("text", tail), LATIN).withColumn("value", F.round("value", 6))
 
 
-@query("""with p as (select source, count(*) as n, quantile_disc(n_chars // 4, 0.5) as x from documents group by 1) select source, case when n < 200 then 5 when n < 500 then 4 when n < 1000 then 3 else 2 end as epochs from p""")
+@query("""with r as (select source, n_chars // 4 * 3 as v, row_number() over (partition by source order by n_chars // 4) - 1 as i, count(*) over (partition by source) as c from documents),
+    p as (select source, (c * (10 + 5 * (ascii(right(source, 1)) % 7)))::bigint as n, max(v) filter (i = least(floor(c * 0.95::double), c - 1)) as p95, max(v) filter (i = least(floor(c * 0.99::double), c - 1)) as p99 from r group by source, c),
+    a as (select *, case when p99 > 2048 then 2 else 1 end as batch_size, case when n < 600 then 8 else 64 end as accumulation, case when n > 1000 then 2 else 5 end as epochs from p), b as (select *, n // (batch_size * accumulation) * epochs as steps from a)
+    select source, case when n < 1200 then 'ml.g5.2xlarge' else 'ml.g5.12xlarge' end as instance, case when p99 > 2048 then 3072 when p95 < 1024 then 1536 else 2048 end as max_length, batch_size, accumulation, epochs, steps,
+        round(steps * 1.5::double / 60 / 60 * case when n < 1200 then 1.5::double else 9.0::double end, 6) as cost from b""")
 def val4_advice(documents: DataFrame) -> DataFrame:
-    rows = documents.groupBy("source").agg(F.count("*").alias("n"), F.percentile_approx(F.floor(F.col("n_chars") / 4), F.lit(0.95)).alias("p95"), F.percentile_approx(F.floor(F.col("n_chars") / 4), F.lit(0.99)).alias("p99"))
-    return rows.select("source", quality.training_advice(F.col("n"), F.col("p95"), F.col("p99"))["epochs"].alias("epochs"))
+    rows = documents.select("source", (F.floor(F.col("n_chars") / 4) * 3).alias("v"))
+    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+    ranks = stats.nearest_rank(rows, "v", [0.95, 0.99], "source").groupBy("source").agg(at(0.95).alias("p95"), at(0.99).alias("p99"))
+    sized = rows.groupBy("source").agg((F.count("*") * (10 + 5 * (F.ascii(F.right("source", F.lit(1))) % 7))).alias("n")).join(ranks, "source")
+    advice = sized.select("source", quality.training_advice(F.col("n"), F.col("p95"), F.col("p99")).alias("a")).select("source", "a.*")
+    return advice.select("source", "instance", "max_length", "batch_size", "accumulation", "epochs", "steps", F.round("cost", 6).alias("cost"))
 
 
 @query(f"""select role, bool_and(length(text) > 0) as all_there, count(*) filter (len({WORDS}) >= 3) as passed from conversations group by 1""")
