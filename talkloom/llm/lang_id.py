@@ -7,8 +7,9 @@ costs an escape of -log2(q / (t + q)); a byte that no context has seen costs 8 b
 frozen after training, so a text's code length is a sum of fixed costs per (context, byte); costs are
 whole multiples of 2**-16 bit, sums are exact. The language of the shortest code is predicted.
 
-Training reads a bounded sample of rows with a language: about ``per_language`` rows of each, those of
-lowest hash, texts of at most ``sample_chars`` characters, ``MAX_ROWS`` rows in all. Prediction covers whole texts.
+Training reads a bounded sample of rows with a language: ``per_language`` different rows of each at most, those of lowest
+hash, ``MAX_ROWS`` in all (but one of each language at least), of a longer text a run of ``sample_chars`` characters at a place
+that its hash picks. N-grams are counted on the executors; the driver gets the counts. Prediction covers whole texts.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and where no language was
 learned; ties go to the language of smaller name; repeated rows agree; an empty table gives an empty table;
@@ -23,18 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_column, byte_view, slices, small_batches, worker_state
+from .common import add_column, byte_view, slices, small_batches, worker_state, written
 
 ORDER = 4
 PER_LANGUAGE = 400
-SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 512
-#: Sampled rows of all languages together.
-MAX_ROWS = 20_000
+SAMPLE_CHARS = 4_000
+#: Sampled rows of all languages together, if there are no more languages than that.
+MAX_ROWS = 8_000
 SEED = 11
 FIXED = 1 << 16
 CHUNK = 1 << 18
@@ -58,12 +58,19 @@ class ContextTrees:
 
     @classmethod
     def train(cls, samples: dict[str, list[bytes]], order: int = ORDER) -> ContextTrees:
-        langs, symbols, contexts = sorted(samples), [], []
+        keys = {lang: np.concatenate([grams(np.frombuffer(t, np.uint8), order) for t in texts] or [np.zeros(0, np.uint64)]) for lang, texts in samples.items()}
+        return cls.of_counts({lang: (k, np.ones(len(k), np.int64)) for lang, k in keys.items()}, order)
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> ContextTrees:
+        """Trees of languages from n-grams (see ``grams``) and how often each occurs."""
+        langs, symbols, contexts = sorted(counts), [], []
         for lang in langs:
-            keys = np.concatenate([grams(np.frombuffer(t, np.uint8), order) for t in samples[lang]] or [np.zeros(0, np.uint64)])
+            keys, often = counts[lang]
             own_symbols, own_contexts = [], []
             for k in range(order + 1):
-                seen, n = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_counts=True)
+                seen, place = np.unique(keys & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                n = np.bincount(place, often, minlength=len(seen)).astype(np.int64)
                 context, first = np.unique(seen >> np.uint64(8), return_index=True)
                 total = np.add.reduceat(n, first) if len(n) else n
                 distinct = np.diff(np.append(first, len(seen)))
@@ -146,20 +153,43 @@ class Scorer:
         return out
 
 
+def sampled(labelled: DataFrame, text: str, lang: str, key: str, per_language: int, sample_chars: int) -> DataFrame:
+    """(lang, piece, inside): the sample; ``inside`` tells that a piece doesn't start its text."""
+    # of equal rows one counts, rows that share a key but not the text are told apart
+    h = F.xxhash64(F.lit(SEED), F.col(key), F.col(text))
+    rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).cast("string").alias("lang"), h.alias("h"), F.col(text).alias("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n"))
+    langs = counts.agg(F.count("*")).scalar()
+    most = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.lit(MAX_ROWS) / langs)))
+    # twice what is wanted, so that a low draw of a rare language leaves enough; the lowest of these are taken
+    below = F.when(2.0 * F.col("most") / F.col("n") >= 1, F.lit(2**63 - 1)).otherwise(((2.0 * F.col("most") / F.col("n") - 0.5) * float(2**64)).cast("long"))
+    limits = written(counts.withColumn("most", most.cast("int")).select(F.col("lang").alias("l"), "most", below.alias("below")), "limits")
+    room = F.greatest(F.length("text") - sample_chars, F.lit(0))
+    place = F.pmod(F.col("h"), room.cast("long") + 1).cast("int")
+    low = rows.join(limits, F.col("lang") == F.col("l")).filter("h <= below").select("lang", "h", "most", F.substring("text", place + 1, F.lit(sample_chars)).alias("piece"), (place > 0).alias("inside"))
+    one = low.groupBy("lang", "h").agg(F.min(F.struct("piece", "inside", "most")).alias("x")).select("lang", "h", "x.*")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return one.withColumn("r", rank).filter("r <= most").select("lang", "piece", "inside")
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", order: int = ORDER, per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> ContextTrees:
     """Trees from the rows of ``labelled`` that have a text and a language."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.xxhash64(F.lit(SEED), F.col(key)).alias("h"), F.col(text).alias("text")).filter(F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    per_language = min(per_language, MAX_ROWS // max(1, len(counts)))
-    shares = {k: min(1.0, 2.0 * per_language / n) for k, n in counts.items()}
-    below = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int((s - 0.5) * (2**64 - 1)) if s < 1 else 2**63 - 1)) for k, s in sorted(shares.items())], F.lit(-(2**63))) if shares else F.lit(-(2**63))
-    samples: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
-    for r in rows.filter(F.col("h") <= below).collect():
-        samples[r.lang].append((r.h, r.text))
-    return ContextTrees.train({k: [t.encode() for _, t in sorted(v)[:per_language]] for k, v in samples.items() if v}, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "piece"):
+            own: dict[str, list[np.ndarray]] = {}
+            for name, t, inside in zip(batch.column("lang").to_pylist(), texts.to_pylist(), batch.column("inside").to_pylist()):
+                keys = grams(np.frombuffer(t.encode(), np.uint8), order)
+                own.setdefault(name, []).append(keys[order:] if inside else keys)
+            for name, parts in own.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(keys), pa.string()), "g": keys.view(np.int64), "n": pa.array(n, pa.int64())})
+
+    sample = small_batches(sampled(labelled, text, lang, key, per_language, sample_chars))
+    found = sample.mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
+    names = np.array(found.column("lang").to_pylist(), object)
+    g, n = found.column("g").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    return ContextTrees.of_counts({name: (g[names == name], n[names == name]) for name in sorted(set(names.tolist()))}, order)
 
 
 def predict(df: DataFrame, trees: ContextTrees, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2
+    """Whether the CRC-32 of the id is 2 mod 4; rows without an id are not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

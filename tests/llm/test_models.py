@@ -1,6 +1,7 @@
 """Operators 5 and 6: held-out accuracy, brute force and edge cases."""
 
 import math
+import random
 import zlib
 
 import numpy as np
@@ -70,6 +71,47 @@ def test_op6_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_op6_rows_by_brute_force(spark, tmp_path):
+    """The query's rows on a small table: which rows are learned from, every language and score."""
+    r, rows = random.Random(5), []
+    words = {"en": "the of and with house green small river".split(), "fr": "le la et avec maison verte petite une".split(), "x": "zu ka mi ro".split()}
+    for i in range(300):
+        lang = r.choice(["en", "fr", "x", None])
+        text = " ".join(r.choice(words[lang or "en"]) for _ in range(r.randrange(0, 25)))
+        rows.append((i, r.choice([text, text, text, f"{text} 12!", None, "123", ""]) if i % 5 == 0 else text, lang, "s", 0))
+    rows += [(None, "the house and the river", "en", "s", 0), (None, "une maison verte", "fr", "s", 0), rows[3]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    learned = {}
+    for i, text, lang, *_ in set(rows):
+        if lang and text and not held(i):
+            learned.setdefault(lang, []).append(text.encode())
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in queries.op6_language(spark, str(tmp_path)).collect()]
+    want = []
+    for i, text, *_ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            want.append((i, held(i), "und", 0.0))
+            continue
+        bits = {k: naive_bits(v, text.encode(), lang_id.ORDER) / lang_id.FIXED for k, v in sorted(learned.items())}
+        best = min(bits, key=lambda k: (bits[k], k))
+        want.append((i, held(i), best, round(1 / sum(2 ** -(b - bits[best]) for b in bits.values()), 9)))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_op6_learns_from_long_texts(spark):
+    rows = [(i, "une maison verte et petite " * 4000, "fr") for i in range(5)] + [(9 + i, "a small green house ", "en") for i in range(5)]
+    trees = lang_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert trees.langs == ["en", "fr"]
+
+
+def test_op6_sample_is_bounded(spark):
+    rows = [(None, f"text number {i} of one key", "en") for i in range(900)] + [(1, "again and again", "en")] * 500 + [(i, f"mot {i}", "fr") for i in range(30)] + [(2, "long " * 5000, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.sampled(df, "text", "lang", "doc_id", 50, 100).collect()
+    count = {k: sum(r.lang == k for r in got) for k in ("en", "fr", "de")}
+    assert count == {"en": 50, "fr": 30, "de": 1} and all(len(r.piece) <= 100 for r in got) and sum(r.piece == "again and again" for r in got) <= 1
+
+
 def test_op6_edges(spark, edge, clash, empty):
     trees = lang_id.train(edge)
     assert trees.langs == ["en", "fr"]
