@@ -8,8 +8,8 @@ Features of a text, each counted once: its words and their first five bytes (let
 punctuation hanging on its words, capitals throughout a word, a word said twice in a row, and bins for the
 shares of distinct words and of words with other marks than commas and full stops; each is hashed to one of 2**18 weights. Prediction reads whole texts.
 
-Training reads a bounded sample: about ``sample_rows`` labelled rows of lowest hash, texts of at most
-``sample_chars`` characters.
+Training reads a bounded sample: about ``sample_rows`` labelled keys of lowest hash, ``REPEATS`` different texts or grades of
+a key at most, of a longer text a run of ``sample_chars`` characters at a place that its hash picks.
 
 Defined results: a null or empty text has no features and gets the thresholds' own tails; without any
 label the tails are (grades - k) / grades, as for evenly spread grades; repeated rows agree; an empty table
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,8 @@ from .common import add_column, byte_view, slices, small_batches, worker_state
 
 BITS = 18
 SAMPLE_ROWS = 10_000
-SAMPLE_CHARS = 60_000
+SAMPLE_CHARS = 20_000
+REPEATS = 4
 SEED = 5
 
 _random = np.random.RandomState(20)
@@ -55,32 +56,46 @@ def bucket(h: np.ndarray, kind: int) -> np.ndarray:
     return (h * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-#: Bytes worked on at once; longer texts are cut at the first white space after each multiple of it.
+#: A run without white space is cut into words of so many bytes.
+MAX_WORD = 1 << 16
+#: Bytes worked on at once, a multiple of MAX_WORD; longer texts are cut where a word starts.
 PIECE = 1 << 20
 
 
+def word_start(raw: np.ndarray, lo: int, at: int) -> int:
+    """Where the word (or white space) around ``at`` starts, if one starts at ``lo``."""
+    space = np.flatnonzero(SPACE[raw[lo:at]])
+    begin = lo + int(space[-1]) + 1 if len(space) else lo
+    return begin + (at - begin) // MAX_WORD * MAX_WORD
+
+
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, weight index) pairs of all texts, each once."""
     cuts, owner = [], []
     for i in np.flatnonzero(np.diff(offsets)):
         lo, end = int(offsets[i]), int(offsets[i + 1])
-        cuts.append(lo)
-        owner.append(i)
-        for at in range(lo + PIECE, end, PIECE):
-            window = np.flatnonzero(SPACE[raw[at:min(end, at + 4096)]])
-            at += int(window[0]) if len(window) else 0
-            if cuts[-1] < at < end:
-                cuts.append(at)
-                owner.append(i)
+        while True:
+            cuts.append(lo)
+            owner.append(i)
+            if end - lo <= PIECE:
+                break
+            # all of a piece's white space may lie before its last word
+            lo = max(lo + 1, word_start(raw, lo, lo + PIECE))
     cuts, owner = np.array([*cuts, len(raw)], np.int64), np.array(owner, np.int64)
     n, k, parts = len(offsets) - 1, 0, []
     total, strange = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    of, last = -1, 0
     while k < len(owner):
         end = max(k + 1, int(np.searchsorted(cuts, cuts[k] + PIECE, side="right")) - 1)
-        piece, index, words, odd = piece_features(raw[cuts[k]:cuts[end]], cuts[k:end + 1] - cuts[k])
+        piece, index, words, odd, edges = piece_features(raw[cuts[k]:cuts[end]], cuts[k:end + 1] - cuts[k])
         parts.append(owner[k:end][piece] << BITS | index)
         np.add.at(total, owner[k:end], words)
         np.add.at(strange, owner[k:end], odd)
+        for j, (first, final) in enumerate(edges):  # a word that is said again in the next piece of its text
+            if first and owner[k + j] == of and first == last:
+                parts.append(np.array([of << BITS | TWICE]))
+            if words[j]:
+                of, last = owner[k + j], final
         k = end
     seen = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
     d, b = seen >> BITS, seen & (1 << BITS) - 1
@@ -91,8 +106,11 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([d, has, has]), np.concatenate([b, variety, strangeness])
 
 
-def piece_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, weight index) pairs of the words, and of each piece the words and those with odd marks."""
+TWICE, LOUD = 3, 4
+
+
+def piece_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(piece, weight index) pairs of the words; of each piece the words, those with odd marks, and the hashes of its first and last word."""
     n = len(offsets) - 1
     space = SPACE[raw]
     begins = ~space
@@ -101,7 +119,12 @@ def piece_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     begins[1:] &= space[:-1] | edge[1:-1]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [(0, 0)] * n
+    long = np.flatnonzero(np.diff(np.append(starts, len(raw))) > MAX_WORD)
+    if len(long):
+        ends = [starts[i] + int(np.argmax(np.append(space[starts[i]:], True))) for i in long]
+        more = [np.arange(starts[i] + MAX_WORD, min(e, starts[i + 1] if i + 1 < len(starts) else len(raw)), MAX_WORD) for i, e in zip(long, ends)]
+        starts = np.sort(np.concatenate([starts, *more]))
     doc = np.searchsorted(offsets, starts, side="right") - 1
     # a word's bytes end at the next word's start at the latest; white space between them adds nothing
     sizes = np.diff(np.append(starts, len(raw)))
@@ -121,9 +144,12 @@ def piece_features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     loud = np.flatnonzero((upper == count) & (upper > 2))
     marked = np.flatnonzero(marks != 0)
     d = np.concatenate([doc, doc, doc[marked], doc[twice], doc[loud]])
-    b = np.concatenate([bucket(word, 1), bucket(stem, 5), bucket(marks[marked], 2), np.full(len(twice), 3), np.full(len(loud), 4)])
+    b = np.concatenate([bucket(word, 1), bucket(stem, 5), bucket(marks[marked], 2), np.full(len(twice), TWICE), np.full(len(loud), LOUD)])
     seen = np.unique(d << BITS | b)
-    return seen >> BITS, seen & (1 << BITS) - 1, np.bincount(doc, minlength=n), np.bincount(doc[odd], minlength=n)
+    words = np.bincount(doc, minlength=n)
+    first = np.minimum(np.cumsum(words) - words, len(word) - 1)
+    edges = [(int(word[f]), int(word[f + w - 1])) if w else (0, 0) for f, w in zip(first, words)]
+    return seen >> BITS, seen & (1 << BITS) - 1, words, np.bincount(doc[odd], minlength=n), edges
 
 
 @dataclass
@@ -181,12 +207,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int =
 
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, text: str = "text", key: str = "doc_id", grade: str = "grade", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Ordinal:
     """Fits on rows of ``ratings`` (key, grade from 0) joined to their texts."""
-    rated = ratings.select(F.col(key).alias("k"), F.col(grade).cast("int").alias("g")).filter(F.col("k").isNotNull() & F.col("g").between(0, n_grades - 1))
-    n = rated.count()
+    rated = ratings.select(F.col(key).alias("k"), F.col(grade).cast("int").alias("g")).filter(F.col("k").isNotNull() & F.col("g").between(0, n_grades - 1)).distinct()
+    n = rated.select("k").distinct().count()
     share = min(1.0, sample_rows / max(1, n))
     low = F.xxhash64(F.lit(SEED), F.col("k")) <= (int((share - 0.5) * (2**64 - 1)) if share < 1 else 2**63 - 1)
-    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter(F.length("text") <= sample_chars)
-    picked = rated.filter(low).join(texts.filter(low), "k")
+    room = F.greatest(F.length("text") - sample_chars, F.lit(0)).cast("long")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).filter(low & F.col("text").isNotNull()).withColumn("t", F.xxhash64("text"))
+    texts = texts.withColumn("text", F.substring("text", (F.pmod(F.col("t"), room + 1) + 1).cast("int"), F.lit(sample_chars)))
+    # of rows that share their key a few, so that no key can fill the sample; equal rows count once
+    few = lambda rows, order: rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(order))).filter(F.col("r") <= REPEATS).drop("r")
+    picked = few(rated.filter(low), "g").join(few(texts.groupBy("k", "t").agg(F.min("text").alias("text")), "t"), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in slices(batches, "text"):

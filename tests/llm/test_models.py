@@ -138,6 +138,44 @@ def test_features_do_not_depend_on_neighbours():
     assert own(["Scum word"])[0] != own(["word"])[0]
 
 
+def test_features_do_not_depend_on_pieces(monkeypatch):
+    r = random.Random(7)
+    texts = ["".join(r.choice(["go go ", "no ", "NO! ", "x" * 9, "  ", "é-é ", "word " * 3, "u" * 40 + " "]) for _ in range(r.randrange(60))) for _ in range(40)] + ["a" * 300, " " * 200, "b " + " " * 90 + "b", "y" * 64 + " " + "y" * 64]
+    monkeypatch.setattr(quality, "MAX_WORD", 16)
+    whole = quality.features(*byte_view(pa.array(texts, pa.large_string())))
+    want = sorted(zip(*(x.tolist() for x in whole)))
+    for piece in (16, 32, 64, 256):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        got = quality.features(*byte_view(pa.array(texts, pa.large_string())))
+        assert sorted(zip(*(x.tolist() for x in got))) == want, piece
+
+
+def test_op5_sample(spark):
+    """Long texts are learned from, one key can't fill the sample, equal rows count once."""
+    docs = spark.createDataFrame([*[(i, "good words " * 9000) for i in range(5, 9)], *[(i, "bad stuff " * 9000) for i in range(10, 14)], *[(3, f"many texts {i}") for i in range(300)], *[(4, "one")] * 300], "doc_id long, text string")
+    ratings = spark.createDataFrame([*[(i, 2) for i in range(5, 9)], *[(i, 0) for i in range(10, 14)], *[(3, 2), (4, 0), (4, 0)] * 3], "doc_id long, grade int")
+    model = quality.train(docs, ratings, 3)
+    found = {r.text[:3]: r.expected_grade for r in quality.predict(docs.filter("doc_id > 4"), model).collect()}
+    assert found["goo"] > 1 > found["bad"]
+
+
+def test_op5_rows_by_brute_force(spark):
+    """The query's rows: the model's weights applied by plain loops to whole texts."""
+    docs, labels = queries.documents(spark, SF), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, queries.ratings(labels).filter(~queries.held_out()), queries.GRADES)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = queries.op5_quality(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        _, index = quality.features(*byte_view(pa.array([texts[r.doc_id]], pa.large_string())))
+        s = sum(round(float(model.weights[i]) * 2**20) for i in index.tolist()) / 2**20
+        tails = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        assert (r.expected_grade, r.p_good) == (pytest.approx(sum(tails), abs=2e-6), pytest.approx(tails[1], abs=2e-6))
+        chance = [1 - tails[0], tails[0] - tails[1], tails[1]]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and chance[r.grade] == max(chance)
+        assert r.selected == (r.p_good >= queries.SELECT_AT) or abs(r.p_good - queries.SELECT_AT) < 1e-6
+
+
 def test_gradient_reaches_the_optimum():
     r = np.random.RandomState(0)
     rows = [np.unique(r.randint(0, 30, 6)) for _ in range(600)]
