@@ -1,6 +1,7 @@
 """Operators 2, 3 and 8 against the libraries themselves."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -120,10 +121,32 @@ def test_counts_equal_library(name):
     assert c.count(texts) == want == c.count(texts)
 
 
+@pytest.mark.parametrize("token", [{"content": "<two words>"}, {"content": "<strip>", "lstrip": True}, {"content": "<strip>", "rstrip": True}, {"content": "plain"}])
+def test_added_tokens_decide_on_cutting(token, tmp_path):
+    form = json.load(open(WORD))
+    new = {"id": 60_000, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} | token
+    form["added_tokens"].append(new)
+    path = str(tmp_path / "own.json")
+    json.dump(form, open(path, "w"))
+    t, c = Tokenizer.from_file(path), token_counts.Counter(path)
+    texts = [f"a {token['content']} b", f"one{token['content']}two  x", f"{token['content']}\n {token['content']}", "none here"]
+    assert c.split == (token["content"] == "plain")
+    assert c.count(texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+
+
+def test_other_forms_are_not_cut():
+    form = json.load(open(WORD))
+    assert token_counts.splits_at_space(form)
+    for change in ({"pre_tokenizer": None}, {"pre_tokenizer": {"type": "Metaspace"}}, {"normalizer": {"type": "Replace", "pattern": {"String": " "}, "content": "_"}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Prepend", "prepend": "x"}]}}):
+        assert not token_counts.splits_at_space(form | change)
+    assert not token_counts.splits_at_space(json.load(open(BYTE)))
+
+
 def test_balanced_keeps_all():
     chunks = ["x" * k for k in range(200)]
     parts = list(token_counts.balanced(chunks, 1000))
     assert sum(parts, []) == chunks and all(sum(map(len, p)) < 1500 for p in parts)
+    assert all(sum(len(c.encode()) for c in p) < 1500 for p in token_counts.balanced(["漢" * k for k in range(60)], 1000))
 
 
 def test_op8_rows(spark):
