@@ -4,14 +4,17 @@ Layout of a folder, one set of files for each partition of the key order:
     part-00000.bin   token ids of the partition's documents, one after the other, little-endian uint16
                         if the vocabulary has at most 65,536 ids, else uint32
     part-00000.idx   n + 1 little-endian uint64: where each document starts in the .bin file, in ids
-    part-00000.key   n little-endian int64: the documents' keys
-    bases.json       ids before each partition (prefix sums of the partitions' sizes), and documents
+    part-00000.key   n little-endian int64: the documents' keys (0 for those without one, which stand first)
+    bases.json       ids before each partition (prefix sums of the partitions' sizes), documents, and those without a key
+
+Partitions hold about equal bytes of text: quantiles of the keys give fine ranges, whose bytes are added up and dealt out.
+A key that fills more than a partition is dealt to several by a hash of its texts, equal texts too.
 
 A task writes under a name of its own and renames at its end, so that a repeated or speculative task
 leaves whole files only. The folder must be one that the driver and all executors share.
 
-Defined results: a null or empty text is a document of the end id alone; documents of equal keys lie
-together in the order of their texts; a null key is refused; an empty table gives a folder with no parts.
+Defined results: a null or empty text is a document of the end id alone; documents without a key come first; those of equal
+keys lie together, in the order of a hash; an empty table gives a folder with no parts.
 """
 
 from __future__ import annotations
@@ -115,11 +118,8 @@ class Encoder:
 def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> list[dict]:
     """Writes the files of ``df`` in ascending order of ``key``; returns a row for each partition, with its base."""
     spark = df.sparkSession
-    parts = max(1, df.select(key).rdd.getNumPartitions())
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    lacks = F.raise_error(F.lit("a document has no key"))
-    bounds = sorted(set(rows.filter("key is not null").approxQuantile("key", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    at = F.when(F.col("key").isNull(), lacks.cast("int")).otherwise(bucket_of(F.col("key"), bounds))
+    rows, parts = dealt_out(rows, max(1, df.select(key).rdd.getNumPartitions()))
     fs, top = open_folder(folder)
     fs.create_dir(top, recursive=True)
 
@@ -128,13 +128,14 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key:
 
         part, fs = TaskContext.get().partitionId(), open_folder(folder)[0]
         own, enc = f"{top}/.{part}-{uuid.uuid4().hex}", worker_state(("token files", path, pattern, end_id), lambda: Encoder(path, pattern, end_id))
-        end, keys, sizes = np.array([end_id], enc.dtype).tobytes(), [], []
+        end, keys, sizes, nulls = np.array([end_id], enc.dtype).tobytes(), [], [], 0
         with fs.open_output_stream(f"{own}.bin") as out:
             for batch, texts in slices(batches, "text"):
                 packed = enc.encode(texts.to_pylist())
                 out.write(b"".join(p + end for p in packed))
                 sizes += [len(p) // len(end) + 1 for p in packed]
-                keys.append(batch.column("key").to_numpy())
+                keys.append(batch.column("key").fill_null(0).to_numpy())
+                nulls += batch.column("key").null_count
         if sizes:
             offsets = np.zeros(len(sizes) + 1, "<u8")
             np.cumsum(sizes, out=offsets[1:])
@@ -143,21 +144,60 @@ def write_token_files(df: DataFrame, folder: str, path: str, pattern: str, key:
                     out.write(data.tobytes())
             for kind in ("bin", "idx", "key"):
                 fs.move(f"{own}.{kind}", f"{top}/part-{part:05d}.{kind}")
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": [len(sizes)], "ids": [int(offsets[-1])], "width": pa.array([len(end)], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "documents": [len(sizes)], "ids": [int(offsets[-1])], "width": pa.array([len(end)], pa.int32()), "nulls": [nulls]})
         else:
             fs.delete_file(f"{own}.bin")
 
-    dealt = rows.repartitionById(parts, at).sortWithinPartitions("key", "text")
-    totals = sorted(small_batches(dealt).mapInArrow(run, "part int, documents long, ids long, width int").collect())
+    dealt = rows.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("key").asc_nulls_first(), "place", "text")
+    totals = sorted(small_batches(dealt.select("key", "text")).mapInArrow(run, "part int, documents long, ids long, width int, nulls long").collect())
     bases, ids, documents = [], 0, 0
     for r in totals:
-        bases.append({"part": r.part, "base": ids, "first": documents, "documents": r.documents, "ids": r.ids, "width": r.width})
+        bases.append({"part": r.part, "base": ids, "first": documents, "documents": r.documents, "ids": r.ids, "width": r.width, "nulls": r.nulls})
         ids, documents = ids + r.ids, documents + r.documents
     with fs.open_output_stream(f"{top}/bases.json") as out:
         out.write(json.dumps(bases).encode())
     return bases
 
 
+#: Fine key ranges for each partition, whose bytes decide how they are dealt out.
+FINE = 4
+
+
+def dealt_out(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """``rows`` (key, text) with part int, ascending with the key, and place double, their order within a key; and the number of parts."""
+    cuts = sorted(set(rows.filter("key is not null").approxQuantile("key", [k / (FINE * parts) for k in range(1, FINE * parts)], 0.2 / (FINE * parts)))) if parts > 1 else []
+    # places of equal texts differ by where they are read, so that a key of one text many times over can be dealt out too
+    place = (F.xxhash64("text", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))).cast("double") / 2.0**64 + 0.5).alias("place")
+    rows = rows.select("key", "text", place)
+    if parts == 1:
+        return rows.withColumn("part", F.lit(0)), 1
+    # with b cuts below a key: range 2 b + 2 if it equals the next cut, else 2 b + 1; 0 for rows without a key
+    below = bucket_of(F.col("key"), cuts)
+    same = F.coalesce(F.get(F.from_json(F.lit(json.dumps([int(c) for c in cuts])), "array<bigint>"), below) == F.col("key"), F.lit(False)).cast("int")
+    rows = rows.withColumn("fine", F.when(F.col("key").isNull(), F.lit(0)).otherwise(2 * below + 1 + same).cast("int"))
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 16).cast("long")
+    sizes = {r.fine: (r.bytes, r.low == r.high) for r in rows.groupBy("fine").agg(F.sum(size).alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
+    first, split, n = deal([sizes.get(k, (0, False)) for k in range(2 * len(cuts) + 2)], parts)
+    table = lambda x: F.from_json(F.lit(json.dumps(x)), "array<int>")
+    pieces = F.get(table(split), F.col("fine"))
+    part = F.get(table(first), F.col("fine")) + F.least(F.floor(F.col("place") * pieces).cast("int"), pieces - 1)
+    return rows.withColumn("part", part).drop("fine"), n
+
+
+def deal(ranges: list[tuple[int, bool]], parts: int) -> tuple[list[int], list[int], int]:
+    """(first part, number of parts) of each range of (bytes, whether it is one key), and how many parts there are in all."""
+    most = max(1, -(-sum(n for n, _ in ranges) // parts))
+    first, split, now, held = [], [], 0, 0
+    for n, one in ranges:
+        alone = one and n > 1.5 * most
+        if held and (alone or held + n > 1.25 * most):
+            now, held = now + 1, 0
+        first.append(now)
+        split.append(-(-n // most) if alone else 1)
+        now, held = (now + split[-1], 0) if alone else (now, held + n)
+    return first, split, now + 1
+
+
 def bucket_of(key: Column, bounds: list[float]) -> Column:
     """How many of the sorted bounds lie below the key, by halving; the bounds are one constant, however many there are."""
     if not bounds:
@@ -185,27 +225,36 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base, width in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "width"))):
+            for part, base, width, nulls in zip(*(batch.column(c).to_pylist() for c in ("part", "base", "width", "nulls"))):
                 ids, offsets, keys = open_part(folder, part, width)
-                for k in range(0, len(keys), 512):
-                    n = min(512, len(keys) - k)
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[k:k + n]), "start": pa.array(offsets[k:k + n].astype(np.int64) + base), "n_tokens": pa.array(np.diff(offsets[k:k + n + 1]).astype(np.int64)), "ids": pa.array([ids[offsets[i]:offsets[i + 1]].astype("<u4").tobytes() for i in range(k, k + n)], pa.binary())})
+                lo = 0
+                while lo < len(keys):
+                    most = int(np.searchsorted(offsets, int(offsets[lo]) + READ_IDS, side="right")) - 1
+                    hi = min(max(lo + 1, most), lo + 4096, len(keys))
+                    run, at = ids(int(offsets[lo]), int(offsets[hi])), (offsets[lo:hi + 1] - offsets[lo]).astype(np.int64)
+                    key = pa.array(np.array(keys[lo:hi]), mask=np.arange(lo, hi) < nulls)
+                    yield pa.RecordBatch.from_pydict({"key": key, "start": pa.array(offsets[lo:hi].astype(np.int64) + base), "n_tokens": pa.array(np.diff(at)), "ids": pa.array([run[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])], pa.binary())})
+                    lo = hi
 
     parts = spark.range(0, len(bases), 1, len(bases))
-    table = spark.createDataFrame([(k, b["part"], b["base"], b["width"]) for k, b in enumerate(bases)], "id long, part int, base long, width int")
-    parts = parts.join(F.broadcast(table), "id").select("part", "base", "width")
-    return parts.mapInArrow(run, schema)
+    table = spark.createDataFrame([(k, b["part"], b["base"], b["width"], b["nulls"]) for k, b in enumerate(bases)], "id long, part int, base long, width int, nulls long")
+    return parts.join(table, "id").select("part", "base", "width", "nulls").repartition(len(bases), "part").mapInArrow(run, schema)
 
 
-def open_part(folder: str, part: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, keys) of one part; memory-mapped where the folder is a local path."""
+#: Ids read at once, one document at least.
+READ_IDS = 1 << 20
+
+
+def open_part(folder: str, part: int, width: int) -> tuple[Callable[[int, int], np.ndarray], np.ndarray, np.ndarray]:
+    """(ids from one place to another, offsets, keys) of one part; memory-mapped where the folder is a local path, else the ids are read range by range."""
     fs, top = open_folder(folder)
-    found = []
-    for kind, dtype in (("bin", f"<u{width}"), ("idx", "<u8"), ("key", "<i8")):
-        name = f"{top}/part-{part:05d}.{kind}"
-        if type(fs).__name__ == "LocalFileSystem":
-            found.append(np.memmap(name, dtype, "r"))
-        else:
-            with fs.open_input_file(name) as f:
-                found.append(np.frombuffer(f.read(), dtype))
-    return tuple(found)
+    name = lambda kind: f"{top}/part-{part:05d}.{kind}"
+    if type(fs).__name__ == "LocalFileSystem":
+        ids, offsets, keys = (np.memmap(name(kind), dtype, "r") for kind, dtype in (("bin", f"<u{width}"), ("idx", "<u8"), ("key", "<i8")))
+        return (lambda lo, hi: ids[lo:hi]), offsets, keys
+    whole = []
+    for kind, dtype in (("idx", "<u8"), ("key", "<i8")):
+        with fs.open_input_file(name(kind)) as f:
+            whole.append(np.frombuffer(f.read(), dtype))
+    file = fs.open_input_file(name("bin"))
+    return (lambda lo, hi: np.frombuffer(file.read_at((hi - lo) * width, lo * width), f"<u{width}")), *whole

@@ -186,5 +186,41 @@ def test_op8_edges(spark, edge, clash, empty, tmp_path):
         assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
     token_files.write_token_files(empty, f"file://{tmp_path}/e", BYTE, P.PATTERN)
     assert token_files.read_token_files(spark, f"file://{tmp_path}/e").count() == 0
-    with pytest.raises(Exception, match="no key"):
-        token_files.write_token_files(edge.withColumn("doc_id", F.lit(None).cast("long")), f"file://{tmp_path}/n", BYTE, P.PATTERN)
+    nulls = edge.withColumn("doc_id", F.when(F.col("doc_id") > 8, F.col("doc_id"))).repartition(5)
+    token_files.write_token_files(nulls, f"file://{tmp_path}/n", BYTE, P.PATTERN)
+    rows = token_files.read_token_files(spark, f"file://{tmp_path}/n").orderBy("start").collect()
+    assert [r.key for r in rows] == [None] * 9 + [9, 10, 10]
+    texts = lambda found: sorted(np.frombuffer(x, "<u4").tolist() for x in found)
+    assert texts(r.ids for r in rows) == sorted([*t.encode(r.text or "", add_special_tokens=False).ids, 0] for r in nulls.collect())
+
+
+def test_op8_hot_keys_are_dealt_out(spark, tmp_path):
+    rows = [(7, "the same text")] * 400 + [(7, f"text {i}") for i in range(200)] + [(i, f"own {i} " * (i % 50)) for i in range(-100, 300)] + [(None, "no key")] * 100 + [(1000, "long text " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    bases = token_files.write_token_files(df, f"file://{tmp_path}", BYTE, P.PATTERN)
+    found = token_files.read_token_files(spark, f"file://{tmp_path}").orderBy("start").collect()
+    want = sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    assert [r.key for r in found] == want and [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(len(found))]
+    t = Tokenizer.from_file(BYTE)
+    ids = {text: [*t.encode(text, add_special_tokens=False).ids, 0] for text in {x for _, x in rows}}
+    assert sorted((r.key or -999, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == sorted((k or -999, ids[x]) for k, x in rows)
+    sizes = sorted(b["ids"] for b in bases)
+    assert len(bases) > 8 and sizes[-2] < 3 * sum(sizes) / len(sizes)
+
+
+def test_op8_deal():
+    first, split, n = token_files.deal([(10, False), (10, False), (120, True), (0, False), (30, False), (200, False), (5, False)], 5)
+    assert (first, split, n) == ([0, 0, 1, 3, 3, 4, 5], [1, 1, 2, 1, 1, 1, 1], 6)
+
+
+def test_op8_ranges_of_a_remote_folder(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    df = spark.createDataFrame([(i, f"text number {i} " * i) for i in range(50)], "doc_id long, text string")
+    token_files.write_token_files(df, f"file://{tmp_path}", BYTE, P.PATTERN)
+    near = token_files.open_part(f"file://{tmp_path}", 0, 2)
+    monkeypatch.setattr(token_files, "open_folder", lambda uri: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), str(tmp_path)))
+    far = token_files.open_part(f"file://{tmp_path}", 0, 2)
+    for lo, hi in ((0, 0), (0, 9), (5, 60)):
+        assert near[0](lo, hi).tolist() == far[0](lo, hi).tolist()
+    assert near[1].tolist() == far[1].tolist() and near[2].tolist() == far[2].tolist()
