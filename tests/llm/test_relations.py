@@ -276,6 +276,18 @@ def test_op9_brute_force(spark, kind):
     assert sorted(map(tuple, got)) == sorted(brute_mix(rows, 16, **kind))
 
 
+def test_op9_many_sources(spark, monkeypatch):
+    """More sources than the driver takes give the same mix; a slice of one key and a few give the same cut."""
+    r = random.Random(6)
+    rows = [(k, f"s{int(r.expovariate(0.5))}", r.randrange(1, 90)) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    mixed = lambda: sorted(map(tuple, mixing.mix(df, F.col("tokens"), blocks=8, target_entropy_share=0.9).select("doc_id", "mix_pass").collect()))
+    want = mixed()
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    monkeypatch.setattr(mixing, "SLICE_DIGITS", 1)
+    assert mixed() == want == sorted(brute_mix(rows, 8, target_entropy_share=0.9))
+
+
 def test_op9_budgets_hold(spark):
     rows = queries.documents(spark, SF1).select("doc_id", "source", queries.estimated_tokens().alias("tokens"))
     mixed = queries.op9_mixing(spark, SF1)
