@@ -2,26 +2,34 @@
 
 A vector is coded as the sum of one codeword from each of ``books`` full-dimensional codebooks. Codebooks
 start as k-means over successive residuals and are refitted jointly by least squares; codes are found by
-beam search over the residuals. The index holds a vector's codes and the norms of its reconstruction and of
-its residual. A query's inner products with all codewords form lookup tables; a coded vector's score is the
-sum of its codewords' entries. The exact scores of the ``candidates`` best give a bar that the k best must
-reach; every vector whose score plus the bound |query| * |residual| reaches the bar is ranked by the exact
-inner product, in double precision on the original vectors. So no neighbour is lost at any size of the
-index; ``candidates`` and the codebooks decide the cost only.
+beam search over the residuals. The index holds a vector's codes and the norm of its residual.
+
+The first codewords of a code are its cell: the first book's, and where a cell holds too many vectors the next
+one's too, up to ``DEPTH``. A query's inner products with all codewords form lookup tables. They rank the cells
+(sum of the cell's codewords, and what its spread may add), and cells are probed in that order until they hold
+``reach`` vectors. A probed vector's score is the sum of its codewords' entries; vectors whose score, with three
+deviations of what the residual's norm may add, reaches the bar that the exact scores of the ``candidates`` best
+set are ranked by the exact inner product, in double precision on the original vectors.
+
+``reach`` is measured on every run: the true neighbours of ``TRIALS`` queries, found by brute force in one pass over the
+index, give the least reach that probes the cells of ``TARGET`` of them. Vectors in clusters need few cells, whatever
+their number; vectors without any structure need most of them. The measure is logged.
 
 Equal vectors share one code: an index entry is a distinct vector with its smallest ids (as many as a result
-can need), so a vector that a third of all rows hold costs no more than any other. Queries go against the
-whole index block by block; a task holds one block of queries and one of codes.
+can need), so a vector that a third of all rows hold costs no more than any other. Cells in order make blocks; a task
+holds one block of codes and one of the queries that probe it.
 
 Codebooks are fitted on a bounded sample (``SAMPLE`` distinct vectors of lowest hash); every vector is indexed.
 
 Defined results: a vector that is null, zero, of another length than most, or has a null or non-finite
 component takes no part; ties go to the smaller id; a null id takes no part; with fewer candidates than
-``k`` all are returned; an empty table gives an empty table. Ids are unique; of rows that repeat one (id, vector) one counts.
+``k`` all are returned; an empty table gives an empty table. An id with several vectors asks with each and is found by
+each, its best score counts, and so a result may then be short of ``k``; of rows that repeat one (id, vector) one counts.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +48,16 @@ CANDIDATES = 400
 QUERY_BLOCK = 1024
 CODE_BLOCK = 65_536
 SEED = 3
+#: Codewords that name a cell at most, vectors of a cell from which on it is split, and cells that are split at most.
+DEPTH = 3
+SPLIT = 512
+SPLIT_CELLS = 8192
+#: Queries whose true neighbours set the reach, and the share of these neighbours whose cells must be probed.
+TRIALS = 128
+TARGET = 0.97
+#: Components beyond this are cut down before coding; what that takes off counts as residual.
+LARGEST = 1e15
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -144,23 +162,79 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
-def inner(a: str, b: str) -> Column:
-    """Exact inner product in double precision."""
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> double(x) * double(y)), double(0), (s, x) -> s + x)")
+def single(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -LARGEST, LARGEST).astype(np.float32)
+
+
+@dataclass
+class Cells:
+    """Cells in the order of their codewords: the lowest code of each (its first DEPTH codewords as a number), depth, vectors, spread and block."""
+
+    low: np.ndarray
+    depth: np.ndarray
+    size: np.ndarray
+    spread: np.ndarray
+    block: np.ndarray
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The cells of coded vectors."""
+        return np.searchsorted(self.low, lowest_code(codes), side="right") - 1
+
+    def order(self, books: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the cells, best first, and how many vectors the cells before each hold."""
+        scores = np.zeros((len(queries), len(self.low)))
+        for m in range(min(DEPTH, len(books))):
+            word = self.low >> 8 * (DEPTH - 1 - m) & 255
+            scores += np.where(self.depth > m, (queries @ books[m].T)[:, word], 0)
+        scores += 2.5 * np.linalg.norm(queries.astype(np.float64), axis=1)[:, None] * self.spread / np.sqrt(queries.shape[1])
+        best = np.argsort(-scores, axis=1, kind="stable")
+        held = self.size[best]
+        return best, np.cumsum(held, axis=1) - held
+
+
+def lowest_code(codes: np.ndarray) -> np.ndarray:
+    """The first DEPTH codewords as a number."""
+    out = np.zeros(len(codes), np.int64)
+    for m in range(DEPTH):
+        out = out << 8 | (codes[:, m].astype(np.int64) if m < codes.shape[1] else 0)
+    return out
+
+
+def cells_of(entries: DataFrame, n: int) -> Cells:
+    """Splits cells of too many vectors by the next codeword, level by level; what reaches the driver is a row a cell."""
+    most, found, large = max(SPLIT, n // SPLIT_CELLS), [], None
+    for depth in range(1, DEPTH + 1):
+        rows = entries.select(F.substring("codes", 1, depth).alias("p"), F.substring("codes", 1, depth - 1).alias("up"), (F.col("early")[depth - 1] ** 2).alias("s"))
+        if large is not None:
+            rows = rows.join(F.broadcast(large), "up")
+        counts = rows.groupBy("p").agg(F.count("*").alias("n"), F.avg("s").alias("s")).collect()
+        again = [r for r in counts if r.n > most and depth < DEPTH]
+        found += [(int.from_bytes(bytes(r.p).ljust(DEPTH, b"\0"), "big"), depth, r.n, r.s**0.5) for r in counts if not (r.n > most and depth < DEPTH)]
+        if not again:
+            break
+        large = entries.sparkSession.createDataFrame([(bytes(r.p),) for r in again], "up binary")
+    low, deep, size, spread = (np.array(x) for x in zip(*sorted(found)))
+    return Cells(low.astype(np.int64), deep, size.astype(np.int64), spread.astype(np.float64), (np.cumsum(size) - size) // CODE_BLOCK)
+
+
+def code_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 @dataclass
 class Index:
     codebooks: Codebooks | None
-    entries: DataFrame  # rep long, members array<long>, vector array<float>, codes binary, norm float, rest float
+    entries: DataFrame  # rep long, members array<long>, vector, codes binary, rest double, early array<double>
     rows: DataFrame  # vec_id, vector: all that take part
     n: int
+    cells: Cells | None = None
 
 
 def build(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> Index:
     """The index over every usable vector; ``k``: how many neighbours searches will ask for."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector")).filter(F.col("vec_id").isNotNull() & usable("vector"))
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector")).filter(F.col("vec_id").isNotNull() & usable("vector"))
     widest = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = widest[0].d if widest else 0
     rows = rows.filter(F.size("vector") == d)
@@ -168,71 +242,151 @@ def build(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding")
     classes = ranked.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).select(F.col("members")[0].alias("rep"), "members", "vector")
     classes = written(classes, "classes")
     n = classes.count()
-    sample = classes.withColumn("h", F.xxhash64(F.lit(SEED), "rep")).orderBy("h", "rep").limit(SAMPLE).select("vector").toArrow()
+    schema = f"rep long, members array<long>, vector {kind}, codes binary, rest double, early array<double>"
     if not n:
-        return Index(None, classes.withColumn("codes", F.lit(b"")).withColumn("norm", F.lit(0.0)).withColumn("rest", F.lit(0.0)), rows, 0)
-    books = Codebooks.fit(matrix(sample.column("vector").combine_chunks()))
+        return Index(None, spark.createDataFrame([], schema), rows, 0)
+    sample = classes.withColumn("h", F.xxhash64(F.lit(SEED), "rep", "vector")).orderBy("h", "rep").limit(SAMPLE).select("vector").toArrow()
+    books = Codebooks.fit(single(matrix(sample.column("vector").combine_chunks())))
     shared = spark.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("vector"))
-            codes = shared.value.encode(x)
-            found = shared.value.decode(codes)
-            norms = np.linalg.norm(found, axis=1).astype(np.float32)
-            rest = np.linalg.norm(x.astype(np.float64) - found, axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(rest)], names=["rep", "members", "vector", "codes", "norm", "rest"])
-
-    return Index(books, written(classes.mapInArrow(run, "rep long, members array<long>, vector array<float>, codes binary, norm float, rest float"), "index"), rows, n)
+            codes = shared.value.encode(single(x))
+            left, early = x.astype(np.float64), []
+            for m, book in enumerate(shared.value.books):
+                left = left - book[codes[:, m]]
+                early.append(np.linalg.norm(left, axis=1))
+            early = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(early[:DEPTH], axis=1).ravel()), DEPTH).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.linalg.norm(left, axis=1)), early], names=["rep", "members", "vector", "codes", "rest", "early"])
+
+    entries = written(classes.mapInArrow(run, schema), "index")
+    return Index(books, entries, rows, n, cells_of(entries, n))
+
+
+def reach_of(index: Index, distinct: DataFrame, k: int, target: float) -> int:
+    """How many vectors the probed cells must hold, from the true neighbours of some of the queries."""
+    spark, cells = index.entries.sparkSession, index.cells
+    trials = distinct.withColumn("h", F.xxhash64(F.lit(SEED), "q", "vector")).orderBy("h", "q").limit(TRIALS).select("q", "vector").toArrow()
+    if not trials.num_rows:
+        return 1
+    asked, ids = matrix(trials.column("vector").combine_chunks()).astype(np.float64), trials.column("q").to_numpy()
+    shared = spark.sparkContext.broadcast((asked, ids, cells))
 
-
-def search(index: Index, queries: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of every query (vec_id, vector of the index), its own row left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, ids, cells = shared.value
+        for batch in batches:
+            x, reps = matrix(batch.column("vector")).astype(np.float64), batch.column("rep").to_numpy()
+            own = cells.of(code_matrix(batch.column("codes")))
+            s = np.where(ids[:, None] == reps[None, :], -np.inf, asked @ x.T)
+            keep = min(k, len(reps))
+            best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            yield pa.RecordBatch.from_pydict({"t": np.repeat(np.arange(len(ids)), keep), "cell": own[best].ravel(), "s": np.take_along_axis(s, best, 1).ravel()})
+
+    rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("s"), "cell"))
+    near = index.entries.select("rep", "vector", "codes").mapInArrow(run, "t long, cell long, s double").withColumn("r", rank).filter(F.col("r") <= k).filter("s > double('-infinity')").select("t", "cell").toArrow()
+    t, cell = near.column("t").to_numpy(), near.column("cell").to_numpy()
+    if not len(t):
+        return index.n
+    order, before = cells.order(index.codebooks.books, single(asked))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
+    need = np.sort(before[t, place[t, cell]])
+    reach = int(need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]) + 1
+    log.warning("additive quantisation: %d vectors in %d cells; %d probed a query hold %.3f of the true neighbours of %d queries", index.n, len(cells.low), reach, float(np.mean(need < reach)), len(ids))
+    return reach
+
+
+def search(index: Index, queries: DataFrame, k: int, candidates: int = CANDIDATES, target: float = TARGET) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best found for every query (vec_id, vector of the index), its own row left out."""
     if not index.n:
         return index.entries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     spark, entries = index.entries.sparkSession, index.entries
-    shared = spark.sparkContext.broadcast(index.codebooks)
-    asked = written(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("v")).join(entries.select("rep", "vector"), F.col("v") == F.col("vector")).select("query_id", F.col("rep").alias("q")), "asked")
-    distinct = entries.join(asked.select("q").distinct(), F.col("rep") == F.col("q"), "left_semi").select(F.col("rep").alias("q"), "vector")
-    code_blocks = -(-index.n // CODE_BLOCK)
-    query_blocks = -(-max(1, distinct.count()) // QUERY_BLOCK)
-    left = distinct.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1))))
-    right = entries.select("rep", "codes", "rest", F.col("vector").alias("own")).withColumn("cb", F.pmod(F.xxhash64("rep"), F.lit(code_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    asked = written(queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("v")).join(entries.select("rep", "vector"), F.col("v") == F.col("vector")).select("query_id", F.col("rep").alias("q"), "vector"), "asked")
+    distinct = written(asked.select("q", "vector").distinct(), "queries")
+    reach = reach_of(index, distinct, k, target)
+    shared = spark.sparkContext.broadcast((index.codebooks, index.cells))
+    kind = entries.schema["vector"].dataType.simpleString()
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, cells = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                batch = whole.slice(lo, 64)
+                order, before = cells.order(books.books, single(matrix(batch.column("vector"))))
+                at, blocks, lists = [], [], []
+                for i in range(batch.num_rows):
+                    probed = np.sort(order[i][before[i] < reach])
+                    cuts = np.flatnonzero(np.diff(cells.block[probed])) + 1
+                    for part in np.split(probed, cuts):
+                        at.append(i)
+                        blocks.append(int(cells.block[part[0]]))
+                        lists.append(part)
+                picked = batch.take(pa.array(at))
+                flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]), pa.int32()), pa.array(np.concatenate(lists), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(blocks, pa.int32()), flat], names=["q", "vector", "block", "cells"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = shared.value[1]
+            own = cells.of(code_matrix(batch.column("codes")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(cells.block[own].astype(np.int32))], names=["rep", "members", "own", "codes", "rest", "cell", "block"])
+
+    left = written(distinct.mapInArrow(probes, f"q long, vector {kind}, block int, cells array<int>"), "probes")
+    groups = left.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("groups"))
+    left = left.join(groups, "block").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("groups")).cast("int")).drop("groups")
+    right = entries.select("rep", "members", F.col("vector").alias("own"), "codes", "rest").mapInArrow(placed, f"rep long, members array<long>, own {kind}, codes binary, rest double, cell int, block int")
+    right = right.join(groups, "block").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        parts = []
-        if a.num_rows and b.num_rows:
-            reps = b.column("rep").to_numpy()
-            order = np.argsort(reps)
-            reps = reps[order]
-            codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(len(reps), -1)[order]
-            vectors, ids = matrix(a.column("vector").combine_chunks()), a.column("q").to_numpy()
-            own, rest = matrix(b.column("own").combine_chunks())[order].astype(np.float64), b.column("rest").to_numpy()[order].astype(np.float64)
-            keep = min(max(candidates, k + 1), len(reps))
-            longest = np.linalg.norm(own, axis=1).max()
-            # what rounding to single precision can add up to, in scores (by the largest codewords) and residuals
-            slack = 1e-5 * (np.linalg.norm(shared.value.books.astype(np.float64), axis=2).max(axis=1).sum() + longest)
-            for lo in range(0, len(ids), 64):
-                s = shared.value.scores(vectors[lo:lo + 64], codes)
-                best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                for i, v in enumerate(vectors[lo:lo + 64].astype(np.float64)):
-                    size = np.linalg.norm(v)
-                    first = own[best[i]] @ v
-                    bar = np.partition(first, max(0, keep - k - 1))[max(0, keep - k - 1)]
-                    able = np.flatnonzero(s[i] + size * (rest + slack) >= bar)
-                    scores = own[able] @ v
-                    # all that tie with the last one stay, give or take the rounding of sums in another order
-                    good = len(able) - min(k + 1, len(able))
-                    able = able[scores >= np.partition(scores, good)[good] - 1e-12 * size * longest]
-                    parts.append((np.full(len(able), ids[lo + i]), reps[able]))
-        q, c = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table({"q": q, "c": c})
-
-    near = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(run, "q long, c long")
-    exact = near.join(entries.select(F.col("rep").alias("c"), "members", F.col("vector").alias("cv")), "c").join(entries.select(F.col("rep").alias("q"), F.col("vector").alias("qv")), "q")
-    scored = exact.select("q", "members", inner("qv", "cv").alias("score"))
+        parts, schema = [], pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        books, cell = shared.value[0], b.column("cell").to_numpy()
+        order = np.lexsort((b.column("rep").to_numpy(), cell))
+        cell, codes = cell[order], code_matrix(b.column("codes").combine_chunks())[order]
+        own, rest = matrix(b.column("own").combine_chunks())[order].astype(np.float64), b.column("rest").to_numpy()[order]
+        members = b.column("members").combine_chunks().take(pa.array(order))
+        held, flat = members.value_lengths().to_numpy(), members.flatten().to_numpy()
+        begin = np.cumsum(held) - held
+        vectors, ids, wanted = matrix(a.column("vector").combine_chunks()), a.column("q").to_numpy(), a.column("cells").to_pylist()
+        for lo in range(0, len(ids), 64):
+            v = vectors[lo:lo + 64]
+            tables = [single(v) @ book.T for book in books.books]
+            s = np.full((len(v), len(cell)), -np.inf, np.float32)
+            probing: dict[int, list[int]] = {}
+            for i, probed in enumerate(wanted[lo:lo + 64]):
+                for c in probed:
+                    probing.setdefault(c, []).append(i)
+            for c, who in probing.items():
+                x, y = np.searchsorted(cell, c), np.searchsorted(cell, c, side="right")
+                s[who, x:y] = sum(t[who][:, codes[x:y, m]] for m, t in enumerate(tables))
+            for i, q in enumerate(v.astype(np.float64)):
+                there = np.flatnonzero(s[i] > -np.inf)
+                if not len(there):
+                    continue
+                size, near = np.linalg.norm(q), s[i][there].astype(np.float64)
+                keep = min(max(candidates, k + 1), len(there))
+                first = there[np.argpartition(-near, keep - 1)[:keep]]
+                exact = np.sort((own[first] * q).sum(axis=1))
+                bar = exact[max(0, keep - k - 1)]
+                able = there[(near + 3 * size * rest[there] / np.sqrt(len(q)) >= bar)]
+                able = np.union1d(able, first[(own[first] * q).sum(axis=1) >= bar])
+                exact = (own[able] * q).sum(axis=1)
+                # all that tie with the last one stay
+                good = exact >= np.partition(exact, len(able) - min(k + 1, len(able)))[len(able) - min(k + 1, len(able))]
+                able, exact = able[good], exact[good]
+                n = held[able]
+                ends = np.cumsum(n)
+                parts.append((np.full(ends[-1], ids[lo + i]), flat[np.arange(ends[-1]) + np.repeat(begin[able] - (ends - n), n)], np.repeat(exact, n)))
+        if not parts:
+            return schema.empty_table()
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts)], schema=schema)
+
+    near = left.groupBy("block", "qb").cogroup(right.groupBy("block", "qb")).applyInArrow(run, "q long, vec_id long, score double")
     few = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    best = scored.select("q", "score", F.explode("members").alias("vec_id")).withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k + 1).drop("r")
-    answers = asked.join(best, "q").filter("vec_id != query_id")
+    best = near.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= k + 1).drop("r")
+    # an id of several rows asks and is found by its best one
+    answers = asked.select("query_id", "q").distinct().join(best, "q").filter("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
