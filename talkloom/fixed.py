@@ -67,3 +67,14 @@ ANSWER_GATES = (("avg words", 20, None, "fail"), ("very short pct", None, 10, "f
 TOPICS = ("film", "production", "persona", "decision-making", "technical", "creative", "planning")
 TOPIC_LEAST = 50
 SCRIPT_LEAST = 30
+
+#: What a request is answered from: words that make it one about scripts, tags of the style card, tags of the snippet for each
+#: keyword, and (words, query, number) of memories, the first that fits.
+SCRIPT_WORDS = ("script", "outline", "beat", "scene", "logline", "pitch", "character", "genre")
+STYLE_TAGS = ("script", "style")
+SNIPPET_ROUTES = (
+    ("logline", ("script", "template", "logline")), ("pitch", ("script", "template", "pitch")), ("scene", ("script", "template", "scene")), ("outline", ("script", "template", "structure")),
+    ("beat", ("script", "template", "structure")), ("character", ("script", "template", "character")), ("checklist", ("script", "template", "scene")),
+    ("thriller", ("script", "template", "genre", "thriller")), ("rom-com", ("script", "template", "genre", "rom-com")), ("family", ("script", "template", "genre", "family")),
+)
+MEMORY_ROUTES = ((("drifts", "standing note"), "screenplay drift", 2), (("budget", "helicopter"), "budget", 2), (("outline", "beat"), "beats", 1))

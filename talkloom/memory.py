@@ -38,11 +38,16 @@ class MemoryStore:
         io.insert_row(self.spark, self.path(name), row, SCHEMAS[name], {})
 
     def upsert_stm(self, session_id: str, rolling_summary: str, target_lang: str) -> None:
-        """[SNK6] Written beside the old table, which then gives way."""
-        new = self.spark.createDataFrame([(session_id, rolling_summary, target_lang)], "session_id string, rolling_summary string, target_lang string").withColumn("updated_at", io.utc_now())
-        merged = tables.upsert(self.table("stm"), new, "session_id")
-        io.write_jsonl(merged, self.path("stm.new"))
-        io.write_jsonl(io.read_jsonl(self.spark, self.path("stm.new"), SCHEMAS["stm"]), self.path("stm"))
+        """[SNK6] Written beside the old table, which it then replaces by two renames; what a crash between them leaves is put right first."""
+        path, new, old = (self.path(x) for x in ("stm", "stm.new", "stm.old"))
+        if not io.exists(self.spark, path) and io.exists(self.spark, old):
+            io.move(self.spark, old, path)
+        row = self.spark.createDataFrame([(session_id, rolling_summary, target_lang)], "session_id string, rolling_summary string, target_lang string").withColumn("updated_at", io.utc_now())
+        io.write_jsonl(tables.upsert(self.table("stm"), row, "session_id"), new)
+        if io.exists(self.spark, path):
+            io.move(self.spark, path, old)
+        io.move(self.spark, new, path)
+        io.remove(self.spark, old)
 
     def search(self, name: str, query: str | None = None, vector: list[float] | None = None, tags: list[str] | None = None, top_k: int = 5) -> DataFrame:
         """[RET1, RET2]"""

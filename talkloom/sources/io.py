@@ -25,8 +25,27 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, asked of the file system that holds it."""
+    fs, p = _file_system(spark, path)
+    return bool(fs.globStatus(p))
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p))
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder if it is there."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a file or folder; one that has the new name already goes."""
+    remove(spark, new)
+    fs, p = _file_system(spark, old)
+    if not fs.rename(p, _file_system(spark, new)[1]):
+        raise OSError(f"could not rename {old}")
 
 
 def read_jsonl_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -142,6 +161,16 @@ def expired(files: DataFrame, cutoff: Column) -> DataFrame:
     return files.filter(F.col("modificationTime") < cutoff)
 
 
+def delete_expired(spark: SparkSession, path: str, days: int) -> int:
+    """Deletes the files below a folder that are older than that; how many. The names alone reach the driver, in turn. [SNK17]"""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
+    n = 0
+    for r in expired(files, F.current_timestamp() - F.expr(f"interval {int(days)} days")).toLocalIterator():
+        remove(spark, r.path)
+        n += 1
+    return n
+
+
 def table_columns(spark: SparkSession) -> DataFrame:
     """(table, column, type) of the session's views and tables."""
     rows = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables() for c in spark.catalog.listColumns(t.name)]
