@@ -5,8 +5,8 @@ Xing table (frames, bytes, 100 seek points), then silent frames, each with a CRC
 zero, whose ancillary bytes are the payload; an ID3v1 tag ends it.
 
 The reader skips tags, resynchronises on frame headers (a header counts if the next one, the end or a tag
-follows where its length says, or if it directly follows a frame of its kind), reads Xing/Info and VBRI tables, verifies the CRC of Layer III frames that
-have one, and returns exact durations (samples over rate) and the byte offset of every frame for seeking.
+follows where its length says, or if it directly follows a frame of its kind), reads Xing/Info and VBRI tables with their seek points,
+verifies the CRC of frames that have one (all layers), and returns exact durations (samples over rate) and the byte offset of every frame for seeking.
 
 Defined results: a null payload is stored as an empty one; junk without any frame has 0 frames and duration
 0; a damaged frame counts as a bad CRC and keeps its place; equal payloads give equal streams; an empty
@@ -40,6 +40,15 @@ KBPS = {
 }
 RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
 
+#: Bits of each band's allocation in Layer II, by table: two tables of 27 and 30 bands, two of 8 and 12, and that of the lower rates.
+LAYER2_ALLOCATION = [
+    [4] * 11 + [3] * 12 + [2] * 4,
+    [4] * 11 + [3] * 12 + [2] * 7,
+    [4] * 2 + [3] * 6,
+    [4] * 2 + [3] * 10,
+    [4] * 4 + [3] * 7 + [2] * 19,
+]
+
 RATE = 44100
 SIDE = 32
 LENGTH_TAG = b"payload-length\0"
@@ -147,6 +156,8 @@ class Audio:
     skipped: int = 0
     table: str = ""
     table_frames: int = 0
+    table_bytes: int = 0
+    points: list[int] = field(default_factory=list)
     seek: list[int] = field(default_factory=list)
     tags: dict[str, bytes] = field(default_factory=dict)
     payload: bytes = b""
@@ -171,17 +182,67 @@ def read_tag(data: bytes, at: int) -> tuple[int, dict[str, bytes]]:
     return min(end + 10 * (data[at + 5] >> 4 & 1), len(data)), found
 
 
-def read_table(data: bytes, at: int, h: Header) -> tuple[str, int]:
-    """(kind, frames) of a Xing, Info or VBRI table in this frame."""
+def read_table(data: bytes, at: int, h: Header) -> tuple[str, int, int, list[int]]:
+    """(kind, frames, bytes, seek points as byte offsets from the frame) of a Xing, Info or VBRI table in this frame; 0 and none where it doesn't say."""
+    number = lambda k, n=4: int.from_bytes(data[k:k + n], "big")
     if h.layer != 3:
-        return "", 0
+        return "", 0, 0, []
     for k in (at + 4 + h.side, at + 6 + h.side):
-        if data[k:k + 4] in (b"Xing", b"Info"):
-            flags = int.from_bytes(data[k + 4:k + 8], "big")
-            return data[k:k + 4].decode(), int.from_bytes(data[k + 8:k + 12], "big") if flags & 1 else 0
-    if data[at + 36:at + 40] == b"VBRI":
-        return "VBRI", int.from_bytes(data[at + 50:at + 54], "big")
-    return "", 0
+        if data[k:k + 4] in (b"Xing", b"Info") and k + 8 <= len(data):
+            flags, p, found = number(k + 4), k + 8, []
+            for bit in (1, 2):
+                found.append(number(p) if flags & bit else 0)
+                p += 4 if flags & bit else 0
+            points = [found[1] * b // 256 for b in data[p:p + 100]] if flags & 4 and p + 100 <= at + h.size else []
+            return data[k:k + 4].decode(), *found, points
+    k = at + 36
+    if data[k:k + 4] == b"VBRI" and k + 26 <= len(data):
+        entries, scale, width = number(k + 18, 2), number(k + 20, 2), number(k + 22, 2)
+        points, place = [], h.size
+        if 1 <= width <= 4 and k + 26 + entries * width <= at + h.size:
+            for e in range(entries):  # each entry is the size of the frames up to the next point
+                points.append(place)
+                place += number(k + 26 + e * width, width) * scale
+        return "VBRI", number(k + 14), number(k + 10), points
+    return "", 0, 0, []
+
+
+def layer12_bits(data: bytes, at: int, h: Header) -> int | None:
+    """How many bits after the CRC it covers in Layers I and II: bit allocation, and in Layer II scale-factor selection; None for a reserved combination."""
+    mode, extension = data[at + 3] >> 6, data[at + 3] >> 4 & 3
+    bound = 4 * extension + 4 if mode == 1 else 32
+    if h.layer == 1:
+        return 4 * (min(bound, 32) * h.channels + max(0, 32 - bound)) if h.channels == 2 else 4 * 32
+    lsf = h.version != 3
+    each = h.kbps // h.channels
+    table = 4 if lsf else 0 if (h.rate == 48000 and each >= 56) or 56 <= each <= 80 else 1 if h.rate != 48000 and each >= 96 else 2 if h.rate != 32000 and each <= 48 else 3
+    bits, start = LAYER2_ALLOCATION[table], at + 6
+    bound = min(bound, len(bits)) if mode == 1 else len(bits)
+    place, used = 0, 0
+
+    def read(n: int) -> int:
+        nonlocal place
+        whole = int.from_bytes(data[start + place // 8:start + (place + n + 7) // 8 + 1].ljust(3, b"\0")[:3], "big")
+        place += n
+        return whole >> (24 - n - (place - n) % 8) & (1 << n) - 1
+
+    for band, n in enumerate(bits):
+        for _ in range(h.channels if band < bound else 1):
+            value = read(n)
+            used += (value != 0) * (1 if band < bound else h.channels)
+    return place + 2 * used
+
+
+def covered(data: bytes, at: int, h: Header) -> int:
+    """The CRC-16 over a frame's header and what else its layer protects."""
+    if h.layer == 3:
+        return crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + h.side])
+    n = layer12_bits(data, at, h)
+    c = crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + n // 8])
+    for k in range(n % 8):
+        bit = data[at + 6 + n // 8] >> 7 - k & 1 if at + 6 + n // 8 < len(data) else 0
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 ^ bit else 0)
+    return c
 
 
 def read_mpeg(data: bytes) -> Audio:
@@ -222,12 +283,13 @@ def read_mpeg(data: bytes) -> Audio:
         if first:
             first = False
             a.version, a.layer, a.rate, a.channels = h.version, h.layer, h.rate, h.channels
-            a.table, a.table_frames = read_table(data, at, h)
+            a.table, a.table_frames, a.table_bytes, points = read_table(data, at, h)
+            a.points = [at + p for p in points]
             if a.table:
                 at = after = end
                 continue
-        if h.protected and h.layer == 3:
-            good = crc16(data[at + 2:at + 4] + data[at + 6:at + 6 + h.side]) == data[at + 4] << 8 | data[at + 5]
+        if h.protected:
+            good = covered(data, at, h) == data[at + 4] << 8 | data[at + 5]
             a.crc_good, a.crc_bad = a.crc_good + good, a.crc_bad + (not good)
         a.frames += 1
         a.samples += h.samples

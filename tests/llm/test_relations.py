@@ -204,6 +204,81 @@ def test_op7_damage():
         media.read_mpeg(good[n:])
 
 
+def own_parser(stream):
+    """A second reader, of streams without damage: bit strings, tables and tags read by their layout alone."""
+    assert stream[:3] == b"ID3" and stream[3] == 4
+    size = int("".join(f"{b:07b}" for b in stream[6:10]), 2)
+    tag, at, length = stream[10:10 + size], 10 + size, None
+    while tag:
+        n = int("".join(f"{b:07b}" for b in tag[4:8]), 2)
+        if tag[:4] == b"PRIV" and tag[10:].startswith(b"payload-length\0"):
+            length = int.from_bytes(tag[10:10 + n][-8:], "big")
+        tag = tag[10 + n:]
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    frames, table = [], None
+    while stream[at:at + 3] != b"TAG":
+        bits = "".join(f"{b:08b}" for b in stream[at:at + 4])
+        assert bits[:15] == "1" * 12 + "101" and bits[20:22] == "00" and bits[24:26] == "00"  # MPEG-1 Layer III, 44,100 Hz, stereo
+        rate = kbps[int(bits[16:20], 2)]
+        size = 144 * rate * 1000 // 44100 + int(bits[22])
+        frames.append((at, size, rate, bits[15] == "0"))
+        at += size
+    assert len(stream) - at == 128
+    (first, size, _, protected), *frames = frames
+    assert not protected and stream[first + 36:first + 40] == b"Xing"
+    table = [int.from_bytes(stream[first + 40 + k:first + 44 + k], "big") for k in (0, 4, 8)]
+    points = list(stream[first + 52:first + 152])
+    body = b""
+    for at, size, _, protected in frames:
+        crc = 0xFFFF
+        for bit in "".join(f"{b:08b}" for b in stream[at + 2:at + 4] + stream[at + 6:at + 38]):
+            crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+        assert protected and crc == int.from_bytes(stream[at + 4:at + 6], "big") and not any(stream[at + 6:at + 38])
+        body += stream[at + 38:at + size]
+    return {"first": first, "frames": frames, "table": table, "points": points, "payload": body[:length]}
+
+
+@pytest.mark.parametrize("size", [0, 64, 5000, 70_000])
+def test_op7_equals_a_second_reader(size):
+    data = random.Random(size + 1).randbytes(size)
+    stream = media.write_mpeg(data)
+    a, b = media.read_mpeg(stream), own_parser(stream)
+    assert (a.payload, a.seek, a.frames, a.crc_good) == (b["payload"], [f[0] for f in b["frames"]], len(b["frames"]), len(b["frames"]))
+    assert b["payload"] == data and b["table"][:2] == [15, len(b["frames"])] and (a.table, a.table_frames, a.table_bytes) == ("Xing", *b["table"][1:])
+    assert a.points == [b["first"] + a.table_bytes * p // 256 for p in b["points"]]
+    rates = [f[2] for f in b["frames"]] or [0]
+    n = 1152 * len(b["frames"])
+    d = math.gcd(n, 44100) if n else 44100
+    last = b["frames"][-1][0] if b["frames"] else -1
+    assert media.feature(a) == f"mpeg1-layer3 44100Hz 2ch frames={len(b['frames'])} seconds={n // d}/{44100 // d} kbps={min(rates)}-{max(rates)} crc={len(b['frames'])}/{len(b['frames'])} table=Xing:{b['table'][1]} resyncs=0 last={last}"
+
+
+def test_op7_vbri():
+    h = bytes([0xFF, 0xFB, 0x90, 0x00])
+    size = media.parse_header(h).size
+    table = b"VBRI" + b"\0\1\0\0\0\0" + (3 * size).to_bytes(4, "big") + (2).to_bytes(4, "big") + (2).to_bytes(2, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big")
+    first = (h + bytes(32) + table + (size // 3).to_bytes(2, "big") * 2).ljust(size, b"\0")
+    a = media.read_mpeg(first + (h + bytes(size - 4)) * 2)
+    assert (a.table, a.table_frames, a.table_bytes, a.points, a.seek) == ("VBRI", 2, 3 * size, [size, size + size // 3 * 3], [size, 2 * size])
+
+
+@pytest.mark.parametrize(("head", "bits"), [
+    (bytes([0xFF, 0xFE, 0x90, 0x00]), 4 * 64), (bytes([0xFF, 0xFE, 0x90, 0xC0]), 4 * 32), (bytes([0xFF, 0xFE, 0x90, 0x50]), 4 * (8 * 2 + 24)),  # Layer I: stereo, mono, joint from band 8 on
+    (bytes([0xFF, 0xFC, 0xA0, 0x00]), 2 * (11 * 4 + 12 * 3 + 7 * 2)), (bytes([0xFF, 0xFC, 0x40, 0x00]), 2 * (2 * 4 + 6 * 3)), (bytes([0xFF, 0xF4, 0x80, 0xC0]), 4 * 4 + 7 * 3 + 19 * 2),
+])
+def test_op7_crc_of_layers_one_and_two(head, bits):
+    h = media.parse_header(head)
+    silent = head + b"\0\0" + bytes(h.size - 6)
+    assert media.layer12_bits(silent, 0, h) == bits
+    crc = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in head[2:]) + "0" * bits:
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+    frame = head + crc.to_bytes(2, "big") + bytes(h.size - 6)
+    a = media.read_mpeg(frame * 3)
+    assert (a.frames, a.crc_good, a.crc_bad) == (3, 3, 0)
+    assert media.read_mpeg(frame * 2 + frame[:5] + bytes([frame[5] ^ 1]) + frame[6:]).crc_bad == 1
+
+
 def test_op7_other_headers():
     h = media.parse_header(bytes([0xFF, 0xF3, 0x40, 0xC0]))  # MPEG-2 Layer III, 32 kbps, 22,050 Hz, mono
     assert (h.version, h.layer, h.kbps, h.rate, h.channels, h.samples, h.size, h.side) == (2, 3, 32, 22050, 1, 576, 104, 9)
