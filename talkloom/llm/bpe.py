@@ -34,52 +34,17 @@ MEMO_CHARS = 64
 class RankQueue:
     """Priority queue of list positions keyed by merge rank: buckets, and a bitmap hierarchy over the ranks.
 
-    ``leaves`` has a bit for each rank, in words of ``width`` bits; ``top`` a bit for each word that isn't zero.
-    A bucket is one position, or a heap of several. ``ByteBPE.encode_piece`` has both methods written out.
+    ``leaves`` has a bit for each rank, in words of 2**``shift`` bits; ``top``, a local of the merge loop, a bit for each word that
+    isn't zero. A bucket is one position, or a heap of several. Queueing and taking stand in ``ByteBPE.encode_piece`` alone.
     """
 
     def __init__(self, ranks: int):
         self.shift = max(4, (max(1, ranks).bit_length() + 1) // 2)
         self.mask = (1 << self.shift) - 1
         self.leaves = [0] * ((ranks >> self.shift) + 1)
-        self.top = 0
         self.buckets: dict[int, int | list[int]] = {}
         self.bit = [1 << k for k in range(max(self.mask + 1, len(self.leaves)))]
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = position
-            at = rank >> self.shift
-            if not self.leaves[at]:
-                self.top |= self.bit[at]
-            self.leaves[at] |= self.bit[rank & self.mask]
-        elif type(bucket) is int:
-            self.buckets[rank] = [position, bucket] if position < bucket else [bucket, position]
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The leftmost position of the lowest rank queued, as (rank, position)."""
-        if not self.top:
-            return None
-        at = (self.top & -self.top).bit_length() - 1
-        word = self.leaves[at]
-        low = word & -word
-        rank = at << self.shift | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        if type(bucket) is not int:
-            position = heappop(bucket)
-            if bucket:
-                return rank, position
-        else:
-            position = bucket
-        del self.buckets[rank]
-        self.leaves[at] = word ^ low
-        if word == low:
-            self.top ^= self.bit[at]
-        return rank, position
-
 
 class ByteBPE:
     """Encoder and decoder over a table of byte strings and ranks; every single byte has a rank."""
