@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -75,15 +77,36 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Folders named so far, in order, and the temporary one of a local session.
+_named: list[str] = []
+_local: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary one."""
+    """A fresh folder name under ``spark.checkpoint.dir``; only where that is unset (tests, local mode) in a temporary one, which goes with the process."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="talkloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="talkloom-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        top = f"file://{_local[0]}"
+    _named.append(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def named_folders() -> list[str]:
+    """The folders that operators of this process have named and not deleted, oldest first."""
+    return list(_named)
+
+
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes tables and files that nothing reads any more."""
+    for folder in folders:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _named.remove(folder)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

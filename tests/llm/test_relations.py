@@ -532,6 +532,22 @@ def test_pipeline_stages(spark):
     assert cp.run(spark, SF).count() > 0
 
 
+def test_pipeline_deletes_what_it_is_done_with(spark):
+    import os
+
+    import corpus_pipeline as cp
+
+    from talkloom.llm.common import named_folders, shared_dir, written
+
+    other = written(spark.range(3).toDF("x"), "other")
+    before = set(named_folders())
+    out = cp.run(spark, SF)
+    left = set(named_folders()) - before
+    assert len(left) == 1 and os.path.isdir(left.pop().removeprefix("file://"))
+    assert out.count() > 0 and other.count() == 3
+    assert spark.conf.get("spark.checkpoint.dir", None) is None and shared_dir(spark, "x").startswith("file:///tmp/")
+
+
 def test_pipeline_edges(spark, edge, clash, empty):
     import corpus_pipeline as cp
 
