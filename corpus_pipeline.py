@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm import bpe, lang_id, mixing, quality, similar
-from talkloom.llm.common import written
+from talkloom.llm.common import delete_folders, named_folders, written
 from talkloom.llm.queries import ENTROPY_SHARE, GRADES, MAX_REPEATS, SELECT_AT, estimated_tokens, held_out, pattern, ratings, tokenizer
 
 #: Above this many bits a byte a text is as good as noise to every learned language.
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage over ``documents``. What a stage wrote goes once the next one's output stands."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(named_folders())
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        delete_folders(spark, named_folders()[before:-1])
     return docs
