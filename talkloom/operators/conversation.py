@@ -71,6 +71,25 @@ def intent(message: Column, s: Settings = DEFAULT) -> Column:
     return F.struct(asks.alias("needs_clarifying"), mixes.alias("should_mix"))
 
 
+def reply_plan(message: Column, s: Settings = DEFAULT) -> Column:
+    """(lang, greeting, asks) of the reply to a request: mixed if it asks for that, else the second language if it is in or about it;
+    a mixed reply asks nothing back. [CLS6]"""
+    low = F.lower(message)
+    own = (fx.lang_three_way(message, s) == s.script_lang) | F.regexp_replace(low, r"^\s+", "").startswith(s.script_greeting) | low.contains(s.script_name)
+    wants = intent(message, s)
+    lang = F.when(wants["should_mix"], s.mixed_lang).when(own, s.script_lang).otherwise(s.other_lang)
+    return F.struct(lang.alias("lang"), F.when(wants["should_mix"] | own, f"{s.script_greeting},").otherwise(s.prefix.strip()).alias("greeting"), (wants["needs_clarifying"] & ~wants["should_mix"]).alias("asks"))
+
+
+def snippet_lines(body: Column, most: int = 4, s: Settings = DEFAULT) -> Column:
+    """The first lines of a snippet without bullets and greetings, blank ones dropped. [CLS6]"""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    bare = F.transform(F.split(body, "\n"), lambda x: strip(F.regexp_replace(x, r"^[•\- ]+|[•\- ]+$", "")))
+    greeted = lambda x: F.lower(x).startswith(f"{s.script_greeting},") | F.lower(x).startswith(s.prefix.strip().lower())
+    said = F.transform(bare, lambda x: F.when(greeted(x), strip(F.regexp_replace(x, "^[^,]*,", ""))).otherwise(x))
+    return F.slice(F.filter(said, lambda x: x != ""), 1, most)
+
+
 def topic_words(texts: Column, n: int = 10) -> Column:
     """Distinct words of over four letters, in order of the alphabet, n at most. [AG26]"""
     words = F.flatten(F.transform(texts, lambda t: F.filter(F.split(F.lower(t), r"\s+"), lambda w: F.length(w) > 4)))

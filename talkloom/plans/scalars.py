@@ -100,6 +100,11 @@ INTENT_SQL = f"""case when ({HAS} and not regexp_matches(text, '[A-Za-z]')) or r
     when {sql_any('lower(text)', ['outline', 'beat', 'plan'])} then {' + '.join(f"contains(lower(text), '{k}')::int" for k in ('genre', 'tone', 'audience', 'rating', 'language', 'languages', 'runtime', 'budget', 'time', 'place', 'hero'))} < 4
     when contains(lower(text), 'need your default pitch') then false when contains(lower(text), 'pitch') then true else false end"""
 MIX_SQL = "contains(lower(text), 'english lo') or contains(lower(text), 'mix') or (contains(lower(text), 'english') and contains(lower(text), 'telugu'))"
+BULLETS = OneOf("- Boss, one, two \n•  • three\n\n", "బాస్, x\n", " -- \n", "")
+PLAN_SQL = f"""case when {MIX_SQL} then 'mixed,బాస్,,false' when ({HAS} and not regexp_matches(text, '[A-Za-z]')) or regexp_matches(text, '^\\s*{LATIN.script_greeting}') or contains(lower(text), 'telugu') then 'te,బాస్,,' || ({INTENT_SQL})::varchar else 'en,Boss,,' || ({INTENT_SQL})::varchar end"""
+STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+BARE = STRIPPED.format(r"regexp_replace(x, '^[•\- ]+|[•\- ]+$', '', 'g')")
+LINES_SQL = f"""md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: case when starts_with(lower({BARE}), 'boss,') or starts_with({BARE}, 'బాస్,') then {STRIPPED.format(f"regexp_replace({BARE}, '^[^,]*,', '')")} else {BARE} end), lambda x: x <> ''), chr(10)))"""
 TITLE_SQL = "substr(trim(string_split(trim(text), chr(10))[1]), 1, 80)"
 DECISION_SQL = f"""with d as (select doc_id, {TITLE_SQL} as situation, case when doc_id % 7 = 0 then '' else lang end as choice, case when doc_id % 2 = 0 then source else '' end as rationale from documents)
     select doc_id, case when situation <> '' and choice <> '' then 'Boss, ' || lower(situation) || case doc_id % 4 when 0 then ' What should we do?' when 1 then ' What should we do?' when 2 then ' How do I handle this?' else ' Your take?' end || '|' || choice || case when rationale <> '' then '. ' || rationale else '' end end as value from d"""
@@ -162,6 +167,8 @@ SCALARS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "cls3_from_location": (lambda t: conv.from_location(F.concat(PLACES[0], F.lit(" "), F.col("source"))), "case " + " ".join(f"when contains(lower({PLACES[1]} || ' ' || source), '{k}') then '{c}'" for k, c in LATIN.locations) + " end"),
     "cls4_best_keyword": (lambda t: let(conv.best_keyword(F.concat(SAID[0], t)), lambda b: F.concat(b["context"], F.lit(":"), F.round(b["score"] * 10000).cast("long").cast("string"))), before(SAID, f"{CONTEXT_SQL} || ':' || cast(round({BEST_SQL} * 10000) as bigint)")),
     "cls5_intent": (lambda t: let(conv.intent(F.concat(ASKED[0], t), LATIN), lambda x: F.concat_ws(",", x["needs_clarifying"].cast("string"), x["should_mix"].cast("string"))), before(ASKED, f"concat_ws(',', ({INTENT_SQL})::varchar, ({MIX_SQL})::varchar)")),
+    "cls6_reply_plan": (lambda t: let(conv.reply_plan(F.concat(ASKED[0], t), LATIN), lambda x: F.concat_ws(",", x["lang"], x["greeting"], x["asks"].cast("string"))), before(ASKED, PLAN_SQL)),
+    "cls6_snippet_lines": (lambda t: F.md5(F.array_join(conv.snippet_lines(F.concat(BULLETS[0], t), 2**31 - 1), "\n").cast("binary")), before(BULLETS, LINES_SQL)),
     "llm4_padded": (lambda t: conv.padded(F.col("n_chars")), "cast((n_chars + 7) // 8 * 8 as bigint)"),
     "llm5_clamp_tokens": (lambda t: conv.clamp_new_tokens(F.lit(512), F.floor(F.col("n_chars") / 4), 2048), "case when n_chars // 4 < 2048 then least(512, 2048 - n_chars // 4) end"),
     "llm6_cut_at_stop": (lambda t: F.md5(fx.cut_at_stop(t, ["###", "\n\n", " the "]).cast("binary")), "md5(case when contains(text, '###') then substr(text, 1, instr(text, '###') - 1) when contains(text, chr(10) || chr(10)) then substr(text, 1, instr(text, chr(10) || chr(10)) - 1) when contains(text, ' the ') then substr(text, 1, instr(text, ' the ') - 1) else text end)"),

@@ -51,6 +51,16 @@ def test_intents(spark, said, asks, mixes):
     assert tuple(one(spark, conversation.intent(F.lit(said)))) == (asks, mixes)
 
 
+@pytest.mark.parametrize(("said", "plan"), [("Plan my film", ("en", "Boss,", True)), ("plan in Telugu", ("te", "బాస్,", False)), ("mix a plan", ("mixed", "బాస్,", False)), ("తెలుగు", ("te", "బాస్,", False))])
+def test_reply_plans(spark, said, plan):
+    assert tuple(one(spark, conversation.reply_plan(F.lit(said)))) == plan
+
+
+def test_snippet_lines(spark):
+    body = "• Boss, keep it, short \n\n -- \n- two\nబాస్, three\n4\n5"
+    assert one(spark, conversation.snippet_lines(F.lit(body))) == ["keep it, short", "two", "three", "4"]
+
+
 def test_placeholders_need_generation(spark):
     rows = [([("assistant", "Summary: ...")], True), ([("assistant", " \n")], True), ([("user", "x")], True), ([("assistant", "Examples: none")], True), ([("assistant", "..."), ("assistant", "real")], False), ([("assistant", None)], True)]
     df = spark.createDataFrame(rows, "m array<struct<role:string,content:string>>, want boolean")
